@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqloom.llm import mixing, pii, simhash, url_filter
+from seqloom.llm import language_id, mixing, pii, quality_model, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_pii": pii.op2_pii,
+    "op3_language_id": language_id.op3_language_id,
+    "op6_quality_classifier": quality_model.op6_quality_classifier,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLES = {
     "op1_url_filters": url_filter.OP1_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
