@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqloom.llm import language_id, mixing, pii, quality_model, quality_rules, simhash, url_filter
+from seqloom.llm import bpe, language_id, mixing, pii, quality_model, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_pii": pii.op2_pii,
     "op3_language_id": language_id.op3_language_id,
+    "op4_bpe": bpe.op4_bpe,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_mixing": mixing.op9_mixing,
