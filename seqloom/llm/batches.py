@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from seqloom.plans.ship import ship_package
 
@@ -28,7 +29,7 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Ite
     yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable[[], Callable] | None = None) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, setup: Callable[[], Callable] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to slices of ``df[columns]``; the last of the columns is the text.
 
     ``setup``, if given, is called once a task and returns the function to apply in place of ``fn``.
@@ -37,7 +38,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = setup() if setup else fn
         for batch in batches:
-            for piece in slices(batch, len(columns) - 1):
+            for piece in slices(batch, len(columns) - 1, limit):
                 out = apply(piece)
                 if out is not None:
                     yield out

@@ -7,9 +7,10 @@ the last tokens of the path and computes each node's once: the one vocabulary en
 may stand after the last token before it.  Two tokens may stand side by side if no merge crosses their border at any
 time while both are being built, which is read off the merge ranks along their inner edges.
 
-Around it stands what the vocabulary's file asks for: special tokens are cut out of the raw text, text is composed
+Plain Latin-1 texts, a batch at a time, are split into words by ``words.WordTable``, which hands over each distinct word
+once; other texts are split piece by piece.  Around it stands what the vocabulary's file asks for: special tokens are cut out of the raw text, text is composed
 (NFC), lower-cased letter by letter and split into letters, digits and other signs; the last byte of a word carries
-the end mark.  White-space-delimited pieces that a worker has met before are looked up.
+the end mark.
 
 Defined results for odd input: null and empty texts have no tokens and decode to the empty string; null or unknown ids
 decode to nothing; whole texts are encoded, whatever their length; equal and null document ids stay separate rows;
@@ -21,8 +22,9 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterable
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
+from seqloom.llm.words import WordTable
 
 #: Pieces that a worker remembers before it starts over, and pairs of tokens.
-REMEMBERED = 600_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED = 50_000
+REMEMBERED_PAIRS = 200_000
+#: Bytes of text that are split together.
+SLICE = 2 << 20
 #: Fixed value: how the vocabulary's file splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: Unicode's white space.
@@ -52,6 +57,14 @@ def _byte_signs() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+_PIECE = regex.compile(f"[^{_WHITE}]+")
+
+
+def split_pieces(text: str) -> list[str]:
+    """White-space-delimited pieces; str.split() also splits at four separators that aren't white space in Unicode."""
+    return _PIECE.findall(text) if _ODD_SPACE.search(text) else text.split()
+
+
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizer file."""
 
@@ -67,13 +80,10 @@ class WordBpe:
         signs = _byte_signs()
         byte_of = {s: b for b, s in enumerate(signs)}
         self.byte_of_sign = {s: chr(b) for s, b in byte_of.items()}
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path = path
         self.word = regex.compile(WORD_PATTERN.replace(r"\s", _WHITE))
-        self.piece = regex.compile(f"[^{_WHITE}]+")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special)))
-        #: Token strings as the file has them, by id.
-        self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
 
         def symbols(token: str) -> str:
             """One character for each byte, 256 higher for the last byte of a word."""
@@ -109,6 +119,12 @@ class WordBpe:
         self._check_vocabulary()
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self.table = WordTable(self._encode_new)
+
+    @cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        """The library's own tokenizer, for texts in other scripts; loaded if one occurs."""
+        return tokenizers.Tokenizer.from_file(self.path)
 
     # ---- which tokens may stand side by side
 
@@ -234,9 +250,6 @@ class WordBpe:
             words = ["".join([self.byte_of_sign[c] for c in w]) for w, _ in split]
         return [w[:-1] + chr(ord(w[-1]) + 256) for w in words]
 
-    def _split(self, text: str) -> list[str]:
-        return self.piece.findall(text) if _ODD_SPACE.search(text) else text.split()
-
     def learn(self, pieces: Iterable[str]) -> None:
         """Make sure that the ids of all pieces are remembered."""
         if len(self._pieces) >= REMEMBERED:
@@ -245,19 +258,29 @@ class WordBpe:
             self._words.clear()
         new = {p: self._pretokens(p) for p in pieces if p not in self._pieces}
         words = {w for ws in new.values() for w in ws if w not in self._words}
+        for w, ids in self.encode_words(words).items():
+            self._words[w] = np.array(ids, "<u4").tobytes()
+        for p, ws in new.items():
+            self._pieces[p] = b"".join([self._words[w] for w in ws])
+
+    def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        marked = [w.decode("latin-1")[:-1] + chr(w[-1] + 256) for w in words]
         collects = gc.isenabled()
         gc.disable()  # the trie is a tree of many dictionaries without cycles
         try:
-            for w, ids in self.encode_words(words).items():
-                self._words[w] = array("I", ids).tobytes()
+            found = self.encode_words(marked)
         finally:
             if collects:
                 gc.enable()
-        for p, ws in new.items():
-            self._pieces[p] = b"".join([self._words[w] for w in ws])
+        ids = list(map(found.__getitem__, marked))
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.table.encode_or(texts, self.encode_pieces)
+
+    def encode_pieces(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode_batch``, for texts in any script and with special tokens."""
         cut: list[list[str]] = []
         for text in texts:
             if not text:
@@ -265,11 +288,11 @@ class WordBpe:
             elif "<|" in text and self.special_pattern.search(text):
                 parts, at = [], 0
                 for m in self.special_pattern.finditer(text):
-                    parts += [*self._split(text[at : m.start()]), "\x00" + m[0]]
+                    parts += [*split_pieces(text[at : m.start()]), "\x00" + m[0]]
                     at = m.end()
-                cut.append(parts + self._split(text[at:]))
+                cut.append(parts + split_pieces(text[at:]))
             else:
-                cut.append(self._split(text))
+                cut.append(split_pieces(text))
         distinct = set().union(*cut) if cut else set()
         marks = {s for s in distinct if s.startswith("\x00") and s[1:] in self.special}
         self.learn(distinct - marks)
@@ -278,11 +301,24 @@ class WordBpe:
             known = {**{p: self._pieces[p] for p in distinct - marks}, **{s: np.array([self.special[s[1:]]], "<u4").tobytes() for s in marks}}
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
-    def decode(self, ids: bytes | None) -> str:
-        """Token strings joined by spaces, as files without a decoder define it; special tokens are kept."""
-        return " ".join([n for n in map(self.names.get, np.frombuffer(ids or b"", "<u4").tolist()) if n is not None])
 
+def decode_ids(names: dict[int, str], ids: bytes | None) -> str:
+    """Token strings joined by spaces, as files without a decoder define it; special tokens are kept."""
+    return " ".join([n for n in map(names.get, np.frombuffer(ids or b"", "<u4").tolist()) if n is not None])
 
+
+def load_names(path: str) -> dict[int, str]:
+    """Token strings of a tokenizer file by id, once a worker."""
+    if path not in _NAMES:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["decoder"] is not None:
+            raise ValueError("only files without a decoder are supported")
+        _NAMES[path] = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return _NAMES[path]
+
+
+_NAMES: dict[str, dict[int, str]] = {}
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -300,7 +336,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(load(path).encode_batch(piece.column(1).to_pylist()), pa.binary())], names=[id_col, "ids"])
 
-    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary")
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary", limit=SLICE)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -308,16 +344,27 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        own = load(path)
-        texts = [own.decode(x) for x in piece.column(1).to_pylist()]
+        names = load_names(path)
+        texts = [decode_ids(names, x) for x in piece.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
     return map_texts(encoded, [id_col, ids_col], apply, f"`{id_col}` {kind}, ids binary, decoded string")
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded documents."""
-    return decode(encoded, path, id_col).select(
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``encode`` and ``decode`` in one pass over the texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        ids, names = load(path).encode_batch(piece.column(1).to_pylist()), load_names(path)
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(names, x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
+
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary, decoded string", limit=SLICE)
+
+
+def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded documents."""
+    return coded.select(
         id_col, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -325,5 +372,4 @@ def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return digests(round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
