@@ -239,28 +239,38 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*training_runs(docs, id_col, text_col, lang_col, run, max_docs, per_doc), run=run, **options)
 
 
+def _predict(own: GruModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    known = [i for i, t in enumerate(texts) if own is not None and t and LETTER.search(t)]
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if known:
+        probs = pooled(own, [texts[i].encode() for i in known])
+        for i, p in zip(known, probs, strict=True):
+            langs[i], scores[i] = own.languages[int(p.argmax())], min(1.0, float(p.max()))
+    return langs, scores
+
+
 def identify(docs: DataFrame, model: GruModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row; score is the pooled probability of lang_pred."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        own = shared.value
-        texts = piece.column(1).to_pylist()
-        known = [i for i, t in enumerate(texts) if own is not None and t and LETTER.search(t)]
-        langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if known:
-            probs = pooled(own, [texts[i].encode() for i in known])
-            for i, p in zip(known, probs, strict=True):
-                langs[i], scores[i] = own.languages[int(p.argmax())], min(1.0, float(p.max()))
+        langs, scores = _predict(shared.value, piece.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
     return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def accepted(lang_pred: Column, score: Column, min_score: float = 0.4) -> Column:
-    """Whether a document's language is known well enough to keep it."""
-    return (lang_pred != UNKNOWN) & (score >= min_score)
+def keep_known(docs: DataFrame, model: GruModel | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language isn't known: no letter, or a score below ``min_score``."""
+    columns = [c for c in docs.columns if c != text_col] + [text_col]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        langs, scores = _predict(shared.value, piece.column(len(columns) - 1).to_pylist())
+        return piece.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return map_texts(docs, columns, apply, docs.select(*columns).schema).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

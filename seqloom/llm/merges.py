@@ -1,0 +1,98 @@
+"""BPE merges of many words at once: every round merges, in each word, the pairs of its lowest rank."""
+
+from __future__ import annotations
+
+import numpy as np
+
+_FAR = np.int64(1 << 40)
+
+
+class PairTable:
+    """Ranks of pairs of 16-bit ids by hashing into three tables, each taking what did not fit into the one before."""
+
+    BITS = 18
+
+    def __init__(self, merge: dict[tuple[int, int], int]) -> None:
+        keys = np.array([a << 16 | b for a, b in merge], np.uint64)
+        ranks = np.array(list(merge.values()), np.int64)
+        self.levels = []
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            table, rank = np.full(1 << self.BITS, np.uint64(1 << 63), np.uint64), np.zeros(1 << self.BITS, np.int64)
+            at = self._at(keys, factor)
+            table[at], rank[at] = keys, ranks
+            self.levels.append((factor, table, rank))
+            left = table[at] != keys
+            keys, ranks = keys[left], ranks[left]
+        self.rest = dict(zip(keys.tolist(), ranks.tolist(), strict=True))
+
+    def _at(self, keys: np.ndarray, factor: int) -> np.ndarray:
+        return (keys * np.uint64(factor) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, _FAR for none."""
+        keys = a.astype(np.uint64) << np.uint64(16) | b.astype(np.uint64)
+        out = np.full(len(keys), _FAR)
+        for factor, table, rank in self.levels:
+            at = self._at(keys, factor)
+            hit = table[at] == keys
+            out[hit] = rank[at[hit]]
+        for key, r in self.rest.items():
+            out[keys == key] = r
+        return out
+
+
+def merge_words(symbols: np.ndarray, sizes: np.ndarray, pairs: PairTable, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Encode words given as ids of their symbols, one after the other; ``made[rank]`` is the id that a merge makes.
+
+    Returns the words' ids one after the other, and their numbers.  Words are taken out once nothing merges.
+    """
+    counts = np.zeros(len(sizes), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    who, sizes, ids = np.arange(len(sizes)), sizes.astype(np.int64), symbols.astype(np.int64)
+    ranks = None
+    while len(who):
+        ends = np.cumsum(sizes)
+        if ranks is None:
+            ranks = np.full(len(ids), _FAR)
+            ranks[:-1] = pairs.ranks(ids[:-1], ids[1:])
+            ranks[ends - 1] = _FAR
+        lowest = np.minimum.reduceat(ranks, ends - sizes)
+        over = lowest == _FAR
+        if over.any():
+            mark = np.repeat(over, sizes)
+            done.append((np.repeat(who[over], sizes[over]), ids[mark]))
+            counts[who[over]] = sizes[over]
+            ids, ranks = ids[~mark], ranks[~mark]
+            who, sizes, lowest = who[~over], sizes[~over], lowest[~over]
+            if not len(who):
+                break
+            ends = np.cumsum(sizes)
+        best = ranks == np.repeat(lowest, sizes)
+        # of pairs that overlap (a run of one symbol) every other one is merged, from the left
+        at = np.flatnonzero(best)
+        if len(at) > 1 and (np.diff(at) == 1).any():
+            begins = np.concatenate([[True], np.diff(at) != 1])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+        ids[at] = made[ranks[at]]
+        gone = np.zeros(len(ids), bool)
+        gone[at + 1] = True
+        sizes = sizes - np.add.reduceat(gone, ends - sizes, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        stale = np.zeros(len(ids), bool)
+        stale[at] = True
+        stale[at[at > 0] - 1] = True
+        keep = ~gone
+        # the neighbour to the left of a merged pair may itself have been merged away
+        left = at[at > 1]
+        stale[left[gone[left - 1]] - 2] = True
+        ids, ranks, stale = ids[keep], ranks[keep], stale[keep]
+        again = np.flatnonzero(stale)
+        inner = again[again + 1 < len(ids)]
+        ranks[again] = _FAR
+        ranks[inner] = pairs.ranks(ids[inner], ids[inner + 1])
+        ranks[ends - 1] = _FAR
+    if not done:
+        return np.zeros(0, np.uint32), counts
+    owner, flat = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+    return flat[np.argsort(owner, kind="stable")].astype(np.uint32), counts

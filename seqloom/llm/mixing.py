@@ -30,6 +30,8 @@ BINS = 2048
 #: Weights in order of the sources' names, repeating.
 CYCLE = (1, 2, 3)
 SEED = "mix-1"
+#: What the mix needs of a document.
+KEY = ["_sl_id", "_sl_source", "_sl_size"]
 
 
 def count_words(text: Column) -> Column:
@@ -74,25 +76,86 @@ def _cut(rows: DataFrame, wanted: DataFrame, bin_col: str) -> DataFrame:
     return both.groupBy("source").agg(F.max(F.struct(bin_col, (F.col("want") - F.col("b")).alias("w"))).alias("m")).select("source", F.col(f"m.{bin_col}").alias(f"cut_{bin_col}"), F.col("m.w").alias("want"))
 
 
-def _ordinals(sized: DataFrame) -> DataFrame:
+def _ordinals(rows: DataFrame) -> DataFrame:
     """Number rows that agree in id, source and size, 0 for all others; such rows are interchangeable.
 
     Rows are numbered within (input partition, key) and shifted by the counts of earlier partitions, so a key with
-    many repetitions is never gathered in one task.
+    many repetitions is never gathered in one task.  Further columns of ``rows`` are kept.
     """
-    key = ["doc_id", "source", "size"]
-    many = sized.groupBy(*key).count().where("count > 1").select(*key)
+    many = rows.groupBy(*KEY).count().where("count > 1").select(*KEY)
     many = materialise(many, "mix-repeated")
     if many.isEmpty():
-        return sized.withColumn("ordinal", F.lit(0).cast("long"))
-    marked = join_small(sized, many.withColumn("_sl_many", F.lit(True)), key, F.rand(7))
-    rest = marked.where("_sl_many IS NULL").drop("_sl_many").withColumn("ordinal", F.lit(0).cast("long"))
-    same = materialise(marked.where("_sl_many").drop("_sl_many").withColumn("part", F.spark_partition_id()), "mix-same")
-    local = Window.partitionBy("part", *key).orderBy("size")
-    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = same.groupBy("part", *key).agg(F.count("*").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    numbered = join_small(same.withColumn("at", F.row_number().over(local) - 1), materialise(shift, "mix-shift"), ["part", *key], F.col("at"))
-    return rest.unionByName(numbered.select(*sized.columns, (F.col("at") + F.col("shift")).cast("long").alias("ordinal")))
+        return rows.withColumn("_sl_ordinal", F.lit(0).cast("long"))
+    marked = join_small(rows, many.withColumn("_sl_many", F.lit(True)), KEY, F.rand(7))
+    rest = marked.where("_sl_many IS NULL").drop("_sl_many").withColumn("_sl_ordinal", F.lit(0).cast("long"))
+    same = materialise(marked.where("_sl_many").drop("_sl_many").withColumn("_sl_part", F.spark_partition_id()), "mix-same")
+    local = Window.partitionBy("_sl_part", *KEY).orderBy("_sl_size")
+    earlier = Window.partitionBy(*KEY).orderBy("_sl_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = same.groupBy("_sl_part", *KEY).agg(F.count("*").alias("_sl_n")).withColumn("_sl_shift", F.coalesce(F.sum("_sl_n").over(earlier), F.lit(0))).drop("_sl_n")
+    numbered = join_small(same.withColumn("_sl_at", F.row_number().over(local) - 1), materialise(shift, "mix-shift"), ["_sl_part", *KEY], F.col("_sl_at"))
+    return rest.unionByName(numbered.select(*rows.columns, (F.col("_sl_at") + F.col("_sl_shift")).cast("long").alias("_sl_ordinal")))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with the columns of KEY."""
+    return docs.withColumns({"_sl_id": F.col(id_col), "_sl_source": F.col(source_col), "_sl_size": count_words(F.col(text_col))})
+
+
+def _ranked(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """``rows`` with their source's target, whole copies and rank; the text is not needed any more."""
+    ratio = F.when(F.col("_sl_total") > 0, F.col("_sl_target") / F.col("_sl_total")).otherwise(F.lit(0.0))
+    rows = _ordinals(rows).withColumn("_sl_u", uniform(F.col("_sl_id"), F.col("_sl_ordinal"), seed))
+    rows = join_small(rows, targets, ["_sl_source"], F.col("_sl_id"))
+    rows = rows.withColumn("_sl_whole", F.floor(ratio)).withColumn("_sl_p", ratio - F.floor(ratio))
+    odds = (F.col("_sl_u") / (1 - F.col("_sl_u"))) * ((1 - F.col("_sl_p")) / F.col("_sl_p"))
+    rows = rows.withColumn("_sl_rank", F.when((F.col("_sl_p") > 0) & (F.col("_sl_size") > 0), odds / (1 + odds)))
+    fine = F.least(F.floor(F.col("_sl_rank") * (BINS * BINS)), F.lit(BINS * BINS - 1))
+    return rows.withColumn("_sl_bin", F.floor(fine / BINS)).withColumn("_sl_sub", fine % BINS)
+
+
+def _cut(rows: DataFrame, wanted: DataFrame, bin_col: str) -> DataFrame:
+    """Per source the last bin that begins at or before the wanted words: (source, cut, wanted words within it)."""
+    sums = rows.groupBy(F.col("_sl_source").alias("_s"), bin_col).agg(F.sum("_sl_size").alias("s"))
+    before = Window.partitionBy("_s").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("b", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    both = sums.join(wanted, F.col("_s").eqNullSafe(F.col("_sl_source"))).where(F.col("b") <= F.col("_sl_want"))
+    best = both.groupBy("_sl_source").agg(F.max(F.struct(bin_col, (F.col("_sl_want") - F.col("b")).alias("w"))).alias("m"))
+    return best.select("_sl_source", F.col(f"m.{bin_col}").alias(f"{bin_col}_cut"), F.col("m.w").alias("_sl_want"))
+
+
+def _thresholds(slim: DataFrame, max_copies: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(targets by source, where each source's ranking is cut), both written tables of a row per source."""
+    totals = slim.groupBy(F.col("_sl_source").alias("source")).agg(F.sum("_sl_size").alias("source_size"))
+    targets = source_targets(totals, max_copies=max_copies).select(F.col("source").alias("_sl_source"), F.col("source_size").alias("_sl_total"), F.col("target").alias("_sl_target"))
+    targets = materialise(targets, "mix-targets")
+    rows = _ranked(slim, targets, seed).where("_sl_rank IS NOT NULL")
+    ratio = F.when(F.col("_sl_total") > 0, F.col("_sl_target") / F.col("_sl_total")).otherwise(F.lit(0.0))
+    want = targets.select("_sl_source", (F.col("_sl_target") - F.floor(ratio) * F.col("_sl_total")).alias("_sl_want"))
+    cut1 = materialise(_cut(rows, want, "_sl_bin"), "mix-cut")
+    inner = join_small(rows, cut1.drop("_sl_want"), ["_sl_source"], F.col("_sl_id"), "inner").where("_sl_bin = _sl_bin_cut")
+    cut2 = materialise(_cut(inner, cut1.select("_sl_source", "_sl_want"), "_sl_sub"), "mix-cut")
+    last = join_small(inner, cut2, ["_sl_source"], F.col("_sl_id"), "inner").where("_sl_sub = _sl_sub_cut")
+    order = Window.partitionBy("_sl_source").orderBy("_sl_rank", F.col("_sl_id").asc_nulls_last(), "_sl_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("_sl_upto", F.sum("_sl_size").over(order))
+    # a document enters if the middle of its words lies before the cut
+    entered = last.where(F.col("_sl_upto") - F.col("_sl_size") / 2 <= F.col("_sl_want")).groupBy(F.col("_sl_source").alias("_s3")).agg(F.max(F.struct("_sl_rank", "_sl_id", "_sl_size")).alias("_sl_end"))
+    ends = cut1.drop("_sl_want").join(cut2.select(F.col("_sl_source").alias("_s2"), "_sl_sub_cut"), F.col("_sl_source").eqNullSafe(F.col("_s2")), "left")
+    ends = ends.join(entered, F.col("_sl_source").eqNullSafe(F.col("_s3")), "left").drop("_s2", "_s3")
+    return targets, materialise(ends, "mix-ends")
+
+
+def _with_copies(rows: DataFrame, targets: DataFrame, ends: DataFrame, seed: str) -> DataFrame:
+    done = join_small(_ranked(rows, targets, seed), ends, ["_sl_source"], F.col("_sl_id"))
+    place = F.col("_sl_bin") * BINS + F.col("_sl_sub")
+    cut = F.col("_sl_bin_cut") * BINS + F.col("_sl_sub_cut")
+    far = F.lit((1 << 63) - 1)
+
+    def by(rank: Column, doc_id: Column, size: Column) -> Column:
+        return F.struct(rank.alias("r"), F.coalesce(doc_id.cast("string"), far.cast("string")).alias("i"), size.alias("s"))
+
+    upto_end = by(F.col("_sl_rank"), F.col("_sl_id"), F.col("_sl_size")) <= by(F.col("_sl_end._sl_rank"), F.col("_sl_end._sl_id"), F.col("_sl_end._sl_size"))
+    more = (place < cut) | ((place == cut) & F.col("_sl_end").isNotNull() & upto_end)
+    return done.withColumn("copies", (F.col("_sl_whole") + F.when(more, 1).otherwise(0)).cast("int"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = SEED) -> DataFrame:
@@ -100,43 +163,23 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     The sum of copies * size of a source comes within half a document of its target.
     """
-    sized = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")), "mix-sizes"
-    )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialise(source_targets(totals, max_copies=max_copies), "mix-targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = join_small(_ordinals(sized).withColumn("u", uniform(F.col("doc_id"), F.col("ordinal"), seed)), targets, ["source"], F.col("doc_id"))
-    rows = rows.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
-    odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
-    rank = F.when(F.col("p") > 0, odds / (1 + odds))
-    rows = rows.withColumn("rank", rank)
-    # bins of bins
-    fine = F.least(F.floor(F.col("rank") * (BINS * BINS)), F.lit(BINS * BINS - 1))
-    rows = rows.withColumn("bin", F.floor(fine / BINS)).withColumn("sub", fine % BINS)
-    open_rows = rows.where("rank IS NOT NULL AND size > 0")
-    want = targets.select("source", (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("want"))
-    cut1 = materialise(_cut(open_rows, want, "bin"), "mix-cut1")
-    inner = join_small(open_rows, cut1.withColumnRenamed("want", "_sl_want"), ["source"], F.col("doc_id"), "inner").where(F.col("bin") == F.col("cut_bin"))
-    cut2 = materialise(_cut(inner, cut1.select("source", "want"), "sub"), "mix-cut2")
-    last = join_small(inner.drop("_sl_want"), cut2.withColumnRenamed("want", "_sl_want"), ["source"], F.col("doc_id"), "inner").where(F.col("sub") == F.col("cut_sub"))
-    order = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("upto", F.sum("size").over(order))
-    # a document enters if more than half of it lies before the cut
-    entered = last.where(F.col("upto") - F.col("size") / 2 <= F.col("_sl_want")).groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size", "upto")).alias("m"))
-    ends = materialise(
-        cut1.join(cut2.select(F.col("source").alias("_s2"), "cut_sub"), F.col("source").eqNullSafe(F.col("_s2")), "left")
-        .join(entered.select(F.col("source").alias("_s3"), F.col("m.rank").alias("end_rank"), F.col("m.doc_id").alias("end_id"), F.col("m.size").alias("end_size")), F.col("source").eqNullSafe(F.col("_s3")), "left")
-        .select("source", "cut_bin", "cut_sub", "end_rank", "end_id", "end_size"),
-        "mix-ends",
-    )
-    done = join_small(rows, ends, ["source"], F.col("doc_id"))
-    edge = F.col("bin") * BINS + F.col("sub")
-    cut = F.col("cut_bin") * BINS + F.col("cut_sub")
-    at_end = F.struct(F.col("rank"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), F.col("size")) <= F.struct(F.col("end_rank"), F.coalesce(F.col("end_id"), F.lit((1 << 63) - 1)), F.col("end_size"))
-    more = F.when((edge < cut) | ((edge == cut) & F.col("end_rank").isNotNull() & at_end), 1).otherwise(0)
-    copies = F.col("whole") + F.when(F.col("rank").isNotNull() & (F.col("size") > 0), more).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    slim = materialise(_keyed(docs, id_col, text_col, source_col).select(*KEY), "mix-sizes")
+    targets, ends = _thresholds(slim, max_copies, seed)
+    done = _with_copies(slim, targets, ends, seed)
+    return done.select(F.col("_sl_id").alias("doc_id"), F.col("_sl_source").alias("source"), F.col("_sl_size").alias("size"), F.col("_sl_total").alias("source_size"), F.col("_sl_target").alias("target"), "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = SEED) -> DataFrame:
+    """``docs`` itself, each row as often as the mix takes it.
+
+    Rows are decided where they lie, by a table of thresholds per source, so texts are not shuffled.
+    """
+    wide = _keyed(docs, id_col, text_col, source_col)
+    slim = materialise(wide.select(*KEY), "mix-sizes")
+    targets, ends = _thresholds(slim, max_copies, seed)
+    done = _with_copies(wide, targets, ends, seed)
+    kept = done.where("copies > 0").withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return kept.select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

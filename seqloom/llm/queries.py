@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from seqloom.llm import bpe, language_id, mixing, pii, quality_model, quality_rules, simhash, url_filter
+from seqloom.llm import bpe, language_id, mixing, mpeg_audio, pii, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.op1_url_filters,
     "op2_pii": pii.op2_pii,
     "op3_language_id": language_id.op3_language_id,
     "op4_bpe": bpe.op4_bpe,
+    "op5_token_files": token_files.op5_token_files,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
