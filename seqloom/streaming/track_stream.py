@@ -1,4 +1,5 @@
-"""Tracks that arrive as a stream: the last line of a position wins, tile sums follow."""
+"""Tracks that arrive as a stream of files: in each micro-batch the last line of a position wins, and later batches win
+over earlier ones, so a sink that upserts by position holds the track without any streaming state."""
 
 from __future__ import annotations
 
@@ -8,29 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seqloom.operators.methylation import last_wins
 from seqloom.sources.track import good_rows, parse_lines
 
 
-def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(line_no, line) of text files that arrive in a folder.
+def batch_sites(lines: DataFrame, fmt: str) -> DataFrame:
+    """(chrom, start, pct) of a batch of lines (line, at, file, split), ordered by arrival, file and place in the file."""
+    order = F.struct("at", "file", "split", F.monotonically_increasing_id().alias("n"))
+    return last_wins(good_rows(parse_lines(lines.withColumn("line_no", order), fmt)), "chrom", "start")
 
-    ``line_no`` is the time of arrival with the line's number below it, so a later file wins over an earlier one.
-    """
-    lines = spark.readStream.schema("value string").text(folder)
-    number = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"))
-    return lines.select(number.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
-
-def stream_rows(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
-    return good_rows(parse_lines(stream_lines(spark, folder), fmt))
-
-
-def last_values(rows: DataFrame) -> DataFrame:
-    """(chrom, start, value): running state of a streaming track, one value for each position seen."""
-    return rows.groupBy("chrom", "start").agg(F.max_by("value", "line_no").alias("value"))
-
-
-def start(rows: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Call ``on_batch`` with the positions that a micro-batch changed; restarts go on from the checkpoint."""
-    query = last_values(rows).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return query.trigger(availableNow=True).foreachBatch(on_batch).start()
+def start(spark: SparkSession, folder: str, fmt: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Read all files that are new in ``folder`` and call ``on_batch`` with the positions that each micro-batch sets;
+    a restart goes on from the checkpoint.  Malformed lines are left out."""
+    lines = spark.readStream.schema("value string").text(folder).select(
+        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_modification_time").alias("at"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+    )
+    query = lines.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return query.foreachBatch(lambda batch, epoch: on_batch(batch_sites(batch, fmt), epoch)).start()
