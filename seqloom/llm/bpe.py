@@ -38,9 +38,9 @@ from seqloom.llm.words import WordTable
 
 #: Pieces that a worker remembers before it starts over, and pairs of tokens.
 REMEMBERED = 50_000
-REMEMBERED_PAIRS = 200_000
+REMEMBERED_PAIRS = 150_000
 #: Bytes of text that are split together.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Fixed value: how the vocabulary's file splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: Unicode's white space.
@@ -329,6 +329,14 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Give the memory of words back at the end of a task; a worker may idle for long, beside others."""
+    for own in _LOADED.values():
+        own.table.forget()
+        own._words.clear()
+        own._pieces.clear()
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids are little-endian unsigned 32-bit integers."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -336,7 +344,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(load(path).encode_batch(piece.column(1).to_pylist()), pa.binary())], names=[id_col, "ids"])
 
-    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary", limit=SLICE)
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary", limit=SLICE, after=forget)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -359,7 +367,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         ids, names = load(path).encode_batch(piece.column(1).to_pylist()), load_names(path)
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(names, x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
 
-    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary, decoded string", limit=SLICE)
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary, decoded string", limit=SLICE, after=forget)
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe
-from seqloom.llm.batches import slices
+from seqloom.llm.batches import slices, trim
 from seqloom.llm.merges import PairTable, merge_words
 from seqloom.llm.words import WordTable
 from seqloom.plans.durable import materialise, new_path
@@ -279,9 +279,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                     writer = TokenFileWriter(stream)
                 for i, ids in zip(piece.column(0).to_pylist(), _encoder(tokenizer).encode_batch(piece.column(1).to_pylist()), strict=True):
                     writer.add(i, ids + end)
+                del piece
+                trim()
         if writer is not None:
             row = {"shard": task.partitionId(), "path": path} | writer.close()
             stream.close()
+            _encoder(tokenizer).table.forget()
+            trim()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))

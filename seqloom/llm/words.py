@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 
 #: Words that a worker remembers before it starts over.
 REMEMBERED = 250_000
@@ -71,6 +70,10 @@ class WordTable:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def forget(self) -> None:
+        """Give the memory of all words back."""
+        self._reset()
+
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table for distinct words, new ones added."""
         if len(self.index) > REMEMBERED:
@@ -113,9 +116,7 @@ class WordTable:
         body = low[inside]
         cuts = np.cumsum(sizes) - sizes
         sums = np.add.reduceat(_SALT[body] * _powers(int(sizes.max()))[place], cuts)
-        group, distinct = pd.factorize(sums)
-        heads = np.empty(len(distinct), np.int64)
-        heads[group[::-1]] = np.arange(len(group) - 1, -1, -1)
+        _, heads, group = np.unique(sums, return_index=True, return_inverse=True)
         model = heads[group]
         if not ((sizes == sizes[model]).all() and (body == body[np.repeat(cuts[model].astype(np.int32), narrow) + place]).all()):
             group = self._group_exactly(body, cuts, sizes)
