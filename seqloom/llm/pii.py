@@ -31,8 +31,8 @@ PATTERNS = [
     ("ip", "[0-9]\\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     ("card", "[0-9][ -]?[0-9]", r"[0-9](?:[\x20-]?+[0-9]){11,}+"),
     ("phone", "\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
-    ("ssn", "[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"),
+    ("ssn", "[0-9]-[0-9]{2}-[0-9]", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"),
 ]
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -158,3 +158,45 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(kind) for kind in BASE_KINDS]
     base = F.filter(spans, lambda s: s["rank"] < len(BASE_KINDS))
     return find_pii(docs).select("doc_id", *counts, F.sha2(span_string(base), 256).alias("base_sha256"), span_string(spans).alias("spans"))
+
+
+def _sql() -> str:
+    """The same in SQL: plain patterns, as there are neither possessive quantifiers nor look-behinds."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    parts = []
+    for rank, (kind, pattern) in enumerate(plain.items()):
+        parts.append(
+            f"SELECT rid, {rank} AS rank, '{kind}' AS kind, {SCORES[kind]} AS base, '(^|[^a-z])({CONTEXT[kind]})' AS words, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m FROM d WHERE regexp_matches(t, '{pattern}')"
+        )
+    digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(substr(reverse({digits}), k, 1) AS INTEGER) WHEN CAST(substr(reverse({digits}), k, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse({digits}), k, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse({digits}), k, 1) AS INTEGER) END)) % 10 = 0"
+    packed = "replace(hit, ' ', '')"
+    turned = f"(substr({packed}, 5) || substr({packed}, 1, 4))"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(range(1, length({turned}) + 1), lambda k: CAST(ascii(substr({turned}, k, 1)) AS BIGINT))), lambda r, c: CASE WHEN c >= 65 THEN (r * 100 + c - 55) % 97 ELSE (r * 10 + c - 48) % 97 END) = 1"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+h AS ({' UNION ALL '.join(parts)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM h),
+s AS (SELECT rid, rank, kind, base, words, g[i] AS gap, m[i] AS hit, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM i),
+v AS (SELECT rid, rank, kind, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b FROM s WHERE
+  (rank < 4 OR least(1.0, base + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT_CHARS})), words) THEN {CONTEXT_BONUS} ELSE 0.0 END) >= 0.6) AND
+  CASE kind WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
+  WHEN 'card' THEN CASE WHEN length({digits}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END
+  WHEN 'phone' THEN length({digits}) BETWEEN 9 AND 15
+  WHEN 'iban' THEN {mod97}
+  WHEN 'ssn' THEN NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000$') ELSE true END),
+o AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM v GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card, CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (rid)
+"""
+
+
+OP2_SQL = _sql()

@@ -21,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": url_filter.OP1_SQL,
+    "op2_pii": pii.OP2_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
