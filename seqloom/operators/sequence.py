@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.bases import contains_n, cut, reverse_complement
 
 #: Records that are summed in one task when offsets are made.
-BUCKET = 8192
+BUCKET = 1024
 #: Bases of a block.
 BLOCK = 4096
 

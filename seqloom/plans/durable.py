@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Tables and folders that this process has made, for ``release``.
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/seqloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqloom/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediates of this process, once no DataFrame that reads them is needed any more; their number."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, tag: str, codec: str = "lz4") -> DataFrame:

@@ -16,7 +16,7 @@ from seqloom.functions import bases, color, regions, text
 from seqloom.operators import matching, methylation, raster, sequence
 from seqloom.plans import layout
 from seqloom.plans.config import Config, load_json
-from seqloom.plans.durable import join_small, materialise
+from seqloom.plans.durable import join_small, materialise, release
 from seqloom.plans.region import Region, parse_region
 from seqloom.plans.scale import TileScale
 from seqloom.sources import fasta, png, track
@@ -426,7 +426,9 @@ def test_track_stream(spark, tmp_path):
 
 def test_durable_helpers(spark):
     empty = spark.createDataFrame([], "a long, b string")
-    assert materialise(empty, "t").schema == empty.schema
+    kept = materialise(empty, "t")
+    assert kept.schema == empty.schema and kept.count() == 0
+    assert release(spark) >= 1 and release(spark) == 0
     big = spark.createDataFrame([(i, None if i % 3 == 0 else "k%d" % (i % 2)) for i in range(20)], "a long, k string")
     small = materialise(spark.createDataFrame([(None, 1), ("k0", 2)], "k string, v int"), "t")
     want = sorted((i, None if i % 3 == 0 else "k%d" % (i % 2), 1 if i % 3 == 0 else 2 if i % 2 == 0 else 0) for i in range(20))
