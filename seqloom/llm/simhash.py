@@ -107,7 +107,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     found = near_duplicates(docs, id_col, text_col, radius, shingle)
     chosen = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("_sl_n")).withColumnRenamed(id_col, "_sl_id"), "simhash-kept")
-    once = docs.join(chosen.where("_sl_n = 1").select("_sl_id"), F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi")
+    # texts are dealt by id at every size: the kept ids grow with the documents and are no table to broadcast
+    single = chosen.where("_sl_n = 1").select("_sl_id").hint("shuffle_hash")
+    once = docs.join(single, F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi")
     more = chosen.where("_sl_n > 1")
     if more.isEmpty():
         return once.select(*docs.columns)
