@@ -155,7 +155,7 @@ def _with_copies(rows: DataFrame, targets: DataFrame, ends: DataFrame, seed: str
 
     upto_end = by(F.col("_sl_rank"), F.col("_sl_id"), F.col("_sl_size")) <= by(F.col("_sl_end._sl_rank"), F.col("_sl_end._sl_id"), F.col("_sl_end._sl_size"))
     more = (place < cut) | ((place == cut) & F.col("_sl_end").isNotNull() & upto_end)
-    return done.withColumn("copies", (F.col("_sl_whole") + F.when(more, 1).otherwise(0)).cast("int"))
+    return done.withColumn("_sl_copies", (F.col("_sl_whole") + F.when(more, 1).otherwise(0)).cast("int"))
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = SEED) -> DataFrame:
@@ -166,7 +166,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     slim = materialise(_keyed(docs, id_col, text_col, source_col).select(*KEY), "mix-sizes")
     targets, ends = _thresholds(slim, max_copies, seed)
     done = _with_copies(slim, targets, ends, seed)
-    return done.select(F.col("_sl_id").alias("doc_id"), F.col("_sl_source").alias("source"), F.col("_sl_size").alias("size"), F.col("_sl_total").alias("source_size"), F.col("_sl_target").alias("target"), "copies")
+    return done.select(F.col("_sl_id").alias("doc_id"), F.col("_sl_source").alias("source"), F.col("_sl_size").alias("size"), F.col("_sl_total").alias("source_size"), F.col("_sl_target").alias("target"), F.col("_sl_copies").alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_copies: int = 3, seed: str = SEED) -> DataFrame:
@@ -178,7 +178,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = materialise(wide.select(*KEY), "mix-sizes")
     targets, ends = _thresholds(slim, max_copies, seed)
     done = _with_copies(wide, targets, ends, seed)
-    kept = done.where("copies > 0").withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    kept = done.where("_sl_copies > 0").withColumn("_sl_copy", F.explode(F.sequence(F.lit(1), F.col("_sl_copies"))))
     return kept.select(*docs.columns)
 
 
