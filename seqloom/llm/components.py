@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from seqloom.plans.durable import join_small, materialise
 
 
+#: Up to so many links are one partition, so that a round of a small graph needs no exchange.
+SMALL = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
@@ -23,14 +27,19 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = materialise(edges, "cc-links")
     seen = _state(edges)
     while seen[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = seen[0] <= SMALL
+
+        def dealt(df: DataFrame, few: bool = few) -> DataFrame:
+            return df.coalesce(1) if few else df
+
+        both = dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         lowest = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
-        large = join_small(both, lowest, ["u"], F.col("v"), "inner").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "cc-large")
+        large = join_small(both, lowest, ["u"], F.col("v"), "inner").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt(materialise(dealt(large).distinct(), "cc-large"))
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
         joined = join_small(large, least, ["u"], F.col("v"), "inner")
-        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "cc-small")
+        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        edges = materialise(dealt(small).distinct(), "cc-small")
         now = _state(edges)
         if now == seen:
             break

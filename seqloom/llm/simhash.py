@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
 from seqloom.llm.components import connected_components
-from seqloom.plans.durable import materialise
+from seqloom.plans.durable import join_small, materialise
 
 SEED = 42
 SHINGLE = 3
+#: Up to so many linked fingerprints (16 bytes each, their roots besides) are broadcast.
+MAX_BROADCAST_LINKED = 100_000
 #: A fingerprint with at least 1/HOT of all rows is hot; there are at most HOT of them.
 HOT = 2000
 
@@ -88,9 +90,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "simhash-classes")
     roots = materialise(connected_components(links(classes, radius), "a", "b"), "simhash-roots")
-    inside = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = inside.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = materialise(inside.join(smallest, "root").select("fp", "n", "component_id"), "simhash-components")
+    # fingerprints with links, the roots among them; a component may hold many, so its root is never a plain join key
+    few = roots.count() <= MAX_BROADCAST_LINKED
+    dealt = roots.coalesce(1) if few else roots
+    linked = dealt.unionByName(dealt.select(F.col("root").alias("node"), "root").distinct())
+    # unique fingerprints on both sides; a counted table is broadcast
+    linked = materialise(classes.join(F.broadcast(linked) if few else linked, F.col("fp") == F.col("node")).select("node", "root", "first_id"), "simhash-linked")
+    dealt = linked.coalesce(1) if few else linked
+    smallest = materialise(dealt.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
+    named = join_small(linked, smallest, ["root"], F.col("node")).select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("_linked"))
+    named = F.broadcast(named) if few else named
+    component = F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first_id"))
+    known = materialise(classes.join(named, "fp", "left").select("fp", "n", component.alias("component_id")), "simhash-components")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.col("n") >= max(1000, total // HOT)
     few = known.where(hot).select("fp", "component_id")  # at most HOT rows, as each holds 1/HOT of all
