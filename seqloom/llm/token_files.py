@@ -44,6 +44,8 @@ from seqloom.plans.ship import ship_package
 MAGIC = b"STF1"
 BLOCK = 1024
 PERCENTILE = 0.99
+#: Bytes of text that are encoded together.
+SLICE = 3 << 20
 #: Blocks that are packed or unpacked together.
 RUN = 256
 _HEAD = struct.Struct("<IHHB")
@@ -271,7 +273,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         task = TaskContext.get()
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.stf"
         for batch in batches:
-            for piece in slices(batch, 1, bpe.SLICE):
+            for piece in slices(batch, 1, SLICE):
                 if writer is None:
                     fs, where = _place(path)
                     fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
@@ -279,11 +281,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
                     writer = TokenFileWriter(stream)
                 for i, ids in zip(piece.column(0).to_pylist(), _encoder(tokenizer).encode_batch(piece.column(1).to_pylist()), strict=True):
                     writer.add(i, ids + end)
-                del piece
-                trim()
         if writer is not None:
             row = {"shard": task.partitionId(), "path": path} | writer.close()
             stream.close()
+            # an idle worker keeps no words
             _encoder(tokenizer).table.forget()
             trim()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
