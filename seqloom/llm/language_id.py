@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
+from seqloom.llm.sampling import smallest
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -229,8 +230,12 @@ def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, ru
     )
     room = F.greatest(F.length(text) - run, F.lit(0)) + 1
     starts = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.pmod(F.xxhash64(key, i), room).cast("int") + 1)
-    cut = usable.select(F.md5(key).alias("_sl_md5"), key.alias("_sl_id"), "_sl_lang", F.transform(starts, lambda s: F.substr(text, s, F.lit(run))).alias("_sl_runs"))
-    rows = cut.orderBy("_sl_md5", "_sl_id", "_sl_lang", "_sl_runs").limit(max_docs).collect()
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.select(key.alias("_sl_id"), "_sl_lang", F.transform(starts, lambda s: F.substr(text, s, F.lit(run))).alias("_sl_runs"))
+
+    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
+    rows = smallest(usable, F.md5(key), max_docs, known, ["_sl_id", "_sl_lang", "_sl_runs"], cut)
     pairs = [(r.encode(), row["_sl_lang"]) for row in rows for r in row["_sl_runs"]]
     return [r for r, _ in pairs], [lang for _, lang in pairs]
 
