@@ -36,8 +36,8 @@ def benchmark_sequence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 
 def track(spark: SparkSession, sf_dir: str, divisor: float = 5.0) -> DataFrame:
-    """(line_no, chrom, start, end, value): with 5 percentages, with 500 fractions, with 1 neither."""
+    """(line_no, chrom, start, end, value): values up to 500 are divided: by 5 they are percentages, by 500 fractions, by 1 neither."""
     start = (F.col("event_id") * 31) % 400
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("line_no"), F.concat(F.lit("doc"), F.col("user_id")).alias("chrom"), start.alias("start"), (start + 1).alias("end"), (F.col("value") / divisor).cast("float").alias("value")
+        F.col("event_id").alias("line_no"), F.concat(F.lit("doc"), F.col("user_id")).alias("chrom"), start.alias("start"), (start + 1).alias("end"), (F.least("value", F.lit(500.0)) / divisor).cast("float").alias("value")
     )

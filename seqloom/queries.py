@@ -61,7 +61,7 @@ _TILE = f"{_LEN}, sc AS (SELECT CAST(ceil(l / {SIDE}.0) AS BIGINT) AS t FROM len
 
 
 def _tr(divisor: float = 5.0) -> str:
-    return f"tr AS (SELECT event_id AS line_no, 'doc' || user_id AS chrom, (event_id * 31) % 400 AS start, CAST(value / {divisor} AS FLOAT) AS value FROM events)"
+    return f"tr AS (SELECT event_id AS line_no, 'doc' || user_id AS chrom, (event_id * 31) % 400 AS start, CAST(least(value, 500.0::DOUBLE) / {divisor} AS FLOAT) AS value FROM events)"
 
 
 _SITES = (
@@ -328,7 +328,7 @@ def q_track_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH v AS (SELECT unnest([1.0, 5.0, 500.0]) AS divisor), r AS (SELECT CAST(divisor AS DOUBLE) AS divisor, min(CAST(value / divisor AS FLOAT)) AS lo, max(CAST(value / divisor AS FLOAT)) AS hi FROM events, v GROUP BY 1) "
+    "WITH v AS (SELECT unnest([1.0, 5.0, 500.0]) AS divisor), r AS (SELECT CAST(divisor AS DOUBLE) AS divisor, min(CAST(least(value, 500.0::DOUBLE) / divisor AS FLOAT)) AS lo, max(CAST(least(value, 500.0::DOUBLE) / divisor AS FLOAT)) AS hi FROM events, v GROUP BY 1) "
     "SELECT divisor, CASE WHEN lo >= 0 AND hi <= 1 THEN 'fraction' WHEN lo >= 0 AND hi <= 100 THEN 'percent' ELSE 'error' END AS verdict FROM r"
 )
 def q_track_scale_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
