@@ -14,6 +14,7 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
+from seqloom.llm.sampling import smallest
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Distinct tokens whose hashes a task remembers before it starts over.
@@ -91,12 +93,19 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[list, list]:
-    """Texts and labels of at most ``max_rows`` labelled ids that aren't held out, by MD5 of the id; a driver-side sample of fixed bound."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_sl_id")).agg(F.avg(F.col(label_col).cast("double")).alias("_sl_y"))
-    chosen = known.orderBy(F.md5(F.col("_sl_id").cast("string")), "_sl_id").limit(max_rows)
-    joined = docs.select(F.col(id_col).alias("_sl_doc"), F.col(text_col).alias("_sl_text")).join(F.broadcast(chosen), F.col("_sl_doc") == F.col("_sl_id"))  # at most max_rows
-    rows = joined.select("_sl_doc", "_sl_text", (F.col("_sl_y") >= 0.5).cast("int").alias("_sl_y")).orderBy(F.md5(F.col("_sl_doc").cast("string")), "_sl_doc", "_sl_text").limit(max_rows).collect()
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int = 200_000) -> tuple[list, list]:
+    """Texts and labels of at most ``max_rows`` labelled ids that aren't held out, by MD5 of the id: a sample of fixed bound.
+
+    Texts of more than ``max_chars`` characters aren't learned from; of rows with one id the smallest text is.
+    """
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_sl_id"), F.col(label_col).cast("double").alias("_sl_y"))
+    mean = usable.groupBy("_sl_id").agg((F.avg("_sl_y") >= 0.5).cast("int").alias("_sl_y"))
+    chosen = smallest(mean, F.md5(F.col("_sl_id").cast("string")), max_rows, usable.count(), ["_sl_id"])
+    table = docs.sparkSession.createDataFrame(chosen, mean.schema)
+    texts = docs.select(F.col(id_col).alias("_sl_doc"), F.col(text_col).alias("_sl_text")).where(F.coalesce(F.length("_sl_text"), F.lit(0)) <= max_chars)
+    joined = texts.join(F.broadcast(table), F.col("_sl_doc") == F.col("_sl_id"))  # at most max_rows rows
+    rows = joined.groupBy("_sl_doc", "_sl_y").agg(F.min("_sl_text").alias("_sl_text")).select("_sl_doc", "_sl_text", "_sl_y").collect()
+    rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
     return [r[1] for r in rows], [r[2] for r in rows]
 
 

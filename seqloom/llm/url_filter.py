@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: More distinct rule shapes than this are expanded from the URL itself and not from a literal list.
 MAX_LITERAL_SHAPES = 512
+#: Up to so many rules (about 200 bytes each) are broadcast; more are shuffled, salted.
+MAX_BROADCAST_RULES = 50_000
 
 #: The rules of the registered query (host, path, verdict).
 QUERY_RULES = [
@@ -88,9 +90,9 @@ def judge_urls(
 ) -> DataFrame:
     """One row per row of ``urls``: id, host, path, rule, verdict, rule_matches.
 
-    ``rules`` has host, path, verdict (allow or block).  Large rule tables are shuffled to the expressions;
-    a hot expression is then dealt over ``salts`` copies of its rule.  Small ones are broadcast by Spark's own
-    size check.  ``rule_matches`` counts the rules that fit.
+    ``rules`` has host, path, verdict (allow or block).  Up to MAX_BROADCAST_RULES rules are broadcast after counting
+    them; larger tables are shuffled to the expressions, and a hot expression is dealt over ``salts`` copies of its
+    rule.  ``rule_matches`` counts the rules that fit.
     """
     spark = urls.sparkSession
     ruled = prepare_rules(rules)
@@ -101,13 +103,15 @@ def judge_urls(
     if shapes == []:
         return base.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default_verdict).alias("verdict"), F.lit(0).cast("long").alias("rule_matches"))
     expanded = base.select("*", F.explode_outer(_expressions(F.col("host"), F.col("path"), shapes)).alias("_sl_expr")).withColumn("_sl_digest", F.sha2("_sl_expr", 256))
-    left = expanded.select(
-        "_sl_row", id_col, "host", "path", "_sl_digest", F.substring("_sl_digest", 1, 8).alias("_sl_prefix"), F.pmod("_sl_row", F.lit(salts)).cast("int").alias("_sl_salt")
-    )
-    right = ruled.select(
-        F.substring("r_digest", 1, 8).alias("r_prefix"), "r_digest", "r_rule", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("r_salt")
-    )
-    met = left.join(right, (F.col("_sl_prefix") == F.col("r_prefix")) & (F.col("_sl_salt") == F.col("r_salt")), "left")
+    left = expanded.withColumn("_sl_prefix", F.substring("_sl_digest", 1, 8))
+    right = ruled.select(F.substring("r_digest", 1, 8).alias("r_prefix"), "r_digest", "r_rule")
+    near = F.col("_sl_prefix") == F.col("r_prefix")
+    if ruled.count() <= MAX_BROADCAST_RULES:
+        met = left.join(F.broadcast(right), near, "left")
+    else:
+        left = left.withColumn("_sl_salt", F.pmod("_sl_row", F.lit(salts)).cast("int"))
+        right = right.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = left.join(right, near & (F.col("_sl_salt") == F.col("r_salt")), "left")
     confirmed = F.col("_sl_digest") == F.col("r_digest")
     best = met.groupBy("_sl_row", id_col, "host", "path").agg(
         F.max(F.when(confirmed, F.col("r_rule"))).alias("_sl_best"), F.sum(F.when(confirmed, 1).otherwise(0)).alias("rule_matches")

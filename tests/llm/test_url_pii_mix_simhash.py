@@ -37,6 +37,7 @@ URLS = ["http://WWW.Example.com/en/1", "https://example.com/en/", "https://x.exa
 @pytest.mark.parametrize("literal", [512, 0])
 def test_urls_match_brute_force(spark, monkeypatch, literal):
     monkeypatch.setattr(url_filter, "MAX_LITERAL_SHAPES", literal)
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", literal)
     urls = [u for u in URLS if literal or not u or len(u) < 200]
     pages = spark.createDataFrame([(i // 2 if i else None, u, "h", "p") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -154,6 +155,23 @@ def test_mixing_salted_join_agrees(spark, monkeypatch):
     assert sorted(map(tuple, mixing.plan_mix(docs_of(spark, rows)).collect())) == got
 
 
+def test_mix_repeats_rows_as_planned(spark):
+    rng = random.Random(5)
+    rows = [(i % 90, " ".join(["w"] * rng.randint(0, 9)), rng.choice("abc")) for i in range(120)] + [(None, None, None)]
+    docs = docs_of(spark, rows).withColumn("copies", F.lit("own")).withColumn("target", F.col("doc_id")).withColumn("source_size", F.lit(None).cast("int"))
+    mixed, plan = mixing.mix(docs), mixing.plan_mix(docs)
+    assert mixed.columns == docs.columns and {r["copies"] for r in mixed.collect()} <= {"own"}
+    want = {}
+    for r in plan.collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
+    got = {}
+    for r in mixed.collect():
+        key = (r["doc_id"], r["source"], len((r["text"] or "").split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_mixing_empty(spark):
     assert mixing.plan_mix(docs_of(spark, [])).count() == 0
     assert [r["copies"] for r in mixing.plan_mix(docs_of(spark, [(1, None, None)])).collect()] == [0]
@@ -188,7 +206,9 @@ def plain_components(items):
     return [(d, f, best[root(i)]) for i, (d, f) in enumerate(items)]
 
 
-def test_simhash_matches_brute_force(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_simhash_matches_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "MAX_BROADCAST_LINKED", few)
     rng = random.Random(2)
     base = [" ".join(rng.choice(["aa", "Bb", "cc", "É", "dd", "ee"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
     texts = [None, "", " \n", "One", "one two", "x" * 10000] + base + base[:10] + [b + " tail" for b in base[:20]] + [b.upper() for b in base[:5]]
@@ -204,6 +224,7 @@ def test_links_and_components_of_chains_and_balls(spark, monkeypatch, salted):
 
     if salted:
         plain = components.join_small
+        monkeypatch.setattr(components, "SMALL", 0)
         monkeypatch.setattr(components, "join_small", lambda *a, **k: plain(*a, **k | {"max_rows": 0, "salts": 3}))
     rng = random.Random(1)
     chain, value = [], rng.getrandbits(64)
