@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqloom.llm.batches import map_texts
 from seqloom.llm.components import connected_components
@@ -85,8 +86,11 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return every.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: (id, fp, component_id), component_id being the smallest id reachable over links."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(prints, known), both written: prints has (id, fp) of each document, known a row per fingerprint: (fp, n, root, component_id).
+
+    root is the smallest fingerprint of the component and never null.
+    """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "simhash-classes")
     roots = materialise(connected_components(links(classes, radius), "a", "b"), "simhash-roots")
@@ -98,36 +102,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = materialise(classes.join(F.broadcast(linked) if few else linked, F.col("fp") == F.col("node")).select("node", "root", "first_id"), "simhash-linked")
     dealt = linked.coalesce(1) if few else linked
     smallest = materialise(dealt.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    named = join_small(linked, smallest, ["root"], F.col("node")).select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("_linked"))
+    named = join_small(linked, smallest, ["root"], F.col("node")).select(F.col("node").alias("fp"), "root", "component_id")
     named = F.broadcast(named) if few else named
-    component = F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("first_id"))
-    known = materialise(classes.join(named, "fp", "left").select("fp", "n", component.alias("component_id")), "simhash-components")
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("first_id"))
+    known = classes.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
+    return prints, materialise(known, "simhash-components")
+
+
+def _with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows``, which have a fingerprint fp, with root and component_id."""
+    columns = ["fp", "root", "component_id"]
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = F.col("n") >= max(1000, total // HOT)
-    few = known.where(hot).select("fp", "component_id")  # at most HOT rows, as each holds 1/HOT of all
-    often = prints.join(F.broadcast(few), "fp")
-    rest = prints.join(F.broadcast(few.select("fp")), "fp", "left_anti").join(known.where(~hot).select("fp", "component_id"), "fp")
-    return often.unionByName(rest).select(id_col, "fp", "component_id")
+    few = known.where(hot).select(*columns)  # at most HOT rows, as each holds 1/HOT of all
+    often = rows.join(F.broadcast(few), "fp")
+    rest = rows.join(F.broadcast(few.select("fp")), "fp", "left_anti").join(known.where(~hot).select(*columns), "fp")
+    return often.unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: (id, fp, component_id), component_id being the smallest id reachable over links."""
+    return _with_component(*_grouped(docs, id_col, text_col, radius, shingle)).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    An id names one document: where rows repeat the kept id, the smallest row in the order of the columns stays; a group without ids keeps its
-    smallest row as well.
+    Where several rows of a group have that id, or none has an id, the smallest of them in the order of the columns stays.  An id may stand for rows
+    of several groups; each group keeps its own.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle)
-    chosen = materialise(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("_sl_n")).withColumnRenamed(id_col, "_sl_id"), "simhash-kept")
+    prints, known = _grouped(docs, id_col, text_col, radius, shingle)
+    found = _with_component(prints, known)
+    chosen = found.groupBy(F.col(id_col).alias("_sl_id")).agg(F.count("*").alias("_sl_n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_sl_kept"))
+    chosen = materialise(chosen.where("_sl_kept").select("_sl_id", "_sl_n"), "simhash-kept")
     # texts are dealt by id at every size: the kept ids grow with the documents and are no table to broadcast
     single = chosen.where("_sl_n = 1").select("_sl_id").hint("shuffle_hash")
-    once = docs.join(single, F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi")
-    more = chosen.where("_sl_n > 1")
+    once = docs.join(single, F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi").select(*docs.columns)
+    more = chosen.where("_sl_n > 1").select("_sl_id")
     if more.isEmpty():
-        return once.select(*docs.columns)
-    again = docs.join(more.select("_sl_id"), F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi")
-    first = again.groupBy(id_col).agg(F.min(F.struct(*[c for c in docs.columns if c != id_col])).alias("_sl_first"))
-    back = first.select(*[F.col(id_col) if c == id_col else F.col(f"_sl_first.`{c}`").alias(c) for c in docs.columns])
-    return once.select(*docs.columns).unionByName(back)
+        return once
+    # rows that their id doesn't tell apart are decided one by one, by the group of their own text
+    again = join_small(docs, more.withColumnRenamed("_sl_id", id_col), [id_col], F.col(text_col), "inner").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_sl_row"), F.col(text_col).alias("_sl_text"))
+    rows = _with_component(_row_prints(again, shingle), known).where(F.col("_sl_row")[id_col].eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("root").agg(F.min("_sl_row").alias("_sl_row"))
+    return once.unionByName(first.select(*[F.col("_sl_row")[c].alias(c) for c in docs.columns]))
+
+
+def _row_prints(rows: DataFrame, shingle: int) -> DataFrame:
+    """(_sl_row, fp) from (_sl_row, _sl_text)."""
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.fromiter((fingerprint(t, shingle) for t in piece.column(1).to_pylist()), dtype=np.uint64, count=piece.num_rows)
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(values.view(np.int64))], names=["_sl_row", "fp"])
+
+    return map_texts(rows, ["_sl_row", "_sl_text"], apply, StructType([rows.schema["_sl_row"], StructField("fp", LongType())]))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,3 +246,14 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs_of(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["source"]) for r in kept) == [(0, "s"), (2, "s"), (3, "s"), (9, "s")]
     assert simhash.keep_one(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_keep_one_decides_by_group_not_by_id(spark, monkeypatch, few):
+    plain = simhash.join_small
+    monkeypatch.setattr(simhash, "join_small", lambda *a, **k: plain(*a, **k | {"max_rows": few, "salts": 3}))
+    texts = [" ".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=40)) for i in range(50)]
+    rows = [(None, t, s) for t in texts for s in ("t", "s")]
+    rows += [(7, "A a b c", "s"), (7, "B d e f", "s"), (9, "B d e f", "r"), (7, "C g h i", "s"), (5, "C g h i", "t"), (8, None, "u"), (8, None, "s")]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in simhash.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([(0, t, "s") for t in texts] + [(7, "A a b c", "s"), (7, "B d e f", "s"), (5, "C g h i", "t"), (8, "", "s")])
