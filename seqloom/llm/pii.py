@@ -3,8 +3,9 @@
 Everything is built-in column functions.  Spans of a pattern come from two passes of the same expression: the
 matches themselves and the gaps between them; running sums of their lengths are code-point offsets.  Proposals
 are then validated (octet range, Luhn, digit counts, mod 97) and scored; a context word in the 48 characters
-before a span raises the score.  The kinds email, ip, card and phone are always kept once valid; the added kinds
-(iban, ssn) are kept from ``min_score`` on, so an ssn needs a context word.
+before a span raises the score.  The kinds email, ip, card and phone are always kept once valid, and a context word
+counts for the first match behind it only; the added kinds (iban, ssn) are kept from ``min_score`` on, so an ssn
+needs a context word, which counts for every match within the 48 characters, as in a list.
 
 The patterns hold possessive quantifiers and, where a run could be re-entered, look-behinds, so each pattern is
 linear in the text; they match what their plain forms match.
@@ -107,14 +108,21 @@ def _spans_of(text: Column, kind: str, rank: int, needs: str, pattern: str, min_
         gap, hit = pair["gap"], pair["hit"]
         start = acc["pos"] + F.length(gap)
         end = start + F.length(hit)
-        near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})")
+        before = F.right(gap if kind in BASE_KINDS else F.concat(acc["tail"], gap), F.lit(CONTEXT_CHARS))
+        near = F.lower(before).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})")
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
         good = hit.isNotNull() & VALID[kind](hit) & (F.lit(kind in BASE_KINDS) | (score >= min_score))
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(
+            F.coalesce(end, start).alias("pos"),
+            F.right(F.concat(before, F.coalesce(hit, F.lit(""))), F.lit(CONTEXT_CHARS)).alias("tail"),
+            F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+        )
 
     none = F.array().cast(f"array<{_SPAN}>")
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
+    # tail: the last characters of the text up to pos, gaps and matches alike; the added kinds read it
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("tail"), none.alias("spans"))
+    found = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
     cheap = text.contains("@") if needs == "@" else text.rlike(needs)
     return F.when(cheap, found).otherwise(none)
 

@@ -101,6 +101,17 @@ def test_pii_added_kinds_scores_and_redaction(spark):
     assert rows[4]["pii_spans"][0]["score"] > rows[4]["pii_spans"][1]["score"]
 
 
+def test_pii_context_is_read_from_the_text(spark):
+    texts = ["SSN 123-45-6789, 234-56-7890, 345-67-8901", "ssn: 000-45-6789 or 123-45-6789", "ssn 123-45-6789" + "é" * 32 + " 234-56-7890 " + "-" * 33 + " 345-67-8901", "ssn" + "😀" * 45 + "123-45-6789", "ssn" + "😀" * 46 + "123-45-6789"]
+    rows = pii.find_pii(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    want = []
+    for t in texts:
+        ssn = [m for m in re.finditer(r"(?<!\w)\d{3}-\d{2}-\d{4}(?!\w)", t, re.ASCII) if not m[0].startswith("000")]
+        want.append([(m.start(), m.end()) for m in ssn if re.search("(?<![a-z])ssn", t[max(0, m.start() - 48) : m.start()].lower())])
+    assert [len(w) for w in want] == [3, 1, 2, 1, 0]
+    assert [[(s["start"], s["end"]) for s in r["pii_spans"] if s["kind"] == "ssn"] for r in rows] == want
+
+
 def test_pii_query_digest(spark, tmp_path):
     texts = pii_texts()
     docs_of(spark, [(i, t, None) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
