@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 CONTEXT_CHARS = 48
 
 #: Patterns (kind, what a text must contain at least, pattern).  The first four are the plain forms
-#: of the contract with possessive quantifiers.
+#: of the contract with possessive quantifiers.  An iban's pattern takes its first four characters only and looks ahead
+#: to the longest proposal, so that a search goes on behind each head.
 PATTERNS = [
     ("email", "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", "[0-9]\\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     ("card", "[0-9][ -]?[0-9]", r"[0-9](?:[\x20-]?+[0-9]){11,}+"),
     ("phone", "\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])"),
+    ("iban", "[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])))"),
     ("ssn", "[0-9]-[0-9]{2}-[0-9]", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"),
 ]
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -74,6 +75,13 @@ def mod97_ok(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
+def longest_iban(proposal: Column) -> Column:
+    """The longest beginning of ``proposal`` that ends with a word of it, has 15 characters at least and passes mod 97; null if none."""
+    words = F.split(proposal, " ", -1)
+    ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    return F.get(F.filter(ends, lambda e: (F.length(F.replace(e, F.lit(" "), F.lit(""))) >= 15) & mod97_ok(e)), F.lit(0))
+
+
 def octets_ok(ip: Column) -> Column:
     part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
     return ip.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
@@ -93,7 +101,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "ip": octets_ok,
     "card": _card_ok,
     "phone": lambda hit: F.length(_digits(hit)).between(9, 15),
-    "iban": mod97_ok,
+    "iban": lambda hit: F.lit(True),  # longest_iban has tried it
     "ssn": lambda hit: ~hit.rlike("^(000|666|9)|-00-|-0000$"),
 }
 
@@ -102,19 +110,27 @@ _SPAN = "struct<start:long,rank:int,end:long,kind:string,score:double>"
 
 def _spans_of(text: Column, kind: str, rank: int, needs: str, pattern: str, min_score: float) -> Column:
     """array of valid spans of one kind, in order."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    def all_of(group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), all_of(0).alias("hit"), *([all_of(1).alias("rest")] if kind == "iban" else []))
+    if kind == "iban":
+        pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), longest_iban(F.concat(p["hit"], p["rest"])).alias("found")))
 
     def step(acc: Column, pair: Column) -> Column:
         gap, hit = pair["gap"], pair["hit"]
+        found = pair["found"] if kind == "iban" else hit
         start = acc["pos"] + F.length(gap)
-        end = start + F.length(hit)
+        end = start + F.length(found)
         before = F.right(gap if kind in BASE_KINDS else F.concat(acc["tail"], gap), F.lit(CONTEXT_CHARS))
         near = F.lower(before).rlike(f"(?<![a-z])(?:{CONTEXT[kind]})")
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
-        good = hit.isNotNull() & VALID[kind](hit) & (F.lit(kind in BASE_KINDS) | (score >= min_score))
+        good = found.isNotNull() & VALID[kind](found) & (F.lit(kind in BASE_KINDS) | (score >= min_score))
+        if kind == "iban":  # heads within a span that is kept are part of it
+            good = good & (start >= F.coalesce(F.get(acc["spans"], F.size(acc["spans"]) - 1)["end"], F.lit(0)))
         return F.struct(
-            F.coalesce(end, start).alias("pos"),
+            F.coalesce(start + F.length(hit), start).alias("pos"),
             F.right(F.concat(before, F.coalesce(hit, F.lit(""))), F.lit(CONTEXT_CHARS)).alias("tail"),
             F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
         )

@@ -112,6 +112,25 @@ def test_pii_context_is_read_from_the_text(spark):
     assert [[(s["start"], s["end"]) for s in r["pii_spans"] if s["kind"] == "ssn"] for r in rows] == want
 
 
+def test_pii_iban_ends_at_the_word_that_fits(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    whole = {
+        f"IBAN {de} BIC COBADEFF": [de],
+        f"{de} 100 EUR": [de],
+        f"{de} {gb} {no} A": [de, gb, no],
+        f"{de.replace(' ', '')} {gb.replace(' ', '')} X": [de.replace(" ", ""), gb.replace(" ", "")],
+        f"REF AB12 CDEF 1234 {de} OK": [de],
+        f"é😀 {no} NOK, {gb}.": [no, gb],
+        f"{de[:-1]}1 BIC COBADEFF": [],
+        f"{de} 100 EUR_": [de],
+        f"{de}x": [],
+        f"x{de} A": [],
+        "DE89 3704 0044": [],
+    }
+    rows = pii.find_pii(docs_of(spark, [(i, t, "s") for i, t in enumerate(whole)])).orderBy("doc_id").collect()
+    assert [[r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["kind"] == "iban"] for r in rows] == list(whole.values())
+
+
 def test_pii_query_digest(spark, tmp_path):
     texts = pii_texts()
     docs_of(spark, [(i, t, None) for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
