@@ -2,9 +2,9 @@
 
 Each text gets a 64-bit SimHash of its word shingles.  Two fingerprints differ in at most ``radius`` bits exactly if
 their balls of half the radius meet, so every distinct fingerprint emits all its variants with up to radius/2 flipped
-bits (65 for radius 2), the variants are shuffled, and fingerprints that meet are links.  All pairs in a meeting lie
-within the radius by the triangle inequality; a star from the smallest member keeps every component, and each link
-is verified.  A meeting has at most 65 members, since members are distinct fingerprints around one value; so no
+bits (65 for radius 2), the variants are shuffled, and fingerprints that meet are links.  For an even radius all pairs
+in a meeting lie within it by the triangle inequality; a star from the smallest member keeps every component, and each
+link is verified.  For radius 1 the variants that are fingerprints themselves are the links.  A meeting has at most 65 members, since members are distinct fingerprints around one value; so no
 bucket can grow with the number of copies, and exact copies are one fingerprint from the first aggregate on.
 
 Defined results for odd input: null and empty texts have fingerprint 0 and are linked like any other; texts with
@@ -77,6 +77,8 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("radius must be 0, 1 or 2")
     half = (radius + 1) // 2
     spread = classes.select("fp", F.explode(_ball(F.col("fp"), half)).alias("variant"))
+    if radius == 1:  # members of a meeting may lie 2 bits apart, but a variant that is a fingerprint is a link itself
+        return spread.where("fp < variant").join(classes.select(F.col("fp").alias("variant")), "variant", "left_semi").select(F.col("fp").alias("a"), F.col("variant").alias("b"))
     met = spread.repartition("variant").groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     met = materialise(met, "simhash-met")
     ends = met.select("a", "b")

@@ -287,3 +287,15 @@ def test_keep_one_decides_by_group_not_by_id(spark, monkeypatch, few):
     rows += [(7, "A a b c", "s"), (7, "B d e f", "s"), (9, "B d e f", "r"), (7, "C g h i", "s"), (5, "C g h i", "t"), (8, None, "u"), (8, None, "s")]
     kept = sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in simhash.keep_one(docs_of(spark, rows)).collect())
     assert kept == sorted([(0, t, "s") for t in texts] + [(7, "A a b c", "s"), (7, "B d e f", "s"), (5, "C g h i", "t"), (8, "", "s")])
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2])
+def test_components_of_every_radius(spark, radius):
+    rng = random.Random(4)
+    fps = list(dict.fromkeys([2, 5, 6, 7, -1, -2, -(1 << 63)] + [b ^ 1 << rng.randrange(7) ^ 1 << rng.randrange(7) for b in (1 << 20, 3 << 40, -9 << 50) for _ in range(9)]))
+    want = {f: f for f in fps}
+    for _ in fps:
+        want = {f: min(want[g] for g in fps if ((f ^ g) & (1 << 64) - 1).bit_count() <= radius) for f in fps}
+    got = {r["node"]: r["root"] for r in connected_components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius), "a", "b").collect()}
+    assert {f: got.get(f, f) for f in fps} == want
+    assert radius != 1 or want[7] == want[2] == 2
