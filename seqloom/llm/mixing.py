@@ -2,8 +2,8 @@
 
 1. Every source gets a target number of words: its weight's share of all words, held at ``max_copies`` times the
    source's own words, the excess reshared by weight among the others (water-filling, in closed form).
-2. A document of a source with expected copies e = target / source words (times its own relative weight, if one is
-   given) certainly enters floor(e) times.
+2. A document of a source with expected copies e = target / source words certainly enters floor(e) times; e is the
+   same for all documents of a source, there are no weights of documents.
 3. The rest of the target is filled by Pareto order sampling: with inclusion probability p = e - floor(e) and a
    uniform u made from the id, documents are ranked by the odds ratio [u/(1-u)] / [p/(1-p)], and the first ones enter
    once more, up to the rank at which their words come nearest to the rest.  Fixed size means words here.
