@@ -2,8 +2,7 @@
 
 ``parse`` reads any sequence of bytes: it skips an ID3v2 tag, finds frame headers of MPEG 1, 2 and 2.5 (layers I to
 III), and where a header is missing or damaged searches on for the next one that a second header confirms.  It reads
-the variable-bitrate table (Xing or Info) of the first frame, verifies the frames' checksums where they cover a fixed
-part (layers I and III), counts samples, so that durations are exact, and keeps the offset of every frame to seek to.
+the variable-bitrate table (Xing, Info or VBRI) of the first frame, verifies the frames' checksums, counts samples, so that durations are exact, and keeps the offset of every frame to seek to.
 
 ``build`` stores a payload without loss as a layer III stream: one frame of 224 kbit/s at 48 kHz (672 bytes) for every
 576 payload bytes, which are the frame's main data (two granules of 288 bytes); the first frame holds the table, an
@@ -107,21 +106,62 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
-    """The checksum of MPEG audio frames: polynomial 8005 hex, begun with all ones."""
+def crc16(data: bytes | tuple[bytes, int]) -> int:
+    """The checksum of MPEG audio frames: polynomial 8005 hex, begun with all ones; over whole bytes, or (bytes, number of bits)."""
+    data, bits = data if isinstance(data, tuple) else (data, len(data) * 8)
     c = 0xFFFF
-    for b in data:
+    for b in data[: bits // 8]:
         c = (c << 8 ^ _CRC[c >> 8 ^ b]) & 0xFFFF
+    for i in range(bits // 8 * 8, bits):
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ data[i // 8] >> 7 - i % 8) & 1 else 0)) & 0xFFFF
     return c
 
 
-def covered(h: Header, frame: bytes) -> bytes | None:
-    """What a frame's checksum covers, None where that depends on the sound's coding (layer II)."""
+#: Layer II: bits of the allocation of each subband, for the five tables of the standards.
+ALLOCATION_BITS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+def allocation_table(h: Header) -> tuple[int, ...]:
+    """A layer II frame's table, by version, sample rate and bitrate of a channel."""
+    if h.version != "1":
+        return ALLOCATION_BITS["low"]
+    each = h.bitrate // (1 if h.mono else 2)
+    if each >= 56 and (h.rate == 48000 or each <= 80):
+        return ALLOCATION_BITS["a"]
+    if each >= 96:
+        return ALLOCATION_BITS["b"]
+    return ALLOCATION_BITS["d" if h.rate == 32000 else "c"]
+
+
+def _covered_2(h: Header, frame: bytes) -> tuple[bytes, int]:
+    """Layer II: two bytes of header, the allocations, and two bits of scale factor selection for each that isn't 0."""
+    table, channels = allocation_table(h), 1 if h.mono else 2
+    rest = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big")
+    at = chosen = 0
+    for k, bits in enumerate(table):
+        shared = channels == 2 and k >= h.bound
+        for _ in range(1 if shared else channels):
+            at += bits
+            if rest >> 512 - at & (1 << bits) - 1:
+                chosen += 2 if shared else 1
+    return frame[2:4] + frame[6:70], 16 + at + 2 * chosen
+
+
+def covered(h: Header, frame: bytes) -> bytes | tuple[bytes, int] | None:
+    """What a frame's checksum covers, for ``crc16``; None where a layer II frame is too short for it."""
     if h.layer == 3:
         return frame[2:4] + frame[6 : 6 + h.side_bytes]
     if h.layer == 1:
         return frame[2:4] + frame[6 : 6 + (16 if h.mono else (2 * h.bound + 32 - h.bound) // 2)]
-    return None
+    data, bits = _covered_2(h, frame)
+    # no more than is covered, so that equal parts are equal
+    return (data[: -(-bits // 8)], bits) if bits <= 8 * len(data) else None
 
 
 def _syncsafe(four: bytes) -> int:
@@ -162,7 +202,12 @@ def read_id3v1(data: bytes) -> dict[str, str]:
 
 
 def read_vbr(h: Header, frame: bytes) -> dict[str, object] | None:
-    """The variable-bitrate table (Xing or Info) in a first frame."""
+    """The variable-bitrate table (Xing, Info or VBRI) in a first frame."""
+    if h.layer == 3 and frame[36:40] == b"VBRI" and len(frame) >= 62:
+        version, delay, quality, size, frames, entries, scale, width, step = struct.unpack(">HHHIIHHHH", frame[40:62])
+        parts = [frame[62 + k * width : 62 + (k + 1) * width] for k in range(entries)]
+        toc = [int.from_bytes(part, "big") * scale for part in parts if width and len(part) == width]
+        return {"kind": "VBRI", "version": version, "delay": delay, "quality": quality, "bytes": size, "frames": frames, "frames_per_entry": step, "sizes": toc}
     at = 4 + (2 if h.protected else 0) + h.side_bytes
     kind = frame[at : at + 4]
     if h.layer != 3 or kind not in (b"Xing", b"Info"):
@@ -217,7 +262,7 @@ def parse(data: bytes) -> Stream:
     end = len(data) - (128 if old else 0)
     out = Stream(np.zeros(0, np.int64), tags=tags, old_tags=old)
     offsets: list[int] = []
-    checked: dict[bytes, int] = {}
+    checked: dict[bytes | tuple[bytes, int], int] = {}
     lead: Header | None = None
     synced = False
     while at + 4 <= end:

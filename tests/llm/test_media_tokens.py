@@ -57,6 +57,49 @@ def test_crc_and_known_frame_sizes():
     assert mpeg_audio.header(b"\xff\xff\xff\xff") is None and mpeg_audio.header(b"\xff\xfb\x00\x00") is None
 
 
+def test_vbri_table_is_no_sound_frame():
+    rng = random.Random(8)
+    lead = frame("1", 3, 9, 0, 0, False, rng)
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (5000).to_bytes(4, "big") + (6).to_bytes(4, "big") + b"\0\2\0\1\0\2\0\3" + b"\3\0\4\0"
+    sound = [frame("1", 3, 9, 0, 0, False, rng) for _ in range(6)]
+    s = mpeg_audio.parse(lead[:4] + bytes(32) + table + bytes(len(lead) - 36 - len(table)) + b"".join(sound))
+    assert s.vbr["kind"] == "VBRI" and s.vbr["frames"] == 6 and s.vbr["bytes"] == 5000 and s.vbr["sizes"] == [768, 1024] and s.vbr["frames_per_entry"] == 3
+    assert s.samples == 6 * 1152 and s.offsets[0] == len(lead) and len(s.offsets) == 6
+
+
+def bitwise_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ int(b) else 0)
+    return c
+
+
+def test_layer_2_checksums():
+    # stereo of 192 kbit/s at 44.1 kHz (30 subbands), mono of 48 at 44.1 (8), joint stereo from subband 4 of MPEG 2 (30)
+    widths = {"wide": [4] * 11 + [3] * 12 + [2] * 7, "small": [4] * 2 + [3] * 6, "low": [4] * 4 + [3] * 7 + [2] * 19}
+    heads = {"wide": bytes([0xFF, 0xFC, 0xA0, 0x00]), "small": bytes([0xFF, 0xFC, 0x20, 0xC0]), "low": bytes([0xFF, 0xF4, 0x80, 0x40])}
+    for name, head in heads.items():
+        rng = random.Random(name)
+        size = mpeg_audio.header(head).size
+        code, picks = "", 0
+        for k, w in enumerate(widths[name]):
+            joint = name == "low" and k >= 4
+            for _ in range(1 if name == "small" or joint else 2):
+                value = rng.choice([0, rng.randrange(1 << w)])
+                code += f"{value:0{w}b}"
+                picks += (2 if joint else 1) * (value > 0)
+        code += "".join(rng.choice("01") for _ in range(2 * picks))
+        crc = bitwise_crc(f"{int.from_bytes(head[2:], 'big'):016b}" + code)
+        rest = "".join(rng.choice("01") for _ in range((size - 6) * 8 - len(code)))
+        good = head + crc.to_bytes(2, "big") + int(code + rest, 2).to_bytes(size - 6, "big")
+        last = len(code) - 1  # the last covered bit, then the first that isn't
+        bad, late = bytearray(good), bytearray(good)
+        bad[6 + last // 8] ^= 128 >> last % 8
+        late[6 + len(code) // 8] ^= 128 >> len(code) % 8
+        s = mpeg_audio.parse(good + bytes(bad) + bytes(late))
+        assert (len(s.offsets), s.checksums_good, s.checksums_bad) == (3, 2, 1), name
+
+
 @pytest.mark.parametrize("version,layer", [(v, n) for v in ("1", "2", "2.5") for n in (1, 2, 3)])
 def test_parse_resynchronises(version, layer):
     rng = random.Random(version + str(layer))
