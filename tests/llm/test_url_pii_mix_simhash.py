@@ -139,6 +139,52 @@ def test_pii_query_digest(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def same_as_sql(spark, folder, tables, query, sql):
+    """Whether a registered query and its SQL give the same rows over small tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+        con.sql(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet/*.parquet')")
+    got, want = query(spark, str(folder)), con.sql(sql)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    rows = sorted(repr([plain(r[c]) for c in columns]) for r in got.collect())
+    assert rows == sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
+
+
+def test_pii_query_matches_sql(spark, tmp_path):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    more = ["SSN 123-45-6789, 234-56-7890, 345-67-8901", "ssn" + "é" * 45 + "123-45-6789", "ssn" + "é" * 46 + "123-45-6789", f"IBAN {de} BIC COBADEFF", f"REF AB12 CDEF 1234 {de} OK {gb}", f"{de}x {gb}_", "DE89370400440532013000 AND MORE"]
+    texts = [t for t in pii_texts() if t is None or len(t) < 2000] + more
+    same_as_sql(spark, tmp_path, {"documents": docs_of(spark, [(i if i else None, t, None) for i, t in enumerate(texts)])}, pii.op2_pii, pii.OP2_SQL)
+
+
+def test_pii_many_spans_in_one_text(spark):
+    unit = "ssn 123-45-6789 é a@b.co "
+    rows = pii.find_pii(docs_of(spark, [(1, unit * 50_000, "s")])).select(F.transform("pii_spans", lambda s: s["start"]).alias("starts"), pii.redact(F.col("text"), F.col("pii_spans")).alias("red")).collect()
+    assert rows[0]["red"] == "ssn [SSN] é [EMAIL] " * 50_000
+    assert rows[0]["starts"] == [len(unit) * i + at for i in range(50_000) for at in (4, 18)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 33])
+def test_running_results(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(50) for _ in range(n)]
+    got = spark.createDataFrame([(values,)], "v array<long>").select(pii.running(F.col("v"), lambda x, y: x + y), pii.running(F.col("v"), lambda x, y: F.greatest(x, y))).first()
+    assert got[0] == [sum(values[: i + 1]) for i in range(n)] and got[1] == [max(values[: i + 1]) for i in range(n)]
+
+
+def test_redaction_joins_overlaps(spark):
+    spans = [(2, 0, 5, "email", 1.0), (3, 1, 4, "ip", 1.0), (4, 2, 9, "card", 1.0), (9, 3, 10, "phone", 1.0), (600, 0, 1200, "email", 1.0)]
+    text = "é" * 1300
+    row = spark.createDataFrame([(text, spans)], f"t string, s array<{pii._SPAN}>").select(pii.redact(F.col("t"), F.col("s"))).first()
+    assert row[0] == "éé[EMAIL][PHONE]" + "é" * 590 + "[EMAIL]" + "é" * 100
+
+
 # ---- mixing
 
 
