@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules on short hash prefixes.
 
 Every URL is expanded into the expressions "last n host labels + first m path characters", but only for the
-shapes (n, m) that occur among the rules, so nothing is expanded that could not match.  Expressions meet the
+shapes (n, m) that occur among the rules, however many, so nothing is expanded that could not match.  Expressions meet the
 rules in an equi-join on the first 32 bits of SHA-256; the full digest confirms a meeting, and one aggregate
 per URL keeps the rule that takes precedence.
 
@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: More distinct rule shapes than this are expanded from the URL itself and not from a literal list.
-MAX_LITERAL_SHAPES = 512
 #: Up to so many rules (about 200 bytes each) are broadcast; more are shuffled, salted.
 MAX_BROADCAST_RULES = 50_000
 
@@ -71,18 +69,15 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def _expressions(host: Column, path: Column, shapes: list[tuple[int, int]] | None) -> Column:
-    def one(n: Column, m: Column) -> Column:
-        return F.when((_labels(host) >= n) & (F.length(path) >= m), F.concat(F.call_function("substring_index", host, F.lit("."), -n), F.substr(path, F.lit(1), m)))
+def _expressions(host: Column, path: Column, shapes: dict[int, list[int]]) -> Column:
+    """Expressions of a URL for all shapes: path lengths by number of labels.  Each list is one literal, whatever its length."""
+    def of(n: int, lengths: list[int]) -> Column:
+        every = F.split(F.lit(",".join(map(str, sorted(lengths)))), ",").cast("array<int>")
+        suffix = F.substring_index(host, ".", -n)
+        fitting = F.filter(every, lambda m: m <= F.length(path))
+        return F.when(_labels(host) >= n, F.transform(fitting, lambda m: F.concat(suffix, F.substr(path, F.lit(1), m)))).otherwise(F.array().cast("array<string>"))
 
-    if shapes is not None:
-        return F.array_compact(F.array(*[one_literal(host, path, n, m) for n, m in shapes]))
-    suffixes = F.transform(F.sequence(F.lit(1), _labels(host)), lambda n: n)
-    return F.flatten(F.transform(suffixes, lambda n: F.transform(F.sequence(F.lit(0), F.length(path)), lambda m: one(n, m))))
-
-
-def one_literal(host: Column, path: Column, n: int, m: int) -> Column:
-    return F.when((_labels(host) >= n) & (F.length(path) >= m), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m)))
+    return F.concat(*[of(n, lengths) for n, lengths in sorted(shapes.items())])
 
 
 def judge_urls(
@@ -96,17 +91,18 @@ def judge_urls(
     """
     spark = urls.sparkSession
     ruled = prepare_rules(rules)
-    found = ruled.select("n_labels", "n_path").distinct().limit(MAX_LITERAL_SHAPES + 1).collect()
-    shapes = [(r[0], r[1]) for r in found] if len(found) <= MAX_LITERAL_SHAPES else None
+    # distinct lengths of paths by number of labels: a few thousand numbers at most, as lengths of rules are
+    found = ruled.groupBy("n_labels").agg(F.collect_set("n_path").alias("lengths"), F.count("*").alias("n")).collect()
+    shapes = {r["n_labels"]: r["lengths"] for r in found}
     host, path = split_url(F.col(url_col))
     base = urls.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path")).withColumn("_sl_row", F.monotonically_increasing_id())
-    if shapes == []:
+    if not shapes:
         return base.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default_verdict).alias("verdict"), F.lit(0).cast("long").alias("rule_matches"))
     expanded = base.select("*", F.explode_outer(_expressions(F.col("host"), F.col("path"), shapes)).alias("_sl_expr")).withColumn("_sl_digest", F.sha2("_sl_expr", 256))
     left = expanded.withColumn("_sl_prefix", F.substring("_sl_digest", 1, 8))
     right = ruled.select(F.substring("r_digest", 1, 8).alias("r_prefix"), "r_digest", "r_rule")
     near = F.col("_sl_prefix") == F.col("r_prefix")
-    if ruled.count() <= MAX_BROADCAST_RULES:
+    if sum(r["n"] for r in found) <= MAX_BROADCAST_RULES:
         met = left.join(F.broadcast(right), near, "left")
     else:
         left = left.withColumn("_sl_salt", F.pmod("_sl_row", F.lit(salts)).cast("int"))
@@ -120,7 +116,8 @@ def judge_urls(
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(QUERY_RULES, "host string, path string, verdict string")
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in QUERY_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, verdict)")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

@@ -34,15 +34,32 @@ def judge(url):
 URLS = ["http://WWW.Example.com/en/1", "https://example.com/en/", "https://x.example.com/en/?q=/fr/", "https://a.net/es/#t", "https://net/fr/x", "https://netx/fr/x", "ftp://com", "https://com/", None, "", "no scheme", "https://.com/x", "https://a.dup.org/y", "https://a..com/", "http://a://b.com/", "https://É.COM/\nx", "https://" + "a." * 3000 + "com/" + "x" * 5000]
 
 
-@pytest.mark.parametrize("literal", [512, 0])
-def test_urls_match_brute_force(spark, monkeypatch, literal):
-    monkeypatch.setattr(url_filter, "MAX_LITERAL_SHAPES", literal)
-    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", literal)
-    urls = [u for u in URLS if literal or not u or len(u) < 200]
-    pages = spark.createDataFrame([(i // 2 if i else None, u, "h", "p") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, rule string")
+@pytest.mark.parametrize("broadcast", [512, 0])
+def test_urls_match_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", broadcast)
+    pages = spark.createDataFrame([(i // 2 if i else None, u, "h", "p") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string, rule string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = [tuple(r)[1:5] for r in url_filter.judge_urls(pages, rules).collect()]
-    assert sorted(map(repr, got)) == sorted(repr(judge(u)) for u in urls * 2)
+    assert sorted(map(repr, got)) == sorted(repr(judge(u)) for u in URLS * 2)
+
+
+def test_urls_many_shapes_and_long_urls(spark):
+    path = "/" + "ab" * 1500
+    rules = [("d%d.org" % (k % 3), path[:k], "block" if k % 2 else "allow") for k in range(1, 1201)] + [("org", "", "block"), ("x.d1.org", path, "allow")]
+    urls = ["https://d%d.org%s" % (k % 4, path[: 7 * k]) for k in range(1, 300)] + ["https://a.x.d1.org" + path + "c", "https://x.d1.org/b", "https://org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["rule_matches"]) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    for k, u in enumerate(urls):
+        host, _, rest = u.removeprefix("https://").partition("/")
+        rest = "/" + rest if _ else ""
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and rest.startswith(p)]
+        best = max(fits, default=(0, 0, None, "allow"))
+        assert got[k] == (best[2], best[3], len(fits)), u[:60]
+
+
+def test_urls_query_matches_sql(spark, tmp_path):
+    pages = spark.createDataFrame([(i // 2 if i else None, u, "h", "p") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string, rule string")
+    same_as_sql(spark, tmp_path, {"pages": pages.repartition(3)}, url_filter.op1_url_filters, url_filter.OP1_SQL)
 
 
 def test_urls_empty_tables(spark):
@@ -223,6 +240,46 @@ def test_mixing_targets_and_takes(spark):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, (tuple(r) for r in again)))
 
 
+def test_mixing_is_unequal_within_a_source(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 4, 16, 64, 256])), "a" if i % 3 else "b") for i in range(4000)]
+    plan = mixing.plan_mix(docs_of(spark, rows), source_weight=F.when(F.col("source") == "a", 1.0).otherwise(2.0)).collect()
+    total = sum(r["size"] for r in plan)
+    for source, share in (("a", 1 / 3), ("b", 2 / 3)):
+        own = [r for r in plan if r["source"] == source]
+        want = min(total * share, 3 * own[0]["source_size"])
+        assert abs(own[0]["target"] - want) < 1e-6 and abs(sum(r["copies"] * r["size"] for r in own) - want) <= 128.5
+        by = {}
+        for r in own:
+            by.setdefault(r["size"], []).append(r)
+        e = {n: x[0]["expected"] for n, x in by.items()}
+        assert abs(sum(r["expected"] * r["size"] for r in own) - want) < 1e-6 * want
+        for n, x in by.items():
+            # doubled from size to size up to the cap, and taken as often as expected
+            assert abs(e[n] - min(3.0, e[1] * n**0.5)) < 1e-6 or e[n] == 3.0
+            assert {r["copies"] for r in x} <= {int(e[n]), int(e[n]) + 1}
+            assert abs(sum(r["copies"] for r in x) / len(x) - e[n]) < 0.1
+    none = mixing.plan_mix(docs_of(spark, rows), source_weight=F.when(F.col("source") == "a", 1.0), doc_weight=F.lit(1.0)).collect()
+    assert {(r["target"], r["copies"]) for r in none if r["source"] == "b"} == {(0.0, 0)}
+    assert len({r["expected"] for r in none if r["source"] == "a"}) == 1
+
+
+def test_mixing_odd_weights(spark):
+    rows = [(i, "w " * (i % 9), "s") for i in range(40)] + [(50, "x y", "t")]
+    docs = docs_of(spark, rows).withColumn("q", F.when(F.col("doc_id") % 5 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 5 == 1, -3.0).when(F.col("doc_id") % 5 == 2, 1e300).otherwise(F.lit(None)))
+    got = mixing.plan_mix(docs, doc_weight=F.col("q")).collect()
+    assert len(got) == 41 and all(0 <= r["copies"] <= 3 for r in got)
+    for s in "st":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 4.5
+
+
+def test_mixing_query_matches_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 300)), rng.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(600)] + [(None, None, "z"), (None, "p q", "z"), (7, "x y\tz\x0b\nq", "zz"), (8, None, "empty")] + [(5, "one two", "a")] * 20
+    same_as_sql(spark, tmp_path, {"documents": docs_of(spark, rows)}, mixing.op9_mixing, mixing.OP9_SQL)
+
+
 def test_mixing_salted_join_agrees(spark, monkeypatch):
     rows = [(i, "w " * (i % 7), f"s{i % 5}") for i in range(100)]
     got = sorted(map(tuple, mixing.plan_mix(docs_of(spark, rows)).collect()))
