@@ -5,9 +5,11 @@ read each run forwards and backwards, a softmax over both states labels every by
 probabilities is the document's.  Many runs advance together, one byte position a step, so the work of a step is a few
 array operations whatever the lengths of the texts; no text is cut short.
 
-Training is plain numpy: backpropagation through time and Adam, on runs drawn from a bounded sample of documents
-(``max_docs`` documents, those with the smallest MD5 of their id; ``per_doc`` runs each from anywhere in the text),
-so the fit costs the same at every scale.  The model holds about two thousand numbers.
+Training is plain numpy: backpropagation through time and Adam.  It learns from the whole texts of a bounded sample of
+documents (``max_docs`` of them, those with the smallest MD5 of their id), cut into runs as in prediction; each step
+draws languages alike, then documents of a language alike, then runs of a document alike, so neither a common
+language nor a long text crowds out the others, and the fit costs the same at every scale.  The model holds about
+two thousand numbers.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score 0, as is every text if
 there is nothing to learn from; null languages and null texts are not learned from; equal and null ids stay separate
@@ -190,27 +192,29 @@ def loss_and_gradient(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, co
     return loss, [g_table, g_recur, g_out, g_bias]
 
 
-def train(runs: list[bytes], labels: list[str], hidden: int = 8, run: int = 64, steps: int = 300, lanes: int = 192, rate: float = 0.02, seed: int = 1) -> GruModel | None:
-    """Fit a model to labelled runs (cut to ``run`` bytes); None without any."""
-    pairs = [(r[:run], lang) for r, lang in zip(runs, labels, strict=True) if r]
+def train(texts: list[bytes], labels: list[str], hidden: int = 8, run: int = 64, steps: int = 300, lanes: int = 192, rate: float = 0.02, seed: int = 1) -> GruModel | None:
+    """Fit a model to whole labelled texts; None without any."""
+    pairs = sorted(((lang, k) for k, lang in enumerate(labels) if texts[k]), key=lambda p: p[0])
     if not pairs:
         return None
-    languages = tuple(sorted({lang for _, lang in pairs}))
-    x, valid, _ = _runs([r for r, _ in pairs], run)
-    y = np.array([languages.index(lang) for _, lang in pairs])
+    languages = tuple(sorted({lang for lang, _ in pairs}))
+    x, valid, first = _runs([texts[k] for _, k in pairs], run)
+    y = np.array([languages.index(lang) for lang, _ in pairs])
+    parts = np.diff(np.append(first, len(x)))
+    docs = np.bincount(y)  # texts of each language, which lie one after the other
+    begins = np.cumsum(docs) - docs
     rng = np.random.default_rng(seed)
     params = [(rng.normal(size=s) * (0.3 if len(s) == 3 else 0.2)).astype(np.float32) for s in _shapes(hidden, len(languages))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    # each language is drawn alike
-    share = 1.0 / np.bincount(y)[y]
-    share /= share.sum()
+    m1s, m2s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        pick = rng.choice(len(x), size=lanes, p=share)
+        kind = rng.integers(len(languages), size=lanes)
+        doc = begins[kind] + (rng.random(lanes) * docs[kind]).astype(np.int64)
+        pick = first[doc] + (rng.random(lanes) * parts[doc]).astype(np.int64)
         counts = (np.arange(run)[:, None] < valid[pick]).astype(np.float32)
-        _, grads = loss_and_gradient(params, x[pick].T.astype(np.intp), y[pick], counts)
+        _, grads = loss_and_gradient(params, x[pick].T.astype(np.intp), kind, counts)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         pace = rate * min(1.0, 3 * (1 - step / (steps + 1)))
-        for p, g, m1, m2 in zip(params, grads, first, second, strict=True):
+        for p, g, m1, m2 in zip(params, grads, m1s, m2s, strict=True):
             g = g * min(1.0, 1.0 / (norm + 1e-9))
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
@@ -222,26 +226,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_runs(docs: DataFrame, id_col: str, text_col: str, lang_col: str, run: int, max_docs: int, per_doc: int) -> tuple[list[bytes], list[str]]:
-    """At most max_docs * per_doc labelled runs; texts are cut on the executors, so what reaches the driver is bounded."""
+def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> tuple[list[bytes], list[str]]:
+    """Whole texts and languages of at most ``max_docs`` labelled documents that aren't held out."""
     text, key = F.col("_sl_text"), F.col("_sl_id").cast("string")
     usable = docs.select(F.col(id_col).alias("_sl_id"), F.col(text_col).alias("_sl_text"), F.col(lang_col).alias("_sl_lang")).where(
         F.col("_sl_id").isNotNull() & text.isNotNull() & (text != "") & F.col("_sl_lang").isNotNull() & ~held_out("_sl_id")
     )
-    room = F.greatest(F.length(text) - run, F.lit(0)) + 1
-    starts = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.pmod(F.xxhash64(key, i), room).cast("int") + 1)
-
-    def cut(rows: DataFrame) -> DataFrame:
-        return rows.select(key.alias("_sl_id"), "_sl_lang", F.transform(starts, lambda s: F.substr(text, s, F.lit(run))).alias("_sl_runs"))
-
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
-    rows = smallest(usable, F.md5(key), max_docs, known, ["_sl_id", "_sl_lang", "_sl_runs"], cut)
-    pairs = [(r.encode(), row["_sl_lang"]) for row in rows for r in row["_sl_runs"]]
-    return [r for r, _ in pairs], [lang for _, lang in pairs]
+    rows = smallest(usable, F.md5(key), max_docs, known, ["_sl_id", "_sl_lang", "_sl_text"], lambda df: df.select(key.alias("_sl_id"), "_sl_lang", "_sl_text"))
+    return [row["_sl_text"].encode() for row in rows], [row["_sl_lang"] for row in rows]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, per_doc: int = 8, run: int = 64, **options) -> GruModel | None:
-    return train(*training_runs(docs, id_col, text_col, lang_col, run, max_docs, per_doc), run=run, **options)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, **options) -> GruModel | None:
+    """The network of the labelled documents that aren't held out; ``max_docs`` bounds the number of rows it is fitted on."""
+    return train(*training_texts(docs, id_col, text_col, lang_col, max_docs), **options)
 
 
 def _predict(own: GruModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
