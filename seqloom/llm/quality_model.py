@@ -3,8 +3,9 @@
 Features are words and pairs of neighbours, hashed into 2**bits weights; a pair of equal words shares one feature
 whatever the word.  A text is the sparse vector count / sqrt(number of features), its score the logistic of a sparse
 dot product.  Training walks a bounded sample of labelled documents (``max_rows`` of them, those with the smallest
-MD5 of their id, whichever the size of the table), so the fit costs the same at every scale and the model, one
-float per weight, is a bounded broadcast.
+MD5 of their id, whichever the size of the table).  Their whole texts, however long, become sparse vectors on the
+executors; the driver gets those, at most 2**bits indices and counts each, so the fit costs the same at every scale
+and the model, one float per weight, is a bounded broadcast.
 
 Defined results for odd input: null and empty texts are scored by the bias; labels with null id or quality, or without
 a document, are not learned from; of several labels for an id the mean counts (a tie learns 1); without any
@@ -61,15 +62,17 @@ class QualityModel:
         return 1.0 / (1.0 + float(np.exp(-np.clip(dot + self.bias, -30, 30))))
 
 
-def fit_ftrl(texts: list[str | None], labels: list[int], bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3, seed: int = 1) -> QualityModel:
+def vector(text: str | None, bits: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, counts) of a text's distinct features."""
+    index, count = np.unique(features(text, bits, hashes), return_counts=True)
+    return index.astype(np.uint32), count.astype(np.uint32)
+
+
+def fit_vectors(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits: int = 18, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 3, seed: int = 1) -> QualityModel:
     """Follow-the-regularised-leader (proximal) over the examples, one update per text."""
     size = 1 << bits
-    z, n, hashes = np.zeros(size + 1), np.zeros(size + 1), _Hashes()
-    seen = []
-    for text in texts:
-        index, count = np.unique(features(text, bits, hashes), return_counts=True)
-        value = count / np.sqrt(max(1, count.sum()))
-        seen.append((np.append(index.astype(np.int64), size), np.append(value, 1.0)))
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    seen = [(np.append(index.astype(np.int64), size), np.append(count / np.sqrt(max(1, count.sum(dtype=np.int64))), 1.0)) for index, count in vectors]
     order = np.random.default_rng(seed)
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
@@ -89,29 +92,49 @@ def fit_ftrl(texts: list[str | None], labels: list[int], bits: int = 18, alpha:
     return QualityModel(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
+def fit_ftrl(texts: list[str | None], labels: list[int], bits: int = 18, **options) -> QualityModel:
+    """As ``fit_vectors``, from texts."""
+    hashes = _Hashes()
+    return fit_vectors([vector(t, bits, hashes) for t in texts], labels, bits, **options)
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, max_chars: int = 200_000) -> tuple[list, list]:
-    """Texts and labels of at most ``max_rows`` labelled ids that aren't held out, by MD5 of the id: a sample of fixed bound.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int, bits: int) -> tuple[list, list]:
+    """Vectors and labels of at most ``max_rows`` labelled ids that aren't held out, by MD5 of the id: a sample of fixed bound.
 
-    Texts of more than ``max_chars`` characters aren't learned from; of rows with one id the smallest text is.
+    Of rows with one id the smallest text is learned from.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_sl_id"), F.col(label_col).cast("double").alias("_sl_y"))
     mean = usable.groupBy("_sl_id").agg((F.avg("_sl_y") >= 0.5).cast("int").alias("_sl_y"))
     chosen = smallest(mean, F.md5(F.col("_sl_id").cast("string")), max_rows, usable.count(), ["_sl_id"])
     table = docs.sparkSession.createDataFrame(chosen, mean.schema)
-    texts = docs.select(F.col(id_col).alias("_sl_doc"), F.col(text_col).alias("_sl_text")).where(F.coalesce(F.length("_sl_text"), F.lit(0)) <= max_chars)
+    texts = docs.select(F.col(id_col).alias("_sl_doc"), F.col(text_col).alias("_sl_text"))
     joined = texts.join(F.broadcast(table), F.col("_sl_doc") == F.col("_sl_id"))  # at most max_rows rows
-    rows = joined.groupBy("_sl_doc", "_sl_y").agg(F.min("_sl_text").alias("_sl_text")).select("_sl_doc", "_sl_text", "_sl_y").collect()
+    single = joined.groupBy("_sl_doc", "_sl_y").agg(F.min("_sl_text").alias("_sl_text"))
+    names, kind = ["_sl_doc", "_sl_y", "_sl_index", "_sl_count"], docs.schema[id_col].dataType.simpleString()
+
+    def setup():
+        hashes = _Hashes()
+
+        def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+            found = [vector(t, bits, hashes) for t in piece.column(2).to_pylist()]
+            packed = [pa.array([v[k].astype("<u4").tobytes() for v in found], pa.binary()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *packed], names=names)
+
+        return apply
+
+    rows = map_texts(single, ["_sl_doc", "_sl_y", "_sl_text"], None, f"_sl_doc {kind}, _sl_y int, _sl_index binary, _sl_count binary", setup).collect()
     rows.sort(key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
-    return [r[1] for r in rows], [r[2] for r in rows]
+    return [(np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<u4")) for r in rows], [r[1] for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, **options) -> QualityModel:
-    texts, y = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows)
-    return fit_ftrl(texts, y, **options)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, bits: int = 18, **options) -> QualityModel:
+    """The model of the labelled documents that aren't held out; ``max_rows`` bounds the number of rows it is fitted on."""
+    vectors, y = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, bits)
+    return fit_vectors(vectors, y, bits, **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -65,6 +65,45 @@ def test_pooling_does_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-5) and (together[-2] == 0).all()
 
 
+def slow_probabilities(m, data):
+    """One byte and one number at a time, as the unit's equations say."""
+    hid, way_states = m.hidden, []
+    for way in (0, 1):
+        h, states = [0.0] * hid, []
+        for byte in data if way == 0 else data[::-1]:
+            own, rec = m.table[way][:, byte].tolist(), m.recur[way].tolist()
+            past = [sum(rec[r][k] * h[k] for k in range(hid)) for r in range(3 * hid)]
+            gate = [1 / (1 + np.exp(-(own[r] + past[r]))) for r in range(2 * hid)]
+            new = [np.tanh(own[2 * hid + k] + gate[k] * past[2 * hid + k]) for k in range(hid)]
+            h = [(1 - gate[hid + k]) * new[k] + gate[hid + k] * h[k] for k in range(hid)]
+            states.append(h)
+        way_states.append(states if way == 0 else states[::-1])
+    out = []
+    for a, b in zip(*way_states):
+        logits = [float(m.bias[k]) + sum(w * x for w, x in zip(m.out[k].tolist(), a + b)) for k in range(len(m.languages))]
+        e = np.exp(np.array(logits) - max(logits))
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_network_matches_slow_version():
+    rows = two_languages(60, 5)
+    model = language_id.train([t.encode() for _, t, _ in rows], [lang for _, _, lang in rows], steps=20, run=16)
+    for text in ("schrift é banana", "x", "mara lava casa mara lava casa wurst " * 3):
+        data = text.encode()
+        runs = [data[i : i + 16].ljust(16) for i in range(0, len(data), 16)]
+        slow = np.concatenate([slow_probabilities(model, r) for r in runs])[: len(data)]
+        assert np.allclose(language_id.pooled(model, [data])[0], slow.mean(axis=0), atol=1e-4)
+        assert language_id.label_bytes(model, text) == [model.languages[k] for k in slow.argmax(axis=1)]
+
+
+def test_language_learns_from_whole_texts():
+    # only the ends of the texts tell the languages apart
+    texts = [b"q" * 6000 + (b"a" if k % 2 else b"z") * 6000 for k in range(40)]
+    model = language_id.train(texts, ["aa" if k % 2 else "zz" for k in range(40)], steps=80)
+    assert [model.languages[int(p.argmax())] for p in language_id.pooled(model, [b"a" * 500, b"z" * 500])] == ["aa", "zz"]
+
+
 def test_language_without_labels(spark):
     docs = docs_of(spark, [(1, "abc", None), (2, None, "aa")])
     assert language_id.fit(docs) is None
@@ -102,6 +141,51 @@ def test_quality_held_out(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[800] == got[801]
 
 
+def slow_ftrl(texts, labels, bits, alpha=0.3, beta=1.0, l1=0.02, l2=0.1, epochs=3, seed=1):
+    """Plain dictionaries, one coordinate at a time."""
+    z, n, hashes, order = {}, {}, quality_model._Hashes(), np.random.default_rng(seed)
+    rows = []
+    for t in texts:
+        f = quality_model.features(t, bits, hashes).tolist()
+        rows.append({i: f.count(i) / max(1, len(f)) ** 0.5 for i in set(f)} | {"bias": 1.0})
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return ((l1 if z[i] > 0 else -l1) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in rows[k]}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in rows[k].items())))
+            for i, v in rows[k].items():
+                g = (p - labels[k]) * v
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - old**0.5) / alpha * w[i]
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_matches_slow_version():
+    rows = quality_rows(60, 3) + [(90, None, 1), (91, "", 0), (92, "w " * 300, 1)]
+    texts, labels = [t for _, t, _ in rows], [y for _, _, y in rows]
+    model, slow = quality_model.fit_ftrl(texts, labels, bits=12), slow_ftrl(texts, labels, 12)
+    assert abs(model.bias - slow.pop("bias")) < 1e-9
+    assert all(abs(model.weights[i] - slow.get(i, 0.0)) < 1e-5 for i in range(1 << 12)) and any(slow.values())
+
+
+def test_quality_learns_from_long_texts(spark):
+    # every labelled text is longer than 200,000 characters
+    docs = docs_of(spark, [(i, ("good report " if i % 2 else "win free ") * 25_000, "en") for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    vectors, y = quality_model.labelled_sample(docs, labels, "doc_id", "text", "quality", 3000, 12)
+    assert len(y) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(12)) and all(c.sum() == 2 * 50_000 - 1 for _, c in vectors)
+    model = quality_model.fit(docs, labels)
+    short = docs_of(spark, [(1, "good report good", "en"), (2, "win free win", "en")])
+    scores = {r["doc_id"]: r["score"] for r in quality_model.score_quality(short, model).collect()}
+    assert scores[1] > 0.5 > scores[2]
+
+
 def test_quality_without_labels(spark):
     docs = docs_of(spark, [(1, "a b c", "en")])
     labels = spark.createDataFrame([], "doc_id long, quality int")
