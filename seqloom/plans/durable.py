@@ -9,20 +9,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Tables and folders that this process has made, for ``release``.
-_MADE: list[str] = []
+#: Tables and folders that this process has made: those of the open scopes, innermost last; the first is the process.
+_SCOPES: list[list[str]] = [[]]
+#: Where a materialised DataFrame lies.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where the session names none (local tests), one of our own."""
+    """The cluster's shared folder; where the session names none, one of our own, which only a local session can share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="seqloom-shared-")
@@ -31,26 +39,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/seqloom/{tag}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _SCOPES[-1].append(path)
     return path
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def release(spark: SparkSession) -> int:
     """Delete all intermediates of this process, once no DataFrame that reads them is needed any more; their number."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = 0
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    for held in _SCOPES:
+        while held:
+            gone += delete(spark, held.pop())
     return gone
 
 
+class Scratch:
+    """The tables of a ``scratch`` block."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leave these materialised tables to the scope outside."""
+        self.kept |= {_PATHS[t] for t in tables if t in _PATHS}
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete the intermediates that are made in this block at its end, but for those kept; what the block returns must
+    read kept tables only."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    scope = Scratch()
+    try:
+        yield scope
+    finally:
+        _SCOPES.pop()
+        for path in own:
+            if path in scope.kept:
+                _SCOPES[-1].append(path)
+            else:
+                delete(spark, path)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "lz4") -> DataFrame:
     """Write ``df`` once, return a scan of what was written (same schema, also when empty)."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def join_small(

@@ -1,4 +1,4 @@
-"""Ship this package to Python workers that do not have it on their path."""
+"""Ship this package and files to Python workers that do not have them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import pathlib
 import tempfile
 import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_FILES: set[tuple[str, str]] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -23,3 +25,17 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, str(source.relative_to(root.parent)))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hand a file (a local path or any URI that Spark reads) to all executors; the name by which ``shipped`` finds it there."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _FILES:
+        spark.sparkContext.addFile(path)
+        _FILES.add(key)
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def shipped(name: str) -> str:
+    """Local path of a shipped file, in a task."""
+    return SparkFiles.get(name)
