@@ -21,15 +21,21 @@ BLOCK = 4096
 def with_offsets(records: DataFrame, ord_col: str = "ord", n_col: str = "n") -> DataFrame:
     """``records`` with ``off``, the exclusive running sum of n by ord, without a window over all rows.
 
-    Rows are summed within buckets of BUCKET values of ord, and only the buckets' sums are ordered as a whole.
+    Rows are summed within buckets (BUCKET values of ord), and only the buckets' sums, a row each, are ordered as a whole.
+    Equal values of ord are ordered by id, n and seq, as far as there are such columns; rows without one come last, in
+    order of the MD5 of their id, whose first digits are their buckets.
     """
-    bucket = F.floor(F.col(ord_col) / BUCKET)
+    digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) if "id" in records.columns else F.md5(F.lit(""))
+    rank = F.when(F.col(ord_col).isNull(), digest)
+    bucket = F.struct(F.floor(F.col(ord_col) / BUCKET).alias("b"), F.substring(rank, 1, 3).alias("r"))
+    ties = [F.col(c) for c in ("id", n_col) if c in records.columns] + ([F.xxhash64("seq")] if "seq" in records.columns else [])
+    order = [F.col(ord_col).asc_nulls_last(), rank, *ties]
     rows = records.withColumn("_bucket", bucket)
-    inside = Window.partitionBy("_bucket").orderBy(ord_col).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy(F.col("_b.b").asc_nulls_last(), "_b.r").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.sum(n_col).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_base"))
     rows = rows.withColumn("_inside", F.coalesce(F.sum(n_col).over(inside), F.lit(0)))
-    joined = rows.join(sums, F.col("_bucket") == F.col("_b"))
+    joined = rows.join(sums, F.col("_bucket").eqNullSafe(F.col("_b")))
     return joined.withColumn("off", (F.col("_base") + F.col("_inside")).cast("long")).drop("_bucket", "_b", "_base", "_inside")
 
 
