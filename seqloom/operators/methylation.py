@@ -117,6 +117,11 @@ def read_sites(rows: DataFrame, contigs: DataFrame, region: Region | None, thres
     return above(to_percent(stages.sites, stats["verdict"]), threshold)
 
 
+def removed_count(sites: DataFrame, pieces: DataFrame) -> int:
+    """How many sites pruning takes away."""
+    return mismatches(sites, pieces).count()
+
+
 def settle_mismatches(sites: DataFrame, pieces: DataFrame, on_mismatch: str = "prune") -> DataFrame:
     """``prune`` drops sites that aren't on a C, ``error`` raises at the first of them."""
     if on_mismatch == "prune":
