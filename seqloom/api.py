@@ -6,6 +6,7 @@ Everything stays a DataFrame until an image is asked for; only lengths, value ra
 from __future__ import annotations
 
 import os
+import sys
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,10 @@ class Dotplot:
     x_sites: DataFrame | None = None
     y_sites: DataFrame | None = None
     same: bool = False
+    #: Which axes are reverse complements.
+    turned: tuple[bool, bool] = (False, False)
+    #: Sites that were pruned for not being on a cytosine, by axis; None without a track or pruning.
+    removed: tuple[int | None, int | None] = (None, None)
 
     def __post_init__(self) -> None:
         for name, axis in (("first", self.x), ("second", self.y)):
@@ -47,9 +52,15 @@ class Dotplot:
         xs = kmers(self.x.pieces, self.word_length)
         return xs, xs if self.same else kmers(self.y.pieces, self.word_length)
 
-    def matches(self) -> DataFrame:
-        """(x, y, kmer) of all matches."""
-        return matching.match_pairs(*self._kmers())
+    def axes(self) -> tuple[layout.AxisInfo, layout.AxisInfo]:
+        """What the axes show; bases are counted from the start of the region."""
+        every = zip((self.x, self.y), self.turned, strict=True)
+        x, y = (layout.AxisInfo(layout.axis_label(a.label.pretty(), turned), a.label.start or 0, a.length) for a, turned in every)
+        return x, y
+
+    def matches(self, max_copies: int | None = None) -> DataFrame:
+        """(x, y, kmer) of all matches, or of those words only that have at most ``max_copies`` copies on an axis."""
+        return matching.match_pairs(*self._kmers(), max_copies)
 
     def hits(self) -> DataFrame:
         """(tx, ty, hits)."""
@@ -68,11 +79,15 @@ class Dotplot:
         return raster.composite(raster.dilate_colour(methylation.coloured(self.cells()), self.dot_size), black)
 
 
-def _sites(spark: SparkSession, path: str, axis: Sequence, config: Config) -> DataFrame | None:
+def _sites(spark: SparkSession, path: str, axis: Sequence, config: Config) -> tuple[DataFrame | None, int | None]:
+    """Sites of a track, and how many were pruned."""
     region = axis.label if axis.cut else None
     rows = read_track(spark, path, region.id if region is not None and region.kind == "id" else None)
     sites = methylation.read_sites(rows, axis.contigs, region, config.methylation_threshold)
-    return None if sites is None else methylation.settle_mismatches(sites, axis.pieces, config.on_mismatch)
+    if sites is None:
+        return None, None
+    removed = methylation.removed_count(sites, axis.pieces) if config.on_mismatch == "prune" else None
+    return methylation.settle_mismatches(sites, axis.pieces, config.on_mismatch), removed
 
 
 def _turned(axis: Sequence, sites: DataFrame | None) -> tuple[Sequence, DataFrame | None]:
@@ -93,33 +108,37 @@ def load(spark: SparkSession, config: Config) -> Dotplot:
     turns = (c.fst_rev, c.snd_rev)
     alone = c.sequence is not None and turns[0] == turns[1]
     regions = c.regions()
-    axes, sites = [], []
+    axes, sites, removed = [], [], []
     for path, track, region in list(zip(paths, tracks, regions, strict=True))[: 1 if alone else 2]:
         check_extension(path, EXTENSIONS)
         axis = read_sequence(spark, path, region)
         if axis is None:
             raise InvalidInput(f"no data in {path} for region {region.pretty() if region else 'all'}")
         axes.append(axis)
-        sites.append(_sites(spark, track, axis, c) if track else None)
+        found, gone = _sites(spark, track, axis, c) if track else (None, None)
+        sites.append(found)
+        removed.append(gone)
     if any(s is None for s in sites):
         sites = [None] * len(sites)
     turned = [_turned(a, s) if turn else (a, s) for a, s, turn in zip(axes, sites, turns, strict=False)]
     (x, x_sites), (y, y_sites) = turned[0], turned[-1]
-    return Dotplot(x, y, c.word_length, c.plot_side, c.dot_size, x_sites, y_sites, alone)
+    return Dotplot(x, y, c.word_length, c.plot_side, c.dot_size, x_sites, y_sites, alone, turns, (removed[0], removed[-1]))
 
 
-def annotations(plot: Dotplot, config: Config, size: layout.Layout, titles: list[str]) -> dict:
+def annotations(plot: Dotplot, page: layout.Page, titles: list[str]) -> dict:
     """Labels, ticks and measures of an image."""
+    (x, y), (_, _, width, height) = plot.axes(), page.plot
     return {
         "titles": titles,
-        "x_label": plot.x.label.pretty() if size.text_width(plot.x.label.pretty()) <= size.width else None,
-        "y_label": plot.y.label.pretty() if size.text_width(plot.y.label.pretty()) <= size.height else None,
-        "x_ticks": [[f"{v:,}", at] for v, at in layout.horizontal_ticks(plot.x.length, size.width)],
-        "y_ticks": [[f"{v:,}", at] for v, at in layout.vertical_ticks(plot.y.length, size.height)],
-        "legend": [[0.0, "0%"], [0.3, "30%"], [0.5, "50%"], [1.0, "100%"]],
-        "origin": list(size.origin),
-        "canvas": list(size.canvas),
-        "sidebar": list(size.sidebar),
+        "x_label": x.label if page.width_of(x.label) <= width else None,
+        "y_label": y.label if page.width_of(y.label) <= height else None,
+        "x_ticks": [[f"{v:,}", at] for v, at in layout.horizontal_ticks(x.length, width, x.start)],
+        "y_ticks": [[f"{v:,}", at] for v, at in layout.vertical_ticks(y.length, height, y.start)],
+        "legend": [list(stop) for stop in layout.LEGEND],
+        "removed_sites": list(plot.removed),
+        "origin": list(page.plot[:2]),
+        "canvas": list(page.canvas),
+        "sidebar": list(page.legend),
     }
 
 
@@ -136,10 +155,11 @@ def render(spark: SparkSession, config: Config) -> str:
     names = [layout.axis_title(os.path.basename(p), a.multi) for p, a in zip(paths, (plot.x, plot.y), strict=True)]
     threshold = c.methylation_threshold if plot.x_sites is not None else None
     titles = layout.title_lines(*names, c.word_length, threshold, side if enlarged else None)
-    size = layout.Layout(side, width, height, len(titles))
-    rows = png.canvas_rows(png.plot_rows(pixels, width, height), size, size.rectangles(plot.x.length, plot.y.length, threshold))
+    page = layout.arrange(side, width, height, len(titles))
+    rows = png.canvas_rows(png.plot_rows(pixels, width, height), page, layout.black_boxes(page, titles, *plot.axes(), threshold))
     path = png.unique_path(c.output_dir, f"{plot.x.label.file_label()}__{plot.y.label.file_label()}")
-    notes = annotations(plot, c, size, titles)
-    png.write_png(rows, *size.canvas, path, {"Title": titles[0], "Comment": "\n".join(titles[1:])})
-    png.write_sidecar(path, notes)
+    png.write_png(rows, *page.canvas, path, {"Title": titles[0], "Comment": "\n".join(titles[1:])})
+    png.write_sidecar(path, annotations(plot, page, titles))
+    for gone in dict.fromkeys(n for n in plot.removed if n):
+        print(f"pruned {gone:,} sites that are not on a cytosine", file=sys.stderr)
     return path

@@ -17,6 +17,11 @@ def truncate(text: Column, max_len: int, count_ellipsis: bool = True) -> Column:
     return F.when(F.length(text) <= max_len, text).otherwise(F.concat(kept, F.lit("...")) if dots else kept)
 
 
+def axis_label(name: Column, turned: Column) -> Column:
+    """What an axis is called; the reverse complement is marked."""
+    return F.when(turned, F.concat(name, F.lit(" (rev. comp.)"))).otherwise(name)
+
+
 def duration(ns: Column) -> Column:
     """A BIGINT of nanoseconds in the largest unit up to seconds, with up to two decimals, cut off."""
 

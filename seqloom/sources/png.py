@@ -1,6 +1,7 @@
-"""PNG sink: scanlines come from Spark in order of rows, the file is written as one stream on the driver.
+"""PNG sink: the bytes of the rows are made on the executors and come in order, the file is written as one stream on the
+driver.
 
-A plot is at most 12,500 pixels wide and high, so a row is the largest thing that the driver holds.
+A plot is at most 12,500 pixels wide and high; the driver holds one partition of its rows.
 """
 
 from __future__ import annotations
@@ -13,27 +14,49 @@ import time
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqloom.functions.color import FRACTIONS, STOPS, _to_linear
 from seqloom.operators.raster import scanlines
-from seqloom.plans.layout import Layout
+from seqloom.plans.layout import Page
+from seqloom.plans.ship import ship_package
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+def row_bytes(pixels: DataFrame, width: int) -> DataFrame:
+    """(y, line): the RGB bytes of each row that has a pixel; pixels that are absent are white."""
+
+    def paint(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dots = batch.column(1)
+            ends, flat = dots.offsets.to_numpy(), dots.flatten()
+            xs = flat.field("x").to_numpy(zero_copy_only=False)
+            rgb = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "rgb"], axis=1).astype(np.uint8)
+            ends = ends - ends[0]
+            lines = []
+            for a, b in zip(ends, ends[1:]):
+                line = np.full((width, 3), 255, np.uint8)
+                line[xs[a:b]] = rgb[a:b]
+                lines.append(line.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lines, pa.binary())], names=["y", "line"])
+
+    ship_package(pixels.sparkSession)
+    return scanlines(pixels).select(F.col("y").cast("long").alias("y"), "dots").mapInArrow(paint, "y long, line binary")
+
+
 def plot_rows(pixels: DataFrame, width: int, height: int) -> Iterator[bytes]:
     """RGB rows of a sparse raster from top to bottom, one partition of rows at the driver at a time."""
     white, nxt = b"\xff" * (3 * width), 0
-    for row in scanlines(pixels).orderBy("y").toLocalIterator():
+    for row in row_bytes(pixels, width).orderBy("y").toLocalIterator():
         for _ in range(nxt, row["y"]):
             yield white
-        line = bytearray(white)
-        for x, r, g, b in row["dots"]:
-            line[3 * x : 3 * x + 3] = bytes((r, g, b))
-        yield bytes(line)
+        yield bytes(row["line"])
         nxt = row["y"] + 1
     for _ in range(nxt, height):
         yield white
@@ -70,20 +93,23 @@ def legend_colour(fraction: float) -> bytes:
     return bytes(out)
 
 
-def canvas_rows(plot: Iterable[bytes], layout: Layout, rectangles: list[tuple[int, int, int, int]]) -> Iterator[bytes]:
-    """Rows of the whole canvas: the plot, black rectangles and the legend on white."""
-    (w, h), (x0, y0) = layout.canvas, layout.origin
-    sx, sy, sw, sh = layout.sidebar
-    rows = iter(plot)
+def canvas_rows(plot: Iterable[bytes], page: Page, boxes: list[tuple[int, int, int, int]]) -> Iterator[bytes]:
+    """Rows of the whole canvas: the plot, the legend and black boxes on white; a box is looked at in its own rows only."""
+    w, h = page.canvas
+    x0, y0, pw, ph = page.plot
+    sx, sy, sw, sh = page.legend
+    rows, waiting, open_boxes = iter(plot), sorted(boxes, key=lambda b: -b[1]), []
     for y in range(h):
         line = bytearray(b"\xff" * (3 * w))
-        if y0 <= y < y0 + layout.height:
-            line[3 * x0 : 3 * (x0 + layout.width)] = next(rows)
+        if y0 <= y < y0 + ph:
+            line[3 * x0 : 3 * (x0 + pw)] = next(rows)
         if sy <= y < sy + sh:
             line[3 * sx : 3 * (sx + sw)] = legend_colour(1.0 - (y - sy) / sh) * sw
-        for x, top, width, height in rectangles:
-            if top <= y < top + height:
-                line[3 * x : 3 * (x + width)] = b"\x00" * (3 * width)
+        while waiting and waiting[-1][1] <= y:
+            open_boxes.append(waiting.pop())
+        open_boxes = [b for b in open_boxes if y < b[1] + b[3]]
+        for x, _, width, _ in open_boxes:
+            line[3 * x : 3 * (x + width)] = b"\x00" * (3 * width)
         yield bytes(line)
 
 
@@ -102,6 +128,6 @@ def unique_path(folder: str, name: str, ext: str = "png") -> str:
 
 
 def write_sidecar(path: str, annotations: dict) -> None:
-    """Labels, ticks and measures as JSON beside the image, as no font is at hand to draw them."""
+    """Labels, ticks and measures as JSON beside the image, for programs."""
     with open(path.rsplit(".", 1)[0] + ".json", "w", encoding="utf-8") as out:
         json.dump(annotations, out, indent=1)
