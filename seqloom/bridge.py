@@ -10,12 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.sequence import contigs_of, pieces_of
+from seqloom.plans.durable import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores; larger inputs have that many partitions and are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def records(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", prefix: str = "doc", letters: str = "ACGT") -> DataFrame:
     """(ord, id, seq)."""
     keep = f"[^{letters}{letters.lower()}]"
@@ -29,6 +36,22 @@ def documents_sequence(spark: SparkSession, sf_dir: str, letters: str = "ACGT")
     return contigs, pieces_of(contigs)
 
 
+def stored_sequence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As ``documents_sequence``, with the contigs written, for queries that read them in several branches."""
+    contigs = materialise(contigs_of(records(spark, sf_dir)), "contigs")
+    return contigs, pieces_of(contigs)
+
+
+def fasta_lines(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
+    """(split, line_no, line): the documents as lines of a FASTA file, a header, a comment and lines of ``width`` bases
+    (in lower case in every other record) for each; 64 documents are a split."""
+    seq = F.when(F.col("ord") % 2 == 0, F.lower("seq")).otherwise(F.col("seq"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.length("seq") / width).cast("int")), lambda i: F.substr(seq, i * width + 1, F.lit(width)))
+    every = F.concat(F.array(F.concat(F.lit("> "), F.col("id"), F.lit(" of documents")), F.lit("; a comment")), F.filter(parts, lambda p: p != ""), F.array(F.lit("")))
+    rows = records(spark, sf_dir).select("ord", F.posexplode(every).alias("i", "line"))
+    return rows.select(F.floor(F.col("ord") / 64).alias("split"), (F.col("ord") * (1 << 20) + F.col("i")).alias("line_no"), "line")
+
+
 def benchmark_sequence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(contigs, pieces) of all benchmark items."""
     contigs = contigs_of(records(spark, sf_dir, "benchmark", "item_id", "item"))

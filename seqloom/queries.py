@@ -11,6 +11,7 @@ from seqloom import bridge
 from seqloom.functions import bases, regions, text
 from seqloom.operators import matching, methylation, raster, sequence
 from seqloom.plans import layout
+from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
 from seqloom.plans.scale import TileScale, scale_columns
 from seqloom.sources import fasta
@@ -102,6 +103,53 @@ def q_contig_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.documents_sequence(spark, sf_dir)[0].select("ord", "id", "n", "off")
 
 
+@query(
+    f"WITH {_rec()}, r AS (SELECT CASE WHEN ord % 7 = 0 THEN NULL ELSE ord END AS ord, id, CAST(length(seq) AS BIGINT) AS n FROM rec) "
+    "SELECT ord, id, n, CAST(sum(n) OVER (ORDER BY ord NULLS LAST, CASE WHEN ord IS NULL THEN md5(id) END ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS off FROM r"
+)
+def q_contig_offsets_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bridge.records(spark, sf_dir).withColumn("ord", F.when(F.col("ord") % 7 != 0, F.col("ord")))
+    return sequence.contigs_of(rows).select("ord", "id", "n", "off")
+
+
+_LINE = 60
+_LINES = f"lines AS (SELECT ord, id, off, n, seq, unnest(range(CAST(ceil(n / {_LINE}.0) AS BIGINT))) AS i FROM con)"
+
+
+@query(f"WITH {_rec()}, {_con()} SELECT CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS ord, id, CAST(n AS BIGINT) AS n, off FROM con")
+def q_fasta_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.contigs_of_lines(fasta.parse_fasta(bridge.fasta_lines(spark, sf_dir, _LINE))).select("ord", "id", "n", "off")
+
+
+@query(f"WITH {_rec()}, {_con()}, {_LINES} SELECT CAST(off + i * {_LINE} AS BIGINT) AS pos, md5(substr(seq, CAST(i * {_LINE} + 1 AS BIGINT), {_LINE})) AS digest FROM lines")
+def q_fasta_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta.placed_lines(fasta.parse_fasta(bridge.fasta_lines(spark, sf_dir, _LINE))).select("pos", F.md5("bases").alias("digest"))
+
+
+@query(
+    f"WITH {_rec()}, {_con()}, {_LINES}, p AS (SELECT off + i * {_LINE} AS pos, substr(seq, CAST(i * {_LINE} + 1 AS BIGINT), {_LINE}) AS b FROM lines), "
+    f"c AS (SELECT greatest(pos, {GLOBAL.start}) AS lo, least(pos + length(b), {GLOBAL.end}) AS hi, pos, b FROM p WHERE pos < {GLOBAL.end} AND pos + length(b) > {GLOBAL.start}) "
+    f"SELECT CAST(lo - {GLOBAL.start} AS BIGINT) AS pos, md5(substr(b, CAST(lo - pos + 1 AS BIGINT), CAST(hi - lo AS BIGINT))) AS digest FROM c"
+)
+def q_fasta_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = fasta.parse_fasta(bridge.fasta_lines(spark, sf_dir, _LINE))
+    cut = fasta.cut_sequence(fasta.placed_lines(parsed), fasta.contigs_of_lines(parsed), GLOBAL)
+    return cut.pieces.select("pos", F.md5("bases").alias("digest"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+p AS (SELECT CASE WHEN starts_with(line, '>') THEN CASE WHEN regexp_extract(line, '^>\s*(\S+)', 1) = '' THEN 'missing identifier' END
+  WHEN regexp_extract(line, '([^ACGTNacgtn])', 1) = '-' THEN 'gaps (''-'') are not supported, use N' WHEN regexp_extract(line, '([^ACGTNacgtn])', 1) <> '' THEN 'invalid symbol ' || upper(regexp_extract(line, '([^ACGTNacgtn])', 1)) END AS problem
+  FROM l WHERE NOT starts_with(line, ';'))
+SELECT problem, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY 1"""
+)
+def q_fasta_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bridge.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
+    lines = docs.select(F.floor(F.col("doc_id") / 64).alias("split"), F.struct("doc_id", "i").alias("line_no"), "line")
+    return fasta.violations(fasta.parse_fasta(lines)).groupBy("problem").agg(F.count("*").alias("n"))
+
+
 def _cut(spark: SparkSession, sf_dir: str, region: Region) -> DataFrame:
     cut = fasta.sequence_of_records(bridge.records(spark, sf_dir), region)
     return cut.pieces.select("pos", F.md5("bases").alias("digest"), F.length("bases").cast("long").alias("n"))
@@ -290,7 +338,7 @@ _PARSED = "SELECT event_id AS line_no, 'doc' || user_id AS chrom, (event_id * 31
 
 
 def _parsed(spark: SparkSession, sf_dir: str, line: str, fmt: str) -> DataFrame:
-    lines = bridge.table(spark, sf_dir, "events").selectExpr("event_id AS line_no", f"{line} AS line")
+    lines = bridge.spread(bridge.table(spark, sf_dir, "events")).selectExpr("event_id AS line_no", f"{line} AS line")
     rows = tracks.good_rows(tracks.parse_lines(lines, fmt))
     return rows.select("line_no", "chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.round(F.col("value").cast("double"), 4).alias("pct"))
 
@@ -314,6 +362,16 @@ def q_track_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.parse_lines(lines, "bedgraph").groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT CASE event_id % 4 WHEN 0 THEN 'missing Percent Modified column' WHEN 1 THEN 'invalid ChromEnd value' ELSE 'good' END AS problem, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1"
+)
+def q_track_one_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other chromosomes are dropped before their numbers are read."""
+    tail = "CASE event_id % 4 WHEN 0 THEN ' 5 6 m 0 + 5 6 255,0,0 8' WHEN 1 THEN ' 5 -6 m 0 + 5 6 255,0,0 8 50' ELSE ' 5 6 m 0 + 5 6 255,0,0 8 50 7' END"
+    lines = bridge.table(spark, sf_dir, "events").selectExpr("event_id AS line_no", f"CASE WHEN user_id = 7 THEN concat('doc7', {tail}) ELSE 'other x y z' END AS line")
+    return tracks.parse_lines(lines, "bed", "doc7").groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_id AS line_no, 'doc' || user_id AS chrom, (event_id * 31) % 400 AS start_pos FROM events WHERE event_type = 'click'")
 def q_track_plus_one_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.track(spark, sf_dir).join(bridge.table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no"), "event_type"), "line_no")
@@ -372,8 +430,57 @@ def q_track_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_sites(spark, sf_dir, threshold=30.0))
 
 
+@query(
+    f"WITH {_rec()}, {_con()}, {_tr(500.0)}, dd AS (SELECT chrom, start, arg_max(value, line_no) AS v FROM tr GROUP BY 1, 2), s AS (SELECT off + start AS pos, arg_max(v, off) AS pct FROM dd JOIN con ON id = chrom GROUP BY 1) "
+    "SELECT pos, round(CAST(pct * CAST(100 AS FLOAT) AS DOUBLE), 3) AS pct FROM s"
+)
+def q_track_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = bridge.documents_sequence(spark, sf_dir)[0].drop("seq")
+    sites = methylation.read_sites(bridge.track(spark, sf_dir, 500.0), contigs, None)
+    return sites.select("pos", F.round(F.col("pct").cast("double"), 3).alias("pct"))
+
+
+@query(
+    f"WITH {_rec()}, {_con()}, {_tr()}, nn AS (SELECT line_no, chrom, start, CASE WHEN line_no % 5 = 0 THEN CAST('nan' AS FLOAT) ELSE value END AS value FROM tr), "
+    f"dd AS (SELECT chrom, start, arg_max(value, line_no) AS v FROM nn GROUP BY 1, 2), s AS (SELECT off + start AS pos, arg_max(v, off) AS pct FROM dd JOIN con ON id = chrom GROUP BY 1) SELECT pos, {_PCT} FROM s WHERE NOT isnan(pct) AND pct >= CAST(10 AS FLOAT)"
+)
+def q_track_not_a_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = bridge.documents_sequence(spark, sf_dir)[0].drop("seq")
+    rows = bridge.track(spark, sf_dir).withColumn("value", F.when(F.col("line_no") % 5 == 0, F.lit(float("nan")).cast("float")).otherwise(F.col("value")))
+    return _rounded(methylation.read_sites(rows, contigs, None, 10.0))
+
+
+_NAMES = 40
+_TWICE = f"WITH {_rec()}, {_con()}, {_tr()}, nm AS (SELECT 'doc' || (ord % {_NAMES}) AS name, ord, off FROM con), "
+
+
+def _contigs_of_few_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.documents_sequence(spark, sf_dir)[0].select("ord", F.concat(F.lit("doc"), F.col("ord") % _NAMES).alias("id"), "n", "off")
+
+
+@query(
+    _TWICE + "f AS (SELECT name, arg_min(off, ord) AS off FROM nm GROUP BY 1), dd AS (SELECT chrom, start, arg_max(value, line_no) AS v FROM tr GROUP BY 1, 2), "
+    f"s AS (SELECT off + start AS pos, arg_max(v, off) AS pct FROM dd JOIN f ON name = chrom GROUP BY 1) SELECT pos, {_PCT} FROM s"
+)
+def q_track_first_of_a_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(methylation.read_sites(bridge.track(spark, sf_dir), _contigs_of_few_names(spark, sf_dir), None))
+
+
+@query(
+    _TWICE + f"f AS (SELECT name, arg_max(off, ord) AS off FROM nm GROUP BY 1), s AS (SELECT off + start - {GLOBAL.start} AS pos, arg_max(value, line_no) AS pct FROM tr JOIN f ON name = chrom "
+    f"WHERE off + start BETWEEN {GLOBAL.start} AND {GLOBAL.start + 10_000_000} GROUP BY 1) SELECT pos, {_PCT} FROM s"
+)
+def q_track_last_of_a_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = Region(None, GLOBAL.start, GLOBAL.start + 10_000_001)
+    return _rounded(methylation.read_sites(bridge.track(spark, sf_dir), _contigs_of_few_names(spark, sf_dir), wide))
+
+
 def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return methylation.on_cytosine(_sites(spark, sf_dir), bridge.documents_sequence(spark, sf_dir)[1])
+    return _pruned_of(spark, sf_dir, *bridge.stored_sequence(spark, sf_dir))
+
+
+def _pruned_of(spark: SparkSession, sf_dir: str, contigs: DataFrame, pieces: DataFrame) -> DataFrame:
+    return methylation.on_cytosine(methylation.read_sites(bridge.track(spark, sf_dir), contigs.drop("seq"), None), pieces)
 
 
 @query(_PRUNED + f" SELECT pos, {_PCT} FROM ok")
@@ -429,7 +536,8 @@ _FOLD = (
 
 
 def _meth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TileScale]:
-    return _pruned(spark, sf_dir), _self_scale(bridge.documents_sequence(spark, sf_dir)[0])
+    contigs, pieces = bridge.stored_sequence(spark, sf_dir)
+    return _pruned_of(spark, sf_dir, contigs, pieces), _self_scale(contigs)
 
 
 @query(_TILES + " SELECT tile, c, round(s, 4) AS s FROM mt")
@@ -438,6 +546,13 @@ def q_meth_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return methylation.tile_stats(sites, scale.tile_w, scale.out_w).select("tile", "c", F.round("s", 4).alias("s"))
 
 
+@query(f"WITH {_tr()}, s AS (SELECT start AS pos, arg_max(value, line_no) AS pct FROM tr GROUP BY 1) SELECT pos // 30 AS tile, count(*) AS c, round(sum(CAST(pct AS DOUBLE)), 4) AS s FROM s WHERE pos // 30 < 10 GROUP BY 1")
+def q_meth_tiles_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites past the last tile are left out."""
+    sites = methylation.last_wins(bridge.track(spark, sf_dir), "start").withColumnRenamed("start", "pos")
+    return methylation.tile_stats(sites, 30, 10).select("tile", "c", F.round("s", 4).alias("s"))
+
+
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, scale = _meth(spark, sf_dir)
     return methylation.meth_cells(sites, sites, scale)
@@ -470,18 +585,44 @@ def q_dilate_color(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPOSITE = _COLOURS + _FOLD + _BLACK + _GROW.format(n=DOT + 1) + ", comp AS (SELECT x, y, r, g, b FROM soft ANTI JOIN grown USING (x, y) UNION ALL SELECT x, y, 0, 0, 0 FROM grown)"
 
 
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contigs are written once and read by all branches; the cells of both axes are those of one list of tiles."""
+    contigs, pieces = bridge.stored_sequence(spark, sf_dir)
+    scale = _self_scale(contigs)
+    tiles = materialise(methylation.tile_stats(_pruned_of(spark, sf_dir, contigs, pieces), scale.tile_w, scale.out_w), "meth-tiles")
+    soft = raster.dilate_colour(methylation.coloured(methylation.cells(tiles, tiles)), DOT)
+    own = sequence.kmers(pieces, K)
+    black = raster.dilate_black(matching.black_tiles(own, own, scale).selectExpr("tx AS x", "ty AS y"), DOT)
+    return raster.composite(soft, materialise(black, "black"))
+
+
 @query(_COMPOSITE + " SELECT x, y, r, g, b FROM comp")
 def q_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.composite(q_dilate_color(spark, sf_dir), q_dilate_black(spark, sf_dir))
+    return _composite(spark, sf_dir)
 
 
 @query(_COMPOSITE + " SELECT y, count(*) AS n, min(x) AS first_x, max(x) AS last_x, CAST(sum(r + 2 * g + 3 * b) AS BIGINT) AS mixed FROM comp GROUP BY y")
 def q_png_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = raster.scanlines(q_composite(spark, sf_dir))
+    lines = raster.scanlines(_composite(spark, sf_dir))
     mixed = F.aggregate("dots", F.lit(0).cast("long"), lambda acc, d: acc + d["r"] + d["g"] * 2 + d["b"] * 3)
     return lines.select("y", F.size("dots").cast("long").alias("n"), F.element_at("dots", 1)["x"].cast("long").alias("first_x"), F.element_at("dots", -1)["x"].cast("long").alias("last_x"), mixed.alias("mixed"))
 
 
+_SMALL_W, _SMALL_H, _BIG = 37, 23, 101
+_BIG_H = int(_BIG / _SMALL_W * _SMALL_H)
+
+
+@query(
+    f"WITH p AS (SELECT event_id % {_SMALL_W} AS x, (event_id // {_SMALL_W}) % {_SMALL_H} AS y, max(user_id) AS r FROM events GROUP BY 1, 2), "
+    f"o AS (SELECT a AS ox, b AS oy FROM (SELECT unnest(range({_BIG})) AS a), (SELECT unnest(range({_BIG_H})) AS b)) "
+    f"SELECT ox AS x, oy AS y, r FROM o JOIN p ON CAST(floor((ox + 0.5::DOUBLE) * {_SMALL_W} / {_BIG}) AS BIGINT) = x AND CAST(floor((oy + 0.5::DOUBLE) * {_SMALL_H} / {_BIG_H}) AS BIGINT) = y"
+)
+def q_enlarge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = [(F.col("event_id") % _SMALL_W).alias("x"), (F.expr(f"event_id div {_SMALL_W}") % _SMALL_H).alias("y")]
+    dots = bridge.table(spark, sf_dir, "events").groupBy(*at).agg(F.max("user_id").alias("r")).select("x", "y", "r", F.lit(0).alias("g"), F.lit(0).alias("b"))
+    return raster.enlarge(dots, _SMALL_W, _SMALL_H, _BIG)[0].select("x", "y", "r")
+
+
 # ---- labels
 
 
@@ -497,6 +638,30 @@ def q_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("ord", "i", F.when(F.col("i") == F.col("k") - 1, F.col("n")).otherwise(step).alias("tick"))
 
 
+_PLOT = 977
+
+
+@query(
+    f"WITH {_rec()}, t AS (SELECT ord, length(seq) AS n, CASE WHEN length(seq) >= 100 THEN 6 WHEN length(seq) % 5 = 0 THEN 6 WHEN length(seq) % 4 = 0 THEN 5 WHEN length(seq) % 3 = 0 THEN 4 WHEN length(seq) % 2 = 0 THEN 3 ELSE 2 END AS k FROM rec), "
+    f"e AS (SELECT ord, n, k, unnest(range(k + 1)) AS i FROM t) SELECT ord, CAST(i AS INTEGER) AS i, CAST(CASE WHEN i = k THEN n ELSE i * (n // (k - 1)) END AS BIGINT) AS tick, CAST(CASE WHEN i = k THEN {_PLOT} ELSE i * ({_PLOT} // (k - 1)) END AS BIGINT) AS pixel FROM e"
+)
+def q_ticks_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end is one more tick, at the border."""
+    sizes = bridge.records(spark, sf_dir).select("ord", F.length("seq").cast("long").alias("n"))
+    counted = sizes.withColumn("k", layout.tick_count_column(F.col("n")))
+    each = counted.select("ord", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    last, steps = F.col("i") == F.col("k"), F.col("k") - 1
+    tick = F.when(last, F.col("n")).otherwise(F.col("i") * F.call_function("div", F.col("n"), steps))
+    pixel = F.when(last, F.lit(_PLOT)).otherwise(F.col("i") * F.call_function("div", F.lit(_PLOT), steps))
+    return each.select("ord", "i", tick.alias("tick"), pixel.cast("long").alias("pixel"))
+
+
+@query("SELECT doc_id, 'doc' || doc_id || CASE WHEN doc_id % 3 = 0 THEN ' (rev. comp.)' ELSE '' END AS label FROM documents")
+def q_axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("doc"), F.col("doc_id"))
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", text.axis_label(name, F.col("doc_id") % 3 == 0).alias("label"))
+
+
 @query("SELECT doc_id, source || ':' || format('{:,}', n_chars * 1000) AS label FROM documents")
 def q_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "source", text.thousands(F.col("n_chars") * 1000)).alias("label"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.errors import InvalidInput, MalformedInput
 from seqloom.functions.bases import first_offender
 from seqloom.operators.sequence import contigs_of, length_of, pieces_of, slice_pieces, with_offsets
+from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
 
 EXTENSIONS = ("fasta", "fa", "fna")
@@ -72,6 +73,11 @@ def contigs_of_lines(parsed: DataFrame) -> DataFrame:
     return with_offsets(counted)
 
 
+def placed_lines(parsed: DataFrame) -> DataFrame:
+    """Pieces (pos, bases) of a parsed file."""
+    return running(parsed, F.length("bases"), "pos", inclusive=False).where("bases <> ''").select("pos", "bases")
+
+
 def violations(parsed: DataFrame) -> DataFrame:
     """(split, line_no, problem) of lines that are no FASTA."""
     offender = first_offender(F.col("bases"))
@@ -81,8 +87,8 @@ def violations(parsed: DataFrame) -> DataFrame:
 
 def read_sequence(spark: SparkSession, path: str, region: Region | None = None, preserve_case: bool = False) -> Sequence | None:
     """The (cut) sequence of a file, None where the region holds none; what lies behind the region isn't checked."""
-    parsed = parse_fasta(read_lines(spark, path), preserve_case)
-    contigs = contigs_of_lines(parsed)
+    parsed = materialise(parse_fasta(read_lines(spark, path), preserve_case), "fasta")
+    contigs = materialise(contigs_of_lines(parsed), "fasta-contigs")
     if contigs.where("id IS NOT NULL").limit(1).count() == 0:
         raise MalformedInput("no FASTA header")
     last = None
@@ -94,8 +100,7 @@ def read_sequence(spark: SparkSession, path: str, region: Region | None = None,
     bad = violations(seen).orderBy("split", "line_no").limit(1).collect()
     if bad:
         raise MalformedInput(bad[0]["problem"])
-    placed = running(parsed, F.length("bases"), "pos", inclusive=False).where("bases <> ''").select("pos", "bases")
-    return cut_sequence(placed, contigs, region)
+    return cut_sequence(placed_lines(parsed), contigs, region)
 
 
 def sequence_of_records(records: DataFrame, region: Region | None = None) -> Sequence | None:

@@ -14,9 +14,9 @@ from seqloom.__main__ import main
 from seqloom.errors import ConfigError, InvalidInput, MalformedInput, MethylationError
 from seqloom.functions import bases, color, regions, text
 from seqloom.operators import matching, methylation, raster, sequence
-from seqloom.plans import layout
+from seqloom.plans import font, layout
 from seqloom.plans.config import Config, load_json
-from seqloom.plans.durable import join_small, materialise, release
+from seqloom.plans.durable import join_small, materialise, release, scratch, shared_dir
 from seqloom.plans.region import Region, parse_region
 from seqloom.plans.scale import TileScale
 from seqloom.sources import fasta, png, track
@@ -164,6 +164,29 @@ def test_matches_tiles_and_salts(spark):
         assert {(r["tx"], r["ty"]): r["hits"] for r in hits.collect()} == want
 
 
+def test_hot_words_are_dealt_over_salts(spark):
+    x, y = "ACGT" * 20 + "A" * 30, "A" * 40 + "ACGTACG"
+    kx, ky = sequence.kmers(pieces(spark, x), 4), sequence.kmers(pieces(spark, y), 4)
+    want = {(i, j) for i in range(len(x) - 3) for j in range(len(y) - 3) if x[i : i + 4] == y[j : j + 4]}
+    for pairs in (matching.match_pairs(kx, ky), matching.match_pairs(kx, ky, hot_copies=3, salts=4)):
+        found = [(r["x"], r["y"]) for r in pairs.collect()]
+        assert set(found) == want and len(found) == len(want)
+    few = {(r["x"], r["y"]) for r in matching.match_pairs(kx, ky, max_copies=20).collect()}
+    assert few == {(i, j) for i, j in want if x[i : i + 4] != "AAAA"}
+
+
+def test_offsets_of_rows_without_ord(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "BUCKET", 4)
+    rows = [(1, "a", "ACG"), (None, "b", "AC"), (2, "c", "ACGT"), (None, "d", "A"), (None, None, "GG"), (None, "b", "AC"), (2, "c", "T"), (9, "e", "")]
+    got = sequence.contigs_of(spark.createDataFrame(rows, "ord long, id string, seq string")).orderBy("off", "n").collect()
+    assert len(got) == len(rows)
+    at = 0
+    for r in got:
+        assert r["off"] == at
+        at += r["n"]
+    assert [r["ord"] for r in got if r["n"]][:3] == [1, 2, 2] and all(r["ord"] is None for r in got if r["off"] >= 8 and r["n"])
+
+
 def test_offsets_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(sequence, "BUCKET", 3)
     rows = [(i * 2 - 7, i % 4) for i in range(30)]
@@ -332,9 +355,28 @@ def test_ticks_and_layout():
     assert layout.vertical_ticks(103, 50) == [(0, 0), (20, 10), (40, 20), (60, 30), (80, 40), (103, 50)]
     assert layout.horizontal_ticks(9, 9) == [(0, 0), (3, 3), (6, 6), (9, 9), (9, 9)]
     assert [layout.tick_count(n) for n in (100, 5, 8, 9, 2, 7)] == [6, 6, 5, 4, 3, 2]
-    size = layout.Layout(4000, 3750, 3750, 3)
-    assert (size.pad, size.line_height, size.border) == (400, 80, 12) and size.sidebar[2:] == (480, 3000)
-    assert all(x >= 0 and y >= 0 and x + w <= size.canvas[0] and y + h <= size.canvas[1] for x, y, w, h in size.rectangles(30_000, 30_000, 30.0))
+    assert layout.vertical_ticks(100, 50, 1000)[1] == (1020, 10) and layout.horizontal_ticks(9, 9, 7)[-2:] == [(16, 9), (16, 9)]
+    page = layout.arrange(4000, 3750, 3750, 3)
+    assert (page.titles_at[1], page.text, page.border) == (400, 80, 12) and page.legend[2:] == (480, 3000)
+    x, y, w, h = page.plot
+    assert (w, h) == (3750, 3750) and 2 * x + w + 480 == page.canvas[0]
+    axes = layout.AxisInfo(layout.axis_label("c:1-30,001", True), 0, 30_000), layout.AxisInfo("c", 5, 30_000)
+    boxes = layout.black_boxes(page, ["one", "", "two"], *axes, 30.0)
+    assert all(a >= 0 and b >= 0 and c > 0 and d > 0 and a + c <= page.canvas[0] and b + d <= page.canvas[1] for a, b, c, d in boxes)
+
+
+def drawn(boxes):
+    return {(x + i, y + j) for x, y, w, h in boxes for i in range(w) for j in range(h)}
+
+
+def test_font_turns_and_scales():
+    flat = drawn(font.text_boxes("L1é", 0, 0, 1))
+    assert {(0, y) for y in range(7)} | {(x, 6) for x in range(5)} == {p for p in flat if p[0] < 6}
+    assert drawn(font.text_boxes("L1é", 0, 0, 1, "right")) == {(7 - y, x) for x, y in flat}
+    assert drawn(font.text_boxes("L1é", 0, 0, 1, "left")) == {(y, 17 - x) for x, y in flat}
+    assert drawn(font.text_boxes("L1é", 5, 3, 2)) == {(5 + 2 * x + i, 3 + 2 * y + j) for x, y in flat for i in range(2) for j in range(2)}
+    assert len(font.COLUMNS) == 95 and len({c for c in font.COLUMNS}) == 95
+    assert not font.text_boxes(" ", 0, 0, 3) and font.text_boxes("ñ", 0, 0, 1) == font.text_boxes("ü", 0, 0, 1)
 
 
 def test_config(tmp_path):
@@ -379,7 +421,7 @@ def test_render_single_and_cli(spark, tmp_path, capsys):
     s = "".join(rng.choice("ACGT") for _ in range(120))
     (tmp_path / "x.fa").write_text(f">c\n{s}\n")
     cs = [i for i, b in enumerate(s) if b == "C"][:5]
-    bed = bed_file(tmp_path, [("c", i, 60) for i in cs])
+    bed = bed_file(tmp_path, [("c", i, 60) for i in [*cs, s.index("A")]])
     args = ["plot", "--sequence", str(tmp_path / "x.fa"), "--methylation", bed, "-w", "8", "--plot-side", "350", "-o", str(tmp_path / "out"), "--enlarge-small"]
     assert main(args) == 0
     path = capsys.readouterr().out.strip()
@@ -388,6 +430,12 @@ def test_render_single_and_cli(spark, tmp_path, capsys):
     w, h, rows = read_png(path)
     assert [w, h] == notes["canvas"] and notes["titles"][0] == "FASTA (x.fa) vs. FASTA (x.fa)" and "enlarged" in notes["titles"][-1]
     x0, y0 = notes["origin"]
+    # the first title stands in the upper left corner, in the image's own font
+    page = layout.arrange(350, *[350] * 2, len(notes["titles"]))
+    title = drawn(font.text_boxes(notes["titles"][0], *page.titles_at, page.scale))
+    for tx, ty in itertools.product(range(page.titles_at[0], page.titles_at[0] + page.width_of(notes["titles"][0])), range(page.titles_at[1], page.titles_at[1] + 8)):
+        assert (rows[ty][3 * tx] == 0) == ((tx, ty) in title)
+    assert notes["removed_sites"] == [1, 1]
     for i in (0, 50, 100):  # the diagonal is black
         at = int((i + 0.5) * 350 / 120)
         assert rows[y0 + at][3 * (x0 + at) : 3 * (x0 + at) + 3] == b"\x00\x00\x00"
@@ -400,6 +448,8 @@ def test_pairwise_strands_and_sites(spark, tmp_path):
     turned = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     (tmp_path / "x.fa").write_text(f">c\n{s}\n")
     (tmp_path / "y.fa").write_text(f">d\n{turned}\n")
+    seen = api.load(spark, Config(sequence=str(tmp_path / "x.fa"), region="c:2-12", fst_rev=True, word_length=3)).axes()
+    assert (seen[0].label, seen[1].label) == ("c:2-12 (rev. comp.)", "c:2-12") and [(a.start, a.length) for a in seen] == [(2, 10)] * 2
     plot = api.load(spark, Config(fst_sequence=str(tmp_path / "x.fa"), snd_sequence=str(tmp_path / "y.fa"), snd_rev=True, word_length=10))
     assert {(r["x"], r["y"]) for r in plot.matches().collect()} == {(i, i) for i in range(len(s) - 9)}
     bed = bed_file(tmp_path, [("c", 1, 60), ("c", 0, 60)])
@@ -422,6 +472,51 @@ def test_track_stream(spark, tmp_path):
             (folder / "b.bedgraph").write_text(later)
         track_stream.start(spark, str(folder), "bedgraph", str(tmp_path / "state"), keep).awaitTermination()
     assert seen == {("c", 1): 8.0, ("d", 3): 9.0}
+    # malformed lines are told, or end the query
+    bad, told = tmp_path / "bad", []
+    bad.mkdir()
+    (bad / "a.bedgraph").write_text("c 1 2 5\nc 1 x 7\n\n")
+    tell = lambda df, _: told.extend(sorted(r["problem"] for r in df.collect()))
+    track_stream.start(spark, str(bad), "bedgraph", str(tmp_path / "state2"), keep, tell).awaitTermination()
+    assert told == ["invalid ChromEnd value", "missing Chrom column"] and seen["c", 1] == 5.0
+    with pytest.raises(Exception, match="invalid ChromEnd value"):
+        track_stream.start(spark, str(bad), "bedgraph", str(tmp_path / "state3"), keep).awaitTermination()
+
+
+def test_further_track_formats(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(track.FORMATS, "wig4", None)
+    track.register_format("wig4", track.LineFormat(("Chrom", "From", "To", "Kind", "Level")))
+    (tmp_path / "t.wig4").write_text("c 1 2 x 50\n")
+    assert [tuple(r)[1:] for r in track.read_track(spark, str(tmp_path / "t.wig4")).collect()] == [("c", 1, 2, 50.0)]
+    with pytest.raises(InvalidInput):
+        track.register_format("no", track.LineFormat(("a", "b", "c")))
+
+
+def test_scratch_keeps_what_is_kept(spark):
+    with scratch(spark) as own:
+        a, b = materialise(spark.range(3), "a"), materialise(spark.range(4), "b")
+        with scratch(spark) as inner:
+            c, d = materialise(spark.range(5), "c"), materialise(spark.range(6), "d")
+            inner.keep(c)
+        own.keep(b, c)
+    assert b.count() == 4 and c.count() == 5
+    for gone in (a, d):
+        with pytest.raises(Exception):
+            gone.count()
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        e = materialise(spark.range(3), "e")
+        1 / 0
+    with pytest.raises(Exception):
+        e.count()
+
+
+def test_clusters_need_a_shared_folder(spark):
+    class Cluster:
+        conf = {}  # names no folder
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
 
 
 def test_durable_helpers(spark):
