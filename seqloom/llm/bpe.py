@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
 from seqloom.llm.words import WordTable
+from seqloom.plans.ship import ship_file, shipped
 
 #: Pieces that a worker remembers before it starts over, and pairs of tokens.
 REMEMBERED = 50_000
@@ -65,18 +66,25 @@ def split_pieces(text: str) -> list[str]:
     return _PIECE.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
+def read_spec(path: str) -> dict:
+    """A tokenizer file, if it is of the supported form."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+    if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"] or split != WORD_PATTERN:
+        raise ValueError("not a word-end BPE file of the supported form")
+    return spec
+
+
 class WordBpe:
     """A BPE vocabulary with word ends, read from a tokenizer file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or not self.end or kinds != ["NFC", "Replace", "Lowercase"] or split != WORD_PATTERN:
-            raise ValueError("not a word-end BPE file of the supported form")
         signs = _byte_signs()
         byte_of = {s: b for b, s in enumerate(signs)}
         self.byte_of_sign = {s: chr(b) for s, b in byte_of.items()}
@@ -338,21 +346,21 @@ def forget() -> None:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): ids are little-endian unsigned 32-bit integers."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, ids): ids are little-endian unsigned 32-bit integers.  The file at ``path`` is shipped to the executors."""
+    kind, file = docs.schema[id_col].dataType.simpleString(), ship_file(docs.sparkSession, path)
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(load(path).encode_batch(piece.column(1).to_pylist()), pa.binary())], names=[id_col, "ids"])
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(load(shipped(file)).encode_batch(piece.column(1).to_pylist()), pa.binary())], names=[id_col, "ids"])
 
     return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary", limit=SLICE, after=forget)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, decoded)."""
-    kind = encoded.schema[id_col].dataType.simpleString()
+    kind, file = encoded.schema[id_col].dataType.simpleString(), ship_file(encoded.sparkSession, path)
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        names = load_names(path)
+        names = load_names(shipped(file))
         texts = [decode_ids(names, x) for x in piece.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
@@ -361,10 +369,11 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded): ``encode`` and ``decode`` in one pass over the texts."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, file = docs.schema[id_col].dataType.simpleString(), ship_file(docs.sparkSession, path)
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        ids, names = load(path).encode_batch(piece.column(1).to_pylist()), load_names(path)
+        at = shipped(file)
+        ids, names = load(at).encode_batch(piece.column(1).to_pylist()), load_names(at)
         return pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(names, x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
 
     return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, ids binary, decoded string", limit=SLICE, after=forget)
