@@ -1,8 +1,12 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, exact durations and seek offsets.
 
-``parse`` reads any sequence of bytes: it skips an ID3v2 tag, finds frame headers of MPEG 1, 2 and 2.5 (layers I to
-III), and where a header is missing or damaged searches on for the next one that a second header confirms.  It reads
-the variable-bitrate table (Xing, Info or VBRI) of the first frame, verifies the frames' checksums, counts samples, so that durations are exact, and keeps the offset of every frame to seek to.
+``parse`` reads any sequence of bytes: it skips an ID3v2 tag and finds frame headers of MPEG 1, 2 and 2.5 (layers I to
+III, free bitrates too).  A frame that continues the stream, right behind a frame of the same format, is taken as it is.
+Any other one (the first, one behind damage, one of another format) has to be confirmed: by a header of its
+own format right behind it, by the end of the data, or by its own checksum.  So a stream may change its format, and what
+comes before or between is skipped.  Variable-bitrate tables (Xing, Info or VBRI) are read where a format begins and are no
+sound; checksums are verified; samples are counted per sample rate, so that durations are exact; and the offset of
+every frame is kept to seek to.
 
 ``build`` stores a payload without loss as a layer III stream: one frame of 224 kbit/s at 48 kHz (672 bytes) for every
 576 payload bytes, which are the frame's main data (two granules of 288 bytes); the first frame holds the table, an
@@ -43,6 +47,10 @@ BITRATES = {
 RATES = (44100, 48000, 32000)
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
+#: A part of a second that every sample rate divides.
+TICKS = 14_112_000
+#: The longest frame of a free bitrate that is looked for, in bytes.
+FREE_MOST = 8192
 
 
 @dataclass(frozen=True)
@@ -54,9 +62,15 @@ class Header:
     rate: int
     mono: bool
     bound: int
+    #: Bytes of the frame; of a free bitrate (0) only those of its padding.
     size: int
     samples: int
 
+    @property
+    def form(self) -> tuple[str, int, int, bool]:
+        """What frames of one stream have in common: version, layer, sample rate, and whether the bitrate is free."""
+        return self.version, self.layer, self.rate, self.bitrate == 0
+
     @property
     def side_bytes(self) -> int:
         """Bytes of layer III side information."""
@@ -67,7 +81,7 @@ _HEADERS: dict[bytes, Header | None] = {}
 
 
 def header(four: bytes) -> Header | None:
-    """The frame header in four bytes, None if they are none (free bitrates are not supported)."""
+    """The frame header in four bytes, None if they are none."""
     if four not in _HEADERS:
         if len(_HEADERS) > 4096:
             _HEADERS.clear()
@@ -80,7 +94,7 @@ def _read_header(four: bytes) -> Header | None:
         return None
     version, layer = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3)
     bitrate, rate = four[2] >> 4, four[2] >> 2 & 3
-    if version == 1 or layer == 4 or bitrate in (0, 15) or rate == 3 or four[3] & 3 == 2:
+    if version == 1 or layer == 4 or bitrate == 15 or rate == 3 or four[3] & 3 == 2:
         return None
     first = version == 3
     kbit = BITRATES[first, layer][bitrate]
@@ -229,8 +243,8 @@ class Stream:
 
     offsets: np.ndarray
     headers: list[Header] = field(default_factory=list)
-    samples: int = 0
-    rate: int = 0
+    #: Samples by sample rate, in order of appearance.
+    rates: dict[int, int] = field(default_factory=dict)
     variable: bool = False
     skipped: int = 0
     checksums_good: int = 0
@@ -239,20 +253,56 @@ class Stream:
     old_tags: dict[str, str] = field(default_factory=dict)
     vbr: dict[str, object] | None = None
 
+    @property
+    def samples(self) -> int:
+        return sum(self.rates.values())
+
+    @property
+    def rate(self) -> int:
+        """Sample rate of the first frame, 0 without one."""
+        return next(iter(self.rates), 0)
+
     @property
     def duration_us(self) -> int | None:
         """Exact duration in microseconds, rounded down; None without a frame."""
-        return self.samples * 1_000_000 // self.rate if self.rate else None
+        return sum(n * (TICKS // r) for r, n in self.rates.items()) * 1_000_000 // TICKS if self.rates else None
 
     def seek(self, sample: int) -> int | None:
         """Byte offset of the frame that holds a sample."""
-        ends = np.cumsum([h.samples for h in self.headers])
-        k = int(np.searchsorted(ends, sample, side="right"))
-        return int(self.offsets[k]) if 0 <= sample and k < len(ends) else None
-
-
-def _same_stream(a: Header, b: Header) -> bool:
-    return (a.version, a.layer, a.rate) == (b.version, b.layer, b.rate)
+        return self._offset([h.samples for h in self.headers], sample)
+
+    def seek_us(self, microseconds: int) -> int | None:
+        """Byte offset of the frame that sounds at a time."""
+        return self._offset([h.samples * (TICKS // h.rate) for h in self.headers], microseconds * TICKS // 1_000_000)
+
+    def _offset(self, lengths: list[int], at: int) -> int | None:
+        ends = np.cumsum(lengths)
+        k = int(np.searchsorted(ends, at, side="right"))
+        return int(self.offsets[k]) if 0 <= at and k < len(ends) else None
+
+
+def _free_size(data: bytes, at: int, h: Header, end: int) -> int | None:
+    """Bytes of a free-bitrate frame without padding: up to the next header of its form that a third one, or the end, confirms."""
+    p = data.find(b"\xff", at + 24, min(end, at + FREE_MOST))
+    while p >= 0:
+        g = header(data[p : p + 4])
+        if g is not None and g.form == h.form:
+            size = p - at - h.size
+            after = p + size + g.size
+            third = header(data[after : after + 4])
+            if after == end or (third is not None and third.form == h.form):
+                return size
+        p = data.find(b"\xff", p + 1, min(end, at + FREE_MOST))
+    return None
+
+
+def _sound_checksum(h: Header, frame: bytes, checked: dict[bytes | tuple[bytes, int], int]) -> bool | None:
+    """Whether a frame's checksum holds; None if it has none that can be read."""
+    if not h.protected or (part := covered(h, frame)) is None:
+        return None
+    if part not in checked:
+        checked[part] = crc16(part)
+    return checked[part] == int.from_bytes(frame[4:6], "big")
 
 
 def parse(data: bytes) -> Stream:
@@ -263,18 +313,24 @@ def parse(data: bytes) -> Stream:
     out = Stream(np.zeros(0, np.int64), tags=tags, old_tags=old)
     offsets: list[int] = []
     checked: dict[bytes | tuple[bytes, int], int] = {}
-    lead: Header | None = None
-    synced = False
+    form, free, synced = None, None, False
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        if h is not None and (at + h.size > end or (lead is not None and not _same_stream(h, lead))):
-            h = None
-        if h is not None and not synced:
-            # a header that was searched for needs a second one right behind its frame, or the end of the data
-            after = at + h.size
-            follow = header(data[after : after + 4])
-            if not (after == end or (follow is not None and _same_stream(h, follow))):
+        goes_on = h is not None and synced and h.form == form
+        if h is not None:
+            base = 0
+            if h.bitrate == 0:
+                base = free if goes_on else _free_size(data, at, h, end)
+            size = 0 if base is None else base + h.size
+            if size < 8 or at + size > end:
                 h = None
+        if h is not None:
+            frame = data[at : at + size]
+            sound = _sound_checksum(h, frame, checked)
+            if not goes_on and not sound and at + size != end:
+                follow = header(data[at + size : at + size + 4])
+                if follow is None or follow.form != h.form:
+                    h = None
         if h is None:
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
@@ -282,27 +338,19 @@ def parse(data: bytes) -> Stream:
             out.skipped += nxt - at
             at = nxt
             continue
-        synced = True
-        lead = lead or h
-        frame = data[at : at + h.size]
-        if h.protected and (part := covered(h, frame)) is not None:
-            if part not in checked:
-                checked[part] = crc16(part)
-            if checked[part] == int.from_bytes(frame[4:6], "big"):
-                out.checksums_good += 1
-            else:
-                out.checksums_bad += 1
-        table = read_vbr(h, frame) if not offsets and out.vbr is None else None
+        out.checksums_good += sound is True
+        out.checksums_bad += sound is False
+        table = read_vbr(h, frame) if h.form != form else None
+        form, free, synced = h.form, base, True
         if table is not None:
-            out.vbr = table
+            out.vbr = out.vbr or table
         else:
             offsets.append(at)
             out.headers.append(h)
-            out.samples += h.samples
-        at += h.size
+            out.rates[h.rate] = out.rates.get(h.rate, 0) + h.samples
+        at += size
     out.skipped += max(0, end - at)
     out.offsets = np.array(offsets, np.int64)
-    out.rate = lead.rate if lead else 0
     out.variable = len({h.bitrate for h in out.headers}) > 1
     return out
 
@@ -400,4 +448,5 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         "feature",
         "n_frames",
         "duration_us",
+        "seek_offsets",
     )
