@@ -30,22 +30,24 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe
 from seqloom.llm.batches import slices, trim
-from seqloom.llm.merges import PairTable, merge_words
 from seqloom.llm.words import WordTable
 from seqloom.plans.durable import materialise, new_path
-from seqloom.plans.ship import ship_package
+from seqloom.plans.ship import ship_file, ship_package, shipped
 
 MAGIC = b"STF1"
 BLOCK = 1024
 PERCENTILE = 0.99
 #: Bytes of text that are encoded together.
 SLICE = 3 << 20
+#: Words that the library encodes together.
+TOGETHER = 20_000
 #: Blocks that are packed or unpacked together.
 RUN = 256
 _HEAD = struct.Struct("<IHHB")
@@ -217,29 +219,37 @@ class TokenFileReader:
 
 
 class FileEncoder:
-    """Ids as the tokenizers library gives them: the merges of each distinct Latin-1 word are made here, for many words at
-    once (see ``merges``); all other texts, and those that may hold a special token, go through the library itself."""
+    """Ids by the tokenizers library.
+
+    Latin-1 texts are split into the vocabulary's words here (see ``words``), and the library encodes each distinct word
+    that a task has not met before; all other texts, and those that may hold a special token, it encodes whole.
+    """
 
     def __init__(self, path: str) -> None:
-        own = bpe.load(path)
-        self.library = own.library
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        end = bpe.read_spec(path)["model"]["end_of_word_suffix"]
+        self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pairs = PairTable(own.merge)
-        self.made = np.zeros(len(own.merge), np.int64)
-        for token, (_, _, rank) in own.made_of.items():
-            self.made[rank] = token
-        self.symbols = np.array([own.by_symbols[chr(i)] for i in range(512)])
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
         self.table = WordTable(self._encode_new)
 
     def _encode_new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        data[np.cumsum(sizes) - 1] += 256
-        return merge_words(self.symbols[data], sizes, self.pairs, self.made)
+        parts = [self._encode_some(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode_some(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words go to the library as one text; the ids that end a word part its ids."""
+        ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        counts = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        if len(counts) != len(words):
+            each = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            ids, counts = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
+        return ids, counts.astype(np.int64)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -266,10 +276,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Encode ``docs`` and write their ids under ``folder``; return the manifest, a written table with one row per file:
     (shard, path, n_docs, n_tokens, n_bytes), shards in order of ids."""
     ship_package(docs.sparkSession)
+    file = ship_file(docs.sparkSession, tokenizer)
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = writer = None
+        tokenizer = shipped(file)
         task = TaskContext.get()
         path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.stf"
         for batch in batches:
@@ -289,9 +301,23 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             trim()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    dealt = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return materialise(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    # the last key parts rows that are equal in the others, such as many empty texts without ids
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("n"))
+    dealt = keyed.repartitionByRange("id", "h", "n").sortWithinPartitions("id", "h").select("id", "text")
+    manifest = materialise(dealt.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long, n_bytes long"), "token-manifest")
+    _sweep(docs.sparkSession, folder, manifest)
+    return manifest
+
+
+def _sweep(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
+    """Delete files that failed attempts left; the manifest has a row per file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        known = {r["path"].rsplit("/", 1)[-1] for r in manifest.select("path").collect()}
+        for found in fs.listStatus(where):
+            if found.getPath().getName().endswith(".stf") and found.getPath().getName() not in known:
+                fs.delete(found.getPath(), False)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_crc_and_known_frame_sizes():
     assert mpeg_audio.crc16(b"123456789") == slow_crc(b"123456789")
     assert mpeg_audio.header(bytes.fromhex("fffb9064")).size == 417  # 128 kbit/s at 44.1 kHz
     assert mpeg_audio.header(bytes.fromhex("fffb9264")).size == 418
-    assert mpeg_audio.header(b"\xff\xff\xff\xff") is None and mpeg_audio.header(b"\xff\xfb\x00\x00") is None
+    assert mpeg_audio.header(b"\xff\xff\xff\xff") is None and mpeg_audio.header(b"\xff\xfb\x00\x00").bitrate == 0
 
 
 def test_vbri_table_is_no_sound_frame():
@@ -111,13 +111,44 @@ def test_parse_resynchronises(version, layer):
         data += j + f
         at = len(data)
     got = mpeg_audio.parse(data)
-    # a frame right before junk can't be confirmed if it was itself searched for; all others are found
-    assert set(got.offsets.tolist()) <= set(offsets) and len(got.offsets) >= 16
-    assert got.samples == len(got.offsets) * mpeg_audio.SAMPLES[version == "1", layer] and got.checksums_bad == 0
+    assert got.offsets.tolist() == offsets
+    assert got.samples == 20 * mpeg_audio.SAMPLES[version == "1", layer] and got.checksums_bad == 0
     assert got.skipped == len(data) - sum(h.size for h in got.headers)
     assert got.seek(got.samples - 1) == got.offsets[-1] and got.seek(got.samples) is None
 
 
+def test_streams_that_change_their_format():
+    rng = random.Random(3)
+    slow, fast = [frame("1", 3, 9, 0, 0, False, rng) for _ in range(10)], [frame("1", 3, 9, 1, 0, True, rng) for _ in range(30)]
+    s = mpeg_audio.parse(b"".join(slow + fast))
+    assert len(s.offsets) == 40 and s.skipped == 0 and s.rates == {44100: 11520, 48000: 34560}
+    assert s.duration_us == int(11520 * 10**6 / 44100 + 720_000) and s.rate == 44100
+    assert s.seek(11520) == sum(map(len, slow)) == s.seek_us(261_225) and s.seek_us(261_224) == sum(map(len, slow[:9])) and s.seek_us(981_225) is None
+    # two frames of another kind in front
+    foreign = [frame("2", 2, 8, 1, 0, False, rng) for _ in range(2)]
+    s = mpeg_audio.parse(b"".join(foreign + [frame("1", 3, 9, 1, 0, False, rng) for _ in range(50)]))
+    assert len(s.offsets) == 52 and s.skipped == 0 and [h.version for h in s.headers[:3]] == ["2", "2", "1"]
+    # a protected frame alone between junk confirms itself; one without a checksum can't
+    alone = frame("1", 3, 9, 0, 0, True, rng)
+    assert mpeg_audio.parse(b"ab" + alone + b"c" * 9).offsets.tolist() == [2]
+    assert len(mpeg_audio.parse(b"ab" + slow[0] + b"c" * 9).offsets) == 0
+
+
+@pytest.mark.parametrize("version,layer", [("1", 3), ("1", 1), ("2.5", 2)])
+def test_free_bitrates(version, layer):
+    rng = random.Random(5)
+    head = bytes([0xFF, 0xE0 | {"1": 3, "2.5": 0}[version] << 3 | (4 - layer) << 1 | 1, 0, 0])
+    unit = 4 if layer == 1 else 1
+    frames = []
+    for _ in range(12):
+        padding = rng.randrange(2)
+        frames.append(head[:2] + bytes([padding << 1, 0]) + bytes(rng.randrange(255) for _ in range(300 - 4 + padding * unit)))
+    data = b"junk" + b"".join(frames)
+    got = mpeg_audio.parse(data)
+    assert got.offsets.tolist() == [4 + sum(map(len, frames[:k])) for k in range(12)] and got.skipped == 4
+    assert got.samples == 12 * mpeg_audio.SAMPLES[version == "1", layer]
+
+
 def test_damage_tags_and_empty():
     data = bytearray(mpeg_audio.build(b"q" * 5000))
     s = mpeg_audio.parse(bytes(data))
@@ -150,6 +181,7 @@ def test_mpeg_query(spark, tmp_path):
         p = b + b"\xff" * ((-len(b)) % 576 if b else 576)
         want.append((i // 2 if i else None, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), hashlib.sha256(mpeg_audio.build(b)).hexdigest()))
     assert sorted(map(repr, ((r[0], r[1], r[2], r[3], r[4], r[6]) for r in rows))) == sorted(map(repr, want))
+    assert all(len(r["seek_offsets"]) == r["n_frames"] == r["payload_bytes"] // 576 for r in rows)
     assert mpeg_audio.read_audio(mpeg_audio.encode_audio(docs_of(spark, []))).count() == 0
 
 
@@ -244,6 +276,28 @@ def test_token_file_query(spark, tmp_path, library):
     assert ordered == sorted(ordered)
 
 
+def test_equal_rows_are_dealt_over_files(spark):
+    from seqloom.plans.durable import new_path
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = docs_of(spark, ["x"] * 2).select("text").crossJoin(spark.range(3000)).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text")
+        manifest = token_files.write_token_files(docs, PATH, new_path(spark, "tokens")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["n_docs"] for r in manifest) == 6000 and max(r["n_docs"] for r in manifest) < 4000
+
+
+def test_files_of_failed_attempts_are_removed(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "part-000000-99.stf").write_bytes(b"left by an attempt that failed")
+    manifest = token_files.write_token_files(docs_of(spark, TEXTS), PATH, f"file://{folder}").collect()
+    assert {f for f in os.listdir(folder) if f.endswith(".stf")} == {r["path"].rsplit("/", 1)[1] for r in manifest}
+
+
 def test_token_files_empty(spark):
     from seqloom.plans.durable import new_path
 
