@@ -3,7 +3,8 @@
 Every text is measured once and every rule is evaluated once; the ledger keeps the measurements and one bit per failed
 rule.  Policies are versioned sets of rules, that is masks: a document passes a policy if ledger and mask share no
 bit, so a new policy or an ablation (what would one rule less keep?) is bit arithmetic over the ledger and never reads
-a text again.
+a text again.  ``write_ledger`` stores the ledger as a table; the registered queries write it once and read all
+policies and ablations from it.
 
 Words are runs of anything but space and U+0009 to U+000D.
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.batches import map_texts
+from seqloom.plans.durable import materialise
 
 #: White space between words, and the characters counted as symbols.
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,7 +33,6 @@ WIDE = 1 << 21
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
 
 
-
 def rules() -> list[tuple[str, Column]]:
     """(name, failed) in order of the bits.  Add rules at the end, so that stored bits keep their meaning."""
     n = F.col("n_words")
@@ -110,6 +111,15 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("failed", bits.cast("long"))
 
 
+def write_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The ledger as a written table: at ``path``, or among the session's intermediates."""
+    book = ledger(docs, id_col, text_col)
+    if path is None:
+        return materialise(book, "quality-ledger")
+    book.write.parquet(path)
+    return docs.sparkSession.read.schema(book.schema).parquet(path)
+
+
 def passes(failed: Column, policy: str | tuple[str, ...]) -> Column:
     return failed.bitwiseAND(F.lit(mask(policy))) == 0
 
@@ -129,13 +139,22 @@ def ablations(book: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return book.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(F.col("failed"), "base")).alias("base_failed"), passes(F.col("failed"), "v2").alias("kept"), "failed"
-    )
+    book = write_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    verdicts = [(~passes(F.col("failed"), "base")).alias("base_failed"), passes(F.col("failed"), "v2").alias("kept"), passes(F.col("failed"), "v1").alias("kept_v1")]
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *verdicts, "failed")
+
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(policy, rule, n_failed, n_only) of every policy, from one ledger."""
+    book = write_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    parts = [ablations(book, policy).withColumn("policy", F.lit(policy)) for policy in POLICIES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-OP7_SQL = r"""
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 p AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
@@ -151,6 +170,19 @@ m AS (SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.word_chars,
 b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN n_repeat_words * 100 > n_words * 50 THEN 2 ELSE 0 END + CASE WHEN n_symbols * 10 > n_words * 3 THEN 4 ELSE 0 END
   + CASE WHEN n_dup_lines * 100 > n_lines * 40 THEN 8 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars < n_words * 2 THEN 16 ELSE 0 END
   + CASE WHEN n_words > 0 AND word_chars > n_words * 20 THEN 32 ELSE 0 END + CASE WHEN longest > 1000 THEN 64 ELSE 0 END AS failed FROM m)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM b
 """
+
+OP7_SQL = _LEDGER_SQL + """SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed & 15 = 0 AS kept_v1, CAST(failed AS BIGINT) AS failed FROM b
+"""
+
+ABLATIONS_SQL = (
+    _LEDGER_SQL
+    + ", p(policy, mask) AS (VALUES "
+    + ", ".join(f"('{name}', {mask(name)})" for name in POLICIES)
+    + "), r(rule, bit) AS (VALUES "
+    + ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(RULE_NAMES))
+    + """)
+SELECT policy, rule, (SELECT count(*) FROM b WHERE failed & bit <> 0) AS n_failed, (SELECT count(*) FROM b WHERE failed & mask = bit) AS n_only FROM p JOIN r ON mask & bit <> 0
+"""
+)

@@ -1,8 +1,7 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL; the pipeline registers itself."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from seqloom.llm import bpe, language_id, mixing, mpeg_audio, pii, quality_model, quality_rules, simhash, token_files, url_filter
 
 QUERIES = {
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_mpeg_audio": mpeg_audio.op8_mpeg_audio,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
-    "pipeline": corpus_pipeline.run,
+    "ledger_ablations": quality_rules.ledger_ablations,
 }
 
 ORACLES = {
@@ -24,4 +23,5 @@ ORACLES = {
     "op2_pii": pii.OP2_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "ledger_ablations": quality_rules.ABLATIONS_SQL,
 }
