@@ -4,16 +4,31 @@ Each text gets a 64-bit SimHash of its word shingles.  Two fingerprints differ i
 their balls of half the radius meet, so every distinct fingerprint emits all its variants with up to radius/2 flipped
 bits (65 for radius 2), the variants are shuffled, and fingerprints that meet are links.  For an even radius all pairs
 in a meeting lie within it by the triangle inequality; a star from the smallest member keeps every component, and each
-link is verified.  For radius 1 the variants that are fingerprints themselves are the links.  A meeting has at most 65 members, since members are distinct fingerprints around one value; so no
-bucket can grow with the number of copies, and exact copies are one fingerprint from the first aggregate on.
-
-Defined results for odd input: null and empty texts have fingerprint 0 and are linked like any other; texts with
-fewer words than a shingle are one shingle; equal and null ids stay separate rows (component_id ignores null ids and
-is null only where a component has no other); empty tables give empty results; other columns are not read.
+link is verified.  For radius 1 the variants that are fingerprints themselves are the links.  A meeting has at most 65
+members, since members are distinct fingerprints around one value; so no bucket can grow with the number of copies, and
+exact copies are one fingerprint from the first aggregate on.
+
+**Similarity.**  A radius of 2 finds the closest copies only: at a Jaccard similarity of 0.8 fingerprints of 64 bits
+differ in about 10.  With ``similarity`` given, candidates come from the same ball hashing over TABLES other fingerprints
+for each text, in which shingles vote with heavy-tailed weights u**-TILT, u being uniform and made from shingle and
+table.  A few heavy shingles decide such a fingerprint: where two texts share them, their fingerprints differ in no more
+than 2 bits, so each table finds a pair with a probability that grows with its similarity.  Texts that share a
+fingerprint are linked to LEADERS of them, and so are fingerprints that meet.  Every candidate is verified: by an
+unweighted SimHash of SKETCH_BITS bits, whose differing share gives the angle between the sets of shingles and, with their
+sizes, the Jaccard similarity (standard error about 0.02 at 0.8), and exactly if both texts have at most FEW
+shingles.
+
+Defined results for odd input: null and empty texts have fingerprint 0 and are linked like any other (by similarity: to
+each other only); texts with fewer words than a shingle are one shingle; equal and null ids stay separate rows
+(component_id ignores null ids and is null only where a component has no other); empty tables give empty results; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +38,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from seqloom.llm.batches import map_texts
 from seqloom.llm.components import connected_components
-from seqloom.plans.durable import join_small, materialise
+from seqloom.plans.durable import join_small, materialise, scratch
 
 SEED = 42
 SHINGLE = 3
@@ -33,21 +48,72 @@ MAX_BROADCAST_LINKED = 100_000
 HOT = 2000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of a text, unsigned: a bit is 1 if set in more than half of the shingles' XXH64."""
+#: Words of a shingle where documents are compared by similarity.
+WORDS = 5
+TABLES = 4
+TILT = 1.5
+#: So many of the heaviest shingles vote in a table; the others weigh less than a thousandth of the first.
+HEAVIEST = 64
+LEADERS = 3
+SKETCH_BITS = 2048
+FEW = 32
+_LANES = SKETCH_BITS // 64
+_ODD = np.random.default_rng(42).integers(1, 1 << 62, _LANES + TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
-        return digest(b" ".join(words), SEED)
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(r, SEED) for r in runs), dtype="<u8", count=n).view(np.uint8).reshape(n, 8)
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 4096):
-        counts += np.unpackbits(hashes[at : at + 4096], axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(r, SEED) for r in runs), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+#: Each byte's bits as the bytes of a number, the lowest first.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def _bit_counts(numbers: np.ndarray) -> np.ndarray:
+    """How often each bit is set in (n, lanes) 64-bit numbers; eight bits are counted by one addition."""
+    data = np.ascontiguousarray(numbers, "<u8").view(np.uint8)
+    counts = np.zeros(8 * data.shape[1], np.int64)
+    for at in range(0, len(data), 255):
+        counts += np.add.reduce(_SPREAD[data[at : at + 255]], axis=0).view(np.uint8)
+    return counts
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text, unsigned: a bit is 1 if set in more than half of the shingles' XXH64."""
+    hashes = shingle_hashes(text, shingle)
+    return int.from_bytes(np.packbits(_bit_counts(hashes[:, None]) * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _mixed(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """(len(odd), n) numbers that look independent of each other."""
+    v = hashes[None, :] * odd[:, None]
+    v ^= v >> np.uint64(31)
+    v *= np.uint64(0x9E3779B97F4A7C15)
+    return v ^ v >> np.uint64(29)
+
+
+def sketch(text: str | None, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sketch as _LANES numbers, fingerprint of each table, distinct shingles) of a text; without words no table."""
+    own = np.unique(shingle_hashes(text, shingle))
+    if not len(own):
+        return np.zeros(_LANES, np.int64), np.zeros(0, np.int64), own
+    counts = sum(_bit_counts(_mixed(own[at : at + 4096], _ODD[:_LANES]).T) for at in range(0, len(own), 4096))
+    bits = np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")
+    u = _mixed(own, _ODD[_LANES:])
+    best = np.argpartition(u, HEAVIEST, axis=1)[:, :HEAVIEST] if len(own) > HEAVIEST else np.broadcast_to(np.arange(len(own)), u.shape)
+    u = (np.take_along_axis(u, best, 1) >> np.uint64(11)).astype(np.float64) + 1
+    weights = (u / u.min(axis=1, keepdims=True)) ** -TILT
+    votes = np.unpackbits(own[best].astype("<u8").view(np.uint8).reshape(TABLES, -1, 8), axis=2, bitorder="little").astype(np.float64) * 2 - 1
+    keys = np.packbits((votes * weights[:, :, None]).sum(axis=1) > 0, axis=1, bitorder="little").view("<i8")[:, 0]
+    return bits, keys, own
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -61,6 +127,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, fp long")
 
 
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
+    """(id, fp, size, sketch, keys, few): fp is the first 64 bits of the sketch, size the number of distinct shingles, few
+    their hashes if there are at most FEW."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(t, shingle) for t in piece.column(1).to_pylist()]
+        few = [h.view(np.int64) if len(h) <= FEW else None for _, _, h in found]
+        columns = [pa.array([int(b[0]) for b, _, _ in found], pa.int64()), pa.array([len(h) for _, _, h in found], pa.int64()), pa.array([b for b, _, _ in found], longs), pa.array([k for _, k, _ in found], longs), pa.array(few, longs)]
+        return pa.RecordBatch.from_arrays([piece.column(0), *columns], names=[id_col, "fp", "size", "sketch", "keys", "few"])
+
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, fp long, size long, sketch array<long>, keys array<long>, few array<long>")
+
+
 def _ball(fp: Column, half: int) -> Column:
     """All values within ``half`` (0 or 1) flipped bits."""
     if half == 0:
@@ -88,14 +169,84 @@ def links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return every.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+def _hot(total: int) -> int:
+    return max(1000, total // HOT)
+
+
+def _join_hot(rows: DataFrame, table: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a table of unique keys; those of ``hot`` (at most HOT keys, each with 1/HOT of all rows) are broadcast."""
+    few = table.join(F.broadcast(hot), on, "left_semi")
+    often = rows.join(F.broadcast(few), on)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(table, on)
+    return often.unionByName(rest)
+
+
+def _with_end(pairs: DataFrame, classes: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with size, sketch and few of one end; an end may be a leader of many."""
+    hot = materialise(pairs.groupBy(end).count().where(F.col("count") >= _hot(pairs.count())).select(end), "simhash-hot")
+    table = classes.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "sketch", "few")])
+    return _join_hot(pairs, table, hot, [end])
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: fingerprints of ``classes`` (fp, keys) that share or nearly share a table's fingerprint."""
+    keyed = classes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", F.col("t").cast("byte").alias("t"), "key")
+    leaders = [F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
+    buckets = materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n"), *leaders), "simhash-buckets")
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = buckets.where("n > 1")
+    stars = _join_hot(keyed, shared.drop("n"), shared.where(F.col("n") >= _hot(total)).select("t", "key"), ["t", "key"])
+    star = stars.select(F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("a"), F.col("fp").alias("b"))
+    spread = buckets.select("t", "key", F.explode(_ball(F.col("key"), 1)).alias("variant")).repartition("t", "variant")
+    met = spread.groupBy("t", "variant").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    met = materialise(met, "simhash-met")
+    crowded = met.where("n > 2").select("t", "lo", F.explode(_ball(F.col("variant"), 1)).alias("hi"))
+    near = met.select("t", "lo", "hi").unionByName(crowded.join(buckets.select("t", F.col("key").alias("hi")), ["t", "hi"], "left_semi")).distinct()
+    for end, name in (("lo", "a"), ("hi", "b")):  # a fingerprint has at most 64 * 65 / 2 others within 2 bits
+        near = near.join(buckets.select("t", F.col("key").alias(end), F.col("l0").alias(name)), ["t", end])
+    every = star.unionByName(near.select("a", "b")).where("a <> b")
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similarity_of(pairs: DataFrame) -> Column:
+    """Estimated Jaccard similarity from size, sketch and few of a and b."""
+    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    cosine = F.cos(F.least(differing / SKETCH_BITS, F.lit(0.5)) * math.pi)
+    common = F.least(cosine * F.sqrt(F.col("size_a") * F.col("size_b")), F.least("size_a", "size_b").cast("double"))
+    exact = F.size(F.array_intersect("few_a", "few_b"))
+    common = F.when(F.col("few_a").isNotNull() & F.col("few_b").isNotNull(), exact.cast("double")).otherwise(common)
+    return common / (F.col("size_a") + F.col("size_b") - common)
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): candidates whose similarity is verified."""
+    # the first 64 bits of the sketches, which are at hand, leave out what is far from similar: five standard errors off
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+    pairs = candidate_links(classes.where("size > 0"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
+    pairs = materialise(pairs.where(near), "simhash-pairs")
+    both = _with_end(_with_end(pairs, classes, "a"), classes, "b")
+    return both.where(similarity_of(both) >= similarity).select("a", "b")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """(prints, known), both written: prints has (id, fp) of each document, known a row per fingerprint: (fp, n, root, component_id).
 
     root is the smallest fingerprint of the component and never null.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "simhash-classes")
-    roots = materialise(connected_components(links(classes, radius), "a", "b"), "simhash-roots")
+    grouped = [F.min(id_col).alias("first_id"), F.count("*").alias("n")]
+    if similarity is None:
+        prints = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+        classes = materialise(prints.groupBy("fp").agg(*grouped), "simhash-classes")
+        found = links(classes, radius)
+    else:
+        prints = materialise(sketches(docs, id_col, text_col, shingle), "simhash-fp")
+        wide = prints.groupBy("fp").agg(*grouped, F.min(F.struct("size", "sketch", "keys", "few")).alias("s"))
+        classes = materialise(wide.select("fp", "first_id", "n", "s.*"), "simhash-classes")
+        found = similar_links(classes, similarity)
+        classes = classes.select("fp", "first_id", "n")
+    roots = materialise(connected_components(found, "a", "b"), "simhash-roots")
     # fingerprints with links, the roots among them; a component may hold many, so its root is never a plain join key
     few = roots.count() <= MAX_BROADCAST_LINKED
     dealt = roots.coalesce(1) if few else roots
@@ -115,47 +266,64 @@ def _with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows``, which have a fingerprint fp, with root and component_id."""
     columns = ["fp", "root", "component_id"]
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") >= max(1000, total // HOT)
+    hot = F.col("n") >= _hot(total)
     few = known.where(hot).select(*columns)  # at most HOT rows, as each holds 1/HOT of all
     often = rows.join(F.broadcast(few), "fp")
     rest = rows.join(F.broadcast(few.select("fp")), "fp", "left_anti").join(known.where(~hot).select(*columns), "fp")
     return often.unionByName(rest)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: (id, fp, component_id), component_id being the smallest id reachable over links."""
-    return _with_component(*_grouped(docs, id_col, text_col, radius, shingle)).select(id_col, "fp", "component_id")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
+    """One row per document: (id, fp, component_id), component_id being the smallest id reachable over links.
+
+    Links are fingerprints within ``radius`` bits, or with ``similarity`` documents of at least that Jaccard similarity of
+    their sets of shingles; a shingle has SHINGLE or WORDS words unless given.
+    """
+    shingle = shingle or (SHINGLE if similarity is None else WORDS)
+    with scratch(docs.sparkSession) as own:
+        prints, known = _grouped(docs, id_col, text_col, radius, shingle, similarity)
+        own.keep(prints, known)
+    return _with_component(prints.select(id_col, "fp"), known).select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest id; options as in ``near_duplicates``.
 
-    Where several rows of a group have that id, or none has an id, the smallest of them in the order of the columns stays.  An id may stand for rows
-    of several groups; each group keeps its own.
+    Where several rows of a group have that id, or none has an id, the smallest of them in the order of the columns
+    stays.  An id may stand for rows of several groups; each group keeps its own.
     """
-    prints, known = _grouped(docs, id_col, text_col, radius, shingle)
-    found = _with_component(prints, known)
-    chosen = found.groupBy(F.col(id_col).alias("_sl_id")).agg(F.count("*").alias("_sl_n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_sl_kept"))
-    chosen = materialise(chosen.where("_sl_kept").select("_sl_id", "_sl_n"), "simhash-kept")
+    shingle = shingle or (SHINGLE if similarity is None else WORDS)
+    with scratch(docs.sparkSession) as own:
+        prints, known = _grouped(docs, id_col, text_col, radius, shingle, similarity)
+        found = _with_component(prints.select(id_col, "fp"), known)
+        chosen = found.groupBy(F.col(id_col).alias("_sl_id")).agg(F.count("*").alias("_sl_n"), F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_sl_kept"))
+        chosen = materialise(chosen.where("_sl_kept").select("_sl_id", "_sl_n"), "simhash-kept")
+        own.keep(known, chosen)
     # texts are dealt by id at every size: the kept ids grow with the documents and are no table to broadcast
-    single = chosen.where("_sl_n = 1").select("_sl_id").hint("shuffle_hash")
+    single = chosen.where("_sl_n = 1").select("_sl_id")
     once = docs.join(single, F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi").select(*docs.columns)
     more = chosen.where("_sl_n > 1").select("_sl_id")
     if more.isEmpty():
         return once
     # rows that their id doesn't tell apart are decided one by one, by the group of their own text
     again = join_small(docs, more.withColumnRenamed("_sl_id", id_col), [id_col], F.col(text_col), "inner").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_sl_row"), F.col(text_col).alias("_sl_text"))
-    rows = _with_component(_row_prints(again, shingle), known).where(F.col("_sl_row")[id_col].eqNullSafe(F.col("component_id")))
+    rows = _with_component(_row_prints(again, _print_of(shingle, similarity)), known).where(F.col("_sl_row")[id_col].eqNullSafe(F.col("component_id")))
     first = rows.groupBy("root").agg(F.min("_sl_row").alias("_sl_row"))
     return once.unionByName(first.select(*[F.col("_sl_row")[c].alias(c) for c in docs.columns]))
 
 
-def _row_prints(rows: DataFrame, shingle: int) -> DataFrame:
+def _print_of(shingle: int, similarity: float | None) -> Callable[[str | None], int]:
+    """The signed fingerprint of a text by which ``_grouped`` tells classes apart."""
+    if similarity is not None:
+        return lambda text: int(sketch(text, shingle)[0][0])
+    return lambda text: int(np.uint64(fingerprint(text, shingle)).view(np.int64))
+
+
+def _row_prints(rows: DataFrame, print_of: Callable[[str | None], int]) -> DataFrame:
     """(_sl_row, fp) from (_sl_row, _sl_text)."""
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.fromiter((fingerprint(t, shingle) for t in piece.column(1).to_pylist()), dtype=np.uint64, count=piece.num_rows)
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(values.view(np.int64))], names=["_sl_row", "fp"])
+        return pa.RecordBatch.from_arrays([piece.column(0), pa.array([print_of(t) for t in piece.column(1).to_pylist()], pa.int64())], names=["_sl_row", "fp"])
 
     return map_texts(rows, ["_sl_row", "_sl_text"], apply, StructType([rows.schema["_sl_row"], StructField("fp", LongType())]))
 

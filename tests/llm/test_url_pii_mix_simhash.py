@@ -402,3 +402,87 @@ def test_components_of_every_radius(spark, radius):
     got = {r["node"]: r["root"] for r in connected_components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius), "a", "b").collect()}
     assert {f: got.get(f, f) for f in fps} == want
     assert radius != 1 or want[7] == want[2] == 2
+
+
+# ---- near copies by similarity
+
+
+def word_shingles(text, n=5):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copies(rng, sizes, copies, damage):
+    texts = []
+    for n in sizes:
+        words = ["w%d" % rng.randrange(3000) for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(copies):
+            other = list(words)
+            for _ in range(rng.randint(*damage(n))):
+                other[rng.randrange(n)] = "z%d" % rng.randrange(10**6)
+            texts.append(" ".join(other))
+    return texts
+
+
+def components_of(texts, similarity):
+    sets, root = [word_shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sets, [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [2000, 10**9])
+def test_similar_documents_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    if hot > 2000:
+        monkeypatch.setattr(simhash, "_hot", lambda total: 3)
+    rng = random.Random(11)
+    texts = near_copies(rng, [60, 90, 150, 300, 500, 900] * 6, 5, lambda n: (0, max(1, n // 45)))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, rows), similarity=0.8).collect()}
+    sets, want = components_of(texts, 0.8)
+    pairs = [(i, j, jaccard(sets[i], sets[j])) for i in range(len(texts)) for j in range(i)]
+    close, far = [(i, j) for i, j, s in pairs if s >= 0.8], [(i, j) for i, j, s in pairs if s < 0.1]
+    sure = [(i, j) for i, j, s in pairs if s >= 0.85]  # more than two standard errors above
+    assert len(sure) > 100 and sum(got[i] == got[j] for i, j in sure) >= 0.98 * len(sure)
+    assert len(close) > 200 and sum(got[i] == got[j] for i, j in close) >= 0.9 * len(close)
+    assert not any(got[i] == got[j] for i, j in far)
+    # nobody is drawn in without someone at about the similarity
+    for i in range(len(texts)):
+        if sum(c == got[i] for c in got.values()) > 1:
+            assert max(jaccard(sets[i], sets[j]) for j in range(len(texts)) if j != i and got[j] == got[i]) > 0.7
+
+
+def test_similarity_of_short_texts_is_exact(spark):
+    rng = random.Random(12)
+    texts = near_copies(rng, [1, 2, 4, 5, 6, 8, 12, 20, 25, 30] * 4, 3, lambda n: (0, 1)) + [None, "", " \n"]
+    texts += [t + " tail" for t in texts[:80] if t]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), similarity=0.8).collect()}
+    _, want = components_of(texts, 0.8)
+    split = sum(got[i] != got[w] for i, w in enumerate(want))
+    joined = [(i, j) for i in range(len(texts)) for j in range(i) if got[i] == got[j] and want[i] != want[j]]
+    assert split <= 1 and not joined
+
+
+def test_keep_one_by_similarity(spark):
+    rng = random.Random(13)
+    texts = near_copies(rng, [200] * 10, 3, lambda n: (1, 2))
+    rows = [(None if i < 20 else 100 - i, t, "s") for i, t in enumerate(texts)] + [(3, None, "s"), (4, "", "t")]
+    kept = simhash.keep_one(docs_of(spark, rows), similarity=0.8).collect()
+    _, want = components_of(texts, 0.8)
+    assert len(kept) == len(set(want)) + 1 and kept[0].__fields__ == docs_of(spark, rows).columns
+    assert simhash.keep_one(docs_of(spark, []), similarity=0.8).count() == 0 and simhash.near_duplicates(docs_of(spark, []), similarity=0.8).count() == 0
