@@ -178,11 +178,11 @@ OP7_SQL = _LEDGER_SQL + """SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CA
 
 ABLATIONS_SQL = (
     _LEDGER_SQL
-    + ", p(policy, mask) AS (VALUES "
+    + ", policies(policy, mask) AS (VALUES "
     + ", ".join(f"('{name}', {mask(name)})" for name in POLICIES)
-    + "), r(rule, bit) AS (VALUES "
+    + "), every(rule, bit) AS (VALUES "
     + ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(RULE_NAMES))
     + """)
-SELECT policy, rule, (SELECT count(*) FROM b WHERE failed & bit <> 0) AS n_failed, (SELECT count(*) FROM b WHERE failed & mask = bit) AS n_only FROM p JOIN r ON mask & bit <> 0
+SELECT policy, rule, (SELECT count(*) FROM b WHERE failed & bit <> 0) AS n_failed, (SELECT count(*) FROM b WHERE failed & mask = bit) AS n_only FROM policies JOIN every ON mask & bit <> 0
 """
 )

@@ -54,7 +54,7 @@ TABLES = 4
 TILT = 1.5
 #: So many of the heaviest shingles vote in a table; the others weigh less than a thousandth of the first.
 HEAVIEST = 64
-LEADERS = 3
+LEADERS = 8
 SKETCH_BITS = 2048
 FEW = 32
 _LANES = SKETCH_BITS // 64
