@@ -10,10 +10,12 @@ import sys
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.errors import InvalidInput
+from seqloom.functions.bases import kmer_text
 from seqloom.operators import matching, methylation, raster
-from seqloom.operators.sequence import kmers, reverse_complement_pieces
+from seqloom.operators.sequence import reverse_complement_pieces, words
 from seqloom.plans import layout
 from seqloom.plans.config import Config
 from seqloom.plans.scale import TileScale
@@ -49,8 +51,9 @@ class Dotplot:
         return TileScale.fit(self.max_side, self.x.length, self.y.length)
 
     def _kmers(self) -> tuple[DataFrame, DataFrame]:
-        xs = kmers(self.x.pieces, self.word_length)
-        return xs, xs if self.same else kmers(self.y.pieces, self.word_length)
+        upper = self.x.upper and self.y.upper
+        xs = words(self.x.pieces, self.word_length, upper)
+        return xs, xs if self.same else words(self.y.pieces, self.word_length, upper)
 
     def axes(self) -> tuple[layout.AxisInfo, layout.AxisInfo]:
         """What the axes show; bases are counted from the start of the region."""
@@ -60,7 +63,10 @@ class Dotplot:
 
     def matches(self, max_copies: int | None = None) -> DataFrame:
         """(x, y, kmer) of all matches, or of those words only that have at most ``max_copies`` copies on an axis."""
-        return matching.match_pairs(*self._kmers(), max_copies)
+        xs, ys = self._kmers()
+        pairs = matching.match_pairs(xs, ys, max_copies)
+        packed = dict(xs.dtypes)["kmer"] == "bigint"
+        return pairs.withColumn("kmer", kmer_text(F.col("kmer"), self.word_length)) if packed else pairs
 
     def hits(self) -> DataFrame:
         """(tx, ty, hits)."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters and their complements.
 LETTERS, PARTNERS = "ACGTacgt", "TGCAtgca"
+#: Bases in order of their two bits in packed k-mers.
+PACKED = "ACGT"
 
 
 def complement(bases: Column) -> Column:
@@ -36,3 +38,8 @@ def cut(bases: Column, start: Column, size: Column | int) -> Column:
     """``size`` bases from the 0-based ``start``; bases are single bytes, so no characters are counted."""
     size = F.lit(size) if isinstance(size, int) else size
     return F.substr(bases.cast("binary"), (start + 1).cast("int"), size.cast("int")).cast("string")
+
+
+def kmer_text(kmer: Column, k: int) -> Column:
+    """The bases of a packed k-mer."""
+    return F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", PACKED)

@@ -238,7 +238,8 @@ def q_kmers_skip_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_rec()}, {_con()}, {_km(12)} SELECT kmer, count(*) AS n FROM km GROUP BY kmer")
 def q_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.kmers(bridge.documents_sequence(spark, sf_dir)[1], 12).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = sequence.words(bridge.documents_sequence(spark, sf_dir)[1], 12).groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.select(bases.kmer_text(F.col("kmer"), 12).alias("kmer"), "n")
 
 
 # ---- matches and tiles
@@ -248,7 +249,7 @@ _XY = f"{_rec()}, {_con()}, {{x}}, {_rec('benchmark', 'item_id', 'item', name='r
 
 @query(f"WITH {_rec()}, {_con()}, {_km(K)}, p AS (SELECT a.pos AS x, b.pos AS y FROM km a JOIN km b USING (kmer)) SELECT x // 4096 AS bx, y // 4096 AS by, count(*) AS n, CAST(sum(x - y) AS BIGINT) AS shift FROM p GROUP BY 1, 2")
 def q_match_pairs_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = sequence.kmers(bridge.documents_sequence(spark, sf_dir)[1], K)
+    own = sequence.words(bridge.documents_sequence(spark, sf_dir)[1], K)
     pairs = matching.match_pairs(own, own)
     return pairs.groupBy(F.expr("x div 4096").alias("bx"), F.expr("y div 4096").alias("by")).agg(F.count("*").alias("n"), F.sum(F.col("x") - F.col("y")).alias("shift"))
 
@@ -257,12 +258,12 @@ def _cross(spark: SparkSession, sf_dir: str, k: int, turned: bool = False) -> tu
     contigs, pieces = bridge.benchmark_sequence(spark, sf_dir)
     if turned:
         pieces = sequence.reverse_complement_pieces(pieces, contigs.agg(F.sum("n")).first()[0])
-    return sequence.kmers(bridge.documents_sequence(spark, sf_dir)[1], k), sequence.kmers(pieces, k)
+    return sequence.words(bridge.documents_sequence(spark, sf_dir)[1], k), sequence.words(pieces, k)
 
 
 @query(f"WITH {_XY.format(x=_km(K))}, {_km(K, 'con_y', 'km_y')} SELECT a.pos AS x, b.pos AS y, a.kmer FROM km a JOIN km_y b ON a.kmer = b.kmer")
 def q_match_pairs_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_pairs(*_cross(spark, sf_dir, K))
+    return matching.match_pairs(*_cross(spark, sf_dir, K)).withColumn("kmer", bases.kmer_text(F.col("kmer"), K))
 
 
 @query(
@@ -270,7 +271,7 @@ def q_match_pairs_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT a.pos AS x, CAST(l - b.pos - 14 AS BIGINT) AS y, a.kmer FROM km_y b, ly, km a WHERE a.kmer = reverse(translate(b.kmer, 'ACGT', 'TGCA'))"
 )
 def q_match_pairs_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_pairs(*_cross(spark, sf_dir, 14, turned=True))
+    return matching.match_pairs(*_cross(spark, sf_dir, 14, turned=True)).withColumn("kmer", bases.kmer_text(F.col("kmer"), 14))
 
 
 def _self_scale(contigs: DataFrame) -> TileScale:
@@ -280,7 +281,7 @@ def _self_scale(contigs: DataFrame) -> TileScale:
 
 def dotplot_self(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     contigs, pieces = bridge.documents_sequence(spark, sf_dir)
-    own = sequence.kmers(pieces, k)
+    own = sequence.words(pieces, k)
     return matching.tile_hits(own, own, _self_scale(contigs))
 
 
@@ -307,7 +308,7 @@ def q_dotplot_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_DOT + " SELECT DISTINCT a.tx, b.tx AS ty FROM g a JOIN g b USING (kmer)")
 def q_dotplot_black(spark: SparkSession, sf_dir: str) -> DataFrame:
     contigs, pieces = bridge.documents_sequence(spark, sf_dir)
-    own = sequence.kmers(pieces, K)
+    own = sequence.words(pieces, K)
     return matching.black_tiles(own, own, _self_scale(contigs))
 
 
@@ -591,7 +592,7 @@ def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = _self_scale(contigs)
     tiles = materialise(methylation.tile_stats(_pruned_of(spark, sf_dir, contigs, pieces), scale.tile_w, scale.out_w), "meth-tiles")
     soft = raster.dilate_colour(methylation.coloured(methylation.cells(tiles, tiles)), DOT)
-    own = sequence.kmers(pieces, K)
+    own = sequence.words(pieces, K)
     black = raster.dilate_black(matching.black_tiles(own, own, scale).selectExpr("tx AS x", "ty AS y"), DOT)
     return raster.composite(soft, materialise(black, "black"))
 

@@ -6,7 +6,7 @@ are made within each split and shifted by the sums of the splits before it, so n
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ class Sequence:
     multi: bool
     #: Whether the label is the region it was cut to.
     cut: bool = False
+    #: Whether all bases are in upper case.
+    upper: bool = True
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -100,13 +102,17 @@ def read_sequence(spark: SparkSession, path: str, region: Region | None = None,
     bad = violations(seen).orderBy("split", "line_no").limit(1).collect()
     if bad:
         raise MalformedInput(bad[0]["problem"])
-    return cut_sequence(placed_lines(parsed), contigs, region)
+    return _cased(cut_sequence(placed_lines(parsed), contigs, region), preserve_case)
 
 
-def sequence_of_records(records: DataFrame, region: Region | None = None) -> Sequence | None:
+def sequence_of_records(records: DataFrame, region: Region | None = None, preserve_case: bool = False) -> Sequence | None:
     """As ``read_sequence``, from a table (ord, id, seq)."""
-    contigs = contigs_of(records)
-    return cut_sequence(pieces_of(contigs), contigs.drop("seq"), region)
+    contigs = contigs_of(records if preserve_case else records.withColumn("seq", F.upper("seq")))
+    return _cased(cut_sequence(pieces_of(contigs), contigs.drop("seq"), region), preserve_case)
+
+
+def _cased(found: Sequence | None, preserve_case: bool) -> Sequence | None:
+    return replace(found, upper=not preserve_case) if found else None
 
 
 def cut_sequence(pieces: DataFrame, contigs: DataFrame, region: Region | None) -> Sequence | None:

@@ -143,6 +143,8 @@ def test_kmers_slices_and_complements(spark, s, k, size, seed):
     p = pieces(spark, s, seed)
     got = sorted((r["pos"], r["kmer"]) for r in sequence.kmers(p, k, size=size).collect())
     assert got == [(i, s[i : i + k]) for i in range(len(s) - k + 1) if "N" not in s[i : i + k]]
+    packed = sequence.packed_kmers(p, k, size=size).select("pos", bases.kmer_text(F.col("kmer"), k).alias("kmer"))
+    assert sorted((r["pos"], r["kmer"]) for r in packed.collect()) == got
     turned = sequence.reverse_complement_pieces(p, len(s))
     want = s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     assert "".join(r["bases"] for r in turned.orderBy("pos").collect()) == want
@@ -150,6 +152,19 @@ def test_kmers_slices_and_complements(spark, s, k, size, seed):
     assert [r["pos"] for r in sequence.cytosine_positions(p).orderBy("pos").collect()] == [i for i, c in enumerate(s) if c == "C"]
 
 
+def test_packed_words_of_all_lengths(spark):
+    rng = random.Random(2)
+    s = "".join(rng.choice("ACGTACGTACGTN") for _ in range(400)) + "T" * 40
+    for k in (1, 2, 16, 30, 31, 32):
+        got = sequence.words(pieces(spark, s), k)
+        text = bases.kmer_text(F.col("kmer"), k) if k <= 31 else F.col("kmer")
+        assert sorted(tuple(r) for r in got.select("pos", text).collect()) == [(i, s[i : i + k]) for i in range(len(s) - k + 1) if "N" not in s[i : i + k]]
+    assert dict(sequence.words(pieces(spark, s), 5, upper=False).dtypes)["kmer"] == "string"
+    with pytest.raises(Exception, match="upper-case"):
+        sequence.packed_kmers(pieces(spark, "ACgT"), 2).collect()
+    assert sequence.packed_kmers(pieces(spark, s).where("false"), 5).count() == 0
+
+
 def test_matches_tiles_and_salts(spark):
     rng = random.Random(8)
     x, y = ("".join(rng.choice("AAAC") for _ in range(n)) for n in (300, 220))

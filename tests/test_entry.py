@@ -10,12 +10,17 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def test_entry_without_llm(tmp_path):
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"], ["corpus_pipeline.py"], []])
+def test_entry_without_llm_or_pipeline(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 40 and all(k.startswith('q_') for k in q)"
+    present = os.path.isdir(os.path.join(ROOT, "seqloom", "llm"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len([k for k in q if k.startswith('q_')]), len([k for k in q if k.startswith('op')]), 'pipeline' in q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr
+    own, ops, pipeline = done.stdout.split()[-3:]
+    assert int(own) > 55 and int(ops) == (10 if present and "llm" not in gone else 0)
+    assert (pipeline == "True") == (present and not gone)
 
 
 def test_every_query_of_the_engine_has_sql():
