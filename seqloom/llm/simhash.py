@@ -15,8 +15,9 @@ table.  A few heavy shingles decide such a fingerprint: where two texts share th
 than 2 bits, so each table finds a pair with a probability that grows with its similarity.  Texts that share a
 fingerprint are linked to LEADERS of them, and so are fingerprints that meet.  Every candidate is verified: by an
 unweighted SimHash of SKETCH_BITS bits, whose differing share gives the angle between the sets of shingles and, with their
-sizes, the Jaccard similarity (standard error about 0.02 at 0.8), and exactly if both texts have at most FEW
-shingles.
+sizes, the Jaccard similarity (standard error 0.013 at 0.8), and exactly if both texts have at most FEW shingles.  An
+estimate counts down to one standard error below ``similarity``, so that few pairs above it are lost; pairs just below it
+may be joined.
 
 Defined results for odd input: null and empty texts have fingerprint 0 and are linked like any other (by similarity: to
 each other only); texts with fewer words than a shingle are one shingle; equal and null ids stay separate rows
@@ -51,11 +52,11 @@ HOT = 2000
 #: Words of a shingle where documents are compared by similarity.
 WORDS = 5
 TABLES = 4
-TILT = 1.5
+TILT = 2.5
 #: So many of the heaviest shingles vote in a table; the others weigh less than a thousandth of the first.
 HEAVIEST = 64
 LEADERS = 8
-SKETCH_BITS = 2048
+SKETCH_BITS = 4096
 FEW = 32
 _LANES = SKETCH_BITS // 64
 _ODD = np.random.default_rng(42).integers(1, 1 << 62, _LANES + TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,10 +175,13 @@ def _hot(total: int) -> int:
 
 
 def _join_hot(rows: DataFrame, table: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join with a table of unique keys; those of ``hot`` (at most HOT keys, each with 1/HOT of all rows) are broadcast."""
+    """Inner join with a table of unique keys; those of ``hot`` (at most HOT keys, each with 1/HOT of all rows) are broadcast.
+
+    Both sides grow with the documents, so the rest is dealt and merged at every size.
+    """
     few = table.join(F.broadcast(hot), on, "left_semi")
     often = rows.join(F.broadcast(few), on)
-    rest = rows.join(F.broadcast(hot), on, "left_anti").join(table, on)
+    rest = rows.join(F.broadcast(hot), on, "left_anti").join(table.hint("merge"), on)
     return often.unionByName(rest)
 
 
@@ -201,9 +205,9 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     met = spread.groupBy("t", "variant").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
     met = materialise(met, "simhash-met")
     crowded = met.where("n > 2").select("t", "lo", F.explode(_ball(F.col("variant"), 1)).alias("hi"))
-    near = met.select("t", "lo", "hi").unionByName(crowded.join(buckets.select("t", F.col("key").alias("hi")), ["t", "hi"], "left_semi")).distinct()
+    near = met.select("t", "lo", "hi").unionByName(crowded.join(buckets.select("t", F.col("key").alias("hi")).hint("merge"), ["t", "hi"], "left_semi")).distinct()
     for end, name in (("lo", "a"), ("hi", "b")):  # a fingerprint has at most 64 * 65 / 2 others within 2 bits
-        near = near.join(buckets.select("t", F.col("key").alias(end), F.col("l0").alias(name)), ["t", end])
+        near = near.join(buckets.select("t", F.col("key").alias(end), F.col("l0").alias(name)).hint("merge"), ["t", end])
     every = star.unionByName(near.select("a", "b")).where("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -220,14 +224,16 @@ def similarity_of(pairs: DataFrame) -> Column:
 
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     """(a, b): candidates whose similarity is verified."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
     # the first 64 bits of the sketches, which are at hand, leave out what is far from similar: five standard errors off
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
+    error = 2 / (2 - cosine) ** 2 * math.pi * math.sin(math.pi * share) * math.sqrt(share * (1 - share) / SKETCH_BITS)
     pairs = candidate_links(classes.where("size > 0"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    pairs = materialise(pairs.where(near), "simhash-pairs")
+    pairs = materialise(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most), "simhash-pairs")
     both = _with_end(_with_end(pairs, classes, "a"), classes, "b")
-    return both.where(similarity_of(both) >= similarity).select("a", "b")
+    least = F.when(F.col("few_a").isNotNull() & F.col("few_b").isNotNull(), similarity).otherwise(similarity - error)
+    return both.where(similarity_of(both) >= least).select("a", "b")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
@@ -300,7 +306,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         chosen = materialise(chosen.where("_sl_kept").select("_sl_id", "_sl_n"), "simhash-kept")
         own.keep(known, chosen)
     # texts are dealt by id at every size: the kept ids grow with the documents and are no table to broadcast
-    single = chosen.where("_sl_n = 1").select("_sl_id")
+    single = chosen.where("_sl_n = 1").select("_sl_id").hint("merge")
     once = docs.join(single, F.col(id_col).eqNullSafe(F.col("_sl_id")), "left_semi").select(*docs.columns)
     more = chosen.where("_sl_n > 1").select("_sl_id")
     if more.isEmpty():
