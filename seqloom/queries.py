@@ -280,7 +280,7 @@ def _self_scale(contigs: DataFrame) -> TileScale:
 
 
 def dotplot_self(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    contigs, pieces = bridge.documents_sequence(spark, sf_dir)
+    contigs, pieces = bridge.stored_sequence(spark, sf_dir)
     own = sequence.words(pieces, k)
     return matching.tile_hits(own, own, _self_scale(contigs))
 
@@ -300,14 +300,14 @@ def q_dotplot_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT a.pos // tw AS tx, b.pos // th AS ty, count(*) AS hits FROM km a JOIN km_y b ON a.kmer = b.kmer, s GROUP BY 1, 2"
 )
 def q_dotplot_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xs, ys = _cross(spark, sf_dir, K)
-    w, h = (seq(spark, sf_dir)[0].agg(F.sum("n")).first()[0] for seq in (bridge.documents_sequence, bridge.benchmark_sequence))
-    return matching.tile_hits(xs, ys, TileScale.fit(SIDE, w, h))
+    axes = [bridge.stored_sequence(spark, sf_dir), bridge.benchmark_sequence(spark, sf_dir)]
+    w, h = (contigs.agg(F.sum("n")).first()[0] for contigs, _ in axes)
+    return matching.tile_hits(*(sequence.words(pieces, K) for _, pieces in axes), TileScale.fit(SIDE, w, h))
 
 
 @query(_DOT + " SELECT DISTINCT a.tx, b.tx AS ty FROM g a JOIN g b USING (kmer)")
 def q_dotplot_black(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contigs, pieces = bridge.documents_sequence(spark, sf_dir)
+    contigs, pieces = bridge.stored_sequence(spark, sf_dir)
     own = sequence.words(pieces, K)
     return matching.black_tiles(own, own, _self_scale(contigs))
 
