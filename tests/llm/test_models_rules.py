@@ -260,14 +260,15 @@ def test_all_queries_on_small_tables(spark, tmp_path):
     rows = two_languages(60, 6) + [(None, None, None), (None, "x y z", "aa"), (3, "a b", None), (3, "a b", None), (7, "", "aa")]
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(40)] + [(None, 1, 0, "x"), (5, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
     pages = spark.createDataFrame([(1, "https://www.example.com/en/1", "h", "v"), (None, None, "h", "v"), (1, "x", None, None)], "page_id long, url string, html string, verdict string")
-    assert set(ORACLES) <= set(QUERIES) and {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in QUERIES}
+    embeddings = spark.createDataFrame([(20, [0.5, 1.0], 1), (20, [0.5, 1.0], 1), (None, [0.25, 2.0], 1), (3, None, None), (40, [1.0, float("nan")], 1)], "vec_id long, embedding array<float>, label int")
+    assert set(ORACLES) <= set(QUERIES) and {f"op{n}" for n in range(1, 13)} <= {k.split("_")[0] for k in QUERIES}
     for folder, keep in (("full", "true"), ("empty", "false")):
-        for name, df in (("documents", docs_of(spark, rows)), ("labels", labels), ("pages", pages)):
+        for name, df in (("documents", docs_of(spark, rows)), ("labels", labels), ("pages", pages), ("embeddings", embeddings)):
             df.where(keep).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
         for name, fn in QUERIES.items():
             n = fn(spark, f"{tmp_path}/{folder}").count()
             if name != "ledger_ablations":
-                assert n == (0 if folder == "empty" else 3 if name == "op1_url_filters" else len(rows)), name
+                assert n == (0 if folder == "empty" else {"op1_url_filters": 3, "op11_top_k": 4}.get(name, len(rows))), name
 
 
 # ---- pipeline
