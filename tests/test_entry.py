@@ -19,7 +19,7 @@ def test_entry_without_llm_or_pipeline(tmp_path, gone):
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr
     own, ops, pipeline = done.stdout.split()[-3:]
-    assert int(own) > 55 and int(ops) == (10 if present and "llm" not in gone else 0)
+    assert int(own) > 55 and int(ops) == (12 if present and "llm" not in gone else 0)
     assert (pipeline == "True") == (present and not gone)
 
 
