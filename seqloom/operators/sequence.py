@@ -106,7 +106,7 @@ _CODES[ord("N")] = 4
 
 
 def _packed(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
-    """(pos, kmer) of the blocks (start, n, bases) of a batch."""
+    """(pos, kmer) of the blocks (start, n, bases, ...) of a batch, and what else their rows hold."""
     texts = [t.encode() for t in batch.column(2).to_pylist()]
     sizes, own = np.array([len(t) for t in texts]), batch.column(1).to_numpy()
     codes = _CODES[np.frombuffer(b"".join(texts), np.uint8)]
@@ -123,11 +123,12 @@ def _packed(batch: pa.RecordBatch, k: int) -> pa.RecordBatch:
     for i in range(k if len(at) else 0):
         words = words << 2 | codes[i : i + len(words)]
     pos = (np.repeat(batch.column(0).to_numpy(), counts) + inside)[known]
-    return pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(words[at], pa.int64())], names=["pos", "kmer"])
+    rest = [c.take(pa.array(np.repeat(np.arange(batch.num_rows), counts)[known])) for c in batch.columns[3:]]
+    return pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(words[at], pa.int64()), *rest], names=["pos", "kmer", *batch.schema.names[3:]])
 
 
-def packed_kmers(pieces: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
-    """(pos, kmer) of every k-mer without an N of an upper-case sequence; kmer is a BIGINT, see ``bases.kmer_text``."""
+def _packed_blocks(blocks: DataFrame, k: int, schema: str) -> DataFrame:
+    """Words of blocks (start, n, bases, ...) of upper-case bases."""
     if not 1 <= k <= MAX_PACKED:
         raise ValueError(f"packed words have 1 to {MAX_PACKED} bases")
 
@@ -136,8 +137,26 @@ def packed_kmers(pieces: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
             for at in range(0, batch.num_rows, TOGETHER):
                 yield _packed(batch.slice(at, TOGETHER), k)
 
-    ship_package(pieces.sparkSession)
-    return blocks_of(pieces, k - 1, size).select("start", F.col("n").cast("long").alias("n"), "bases").mapInArrow(run, "pos long, kmer long")
+    ship_package(blocks.sparkSession)
+    return blocks.mapInArrow(run, schema)
+
+
+def record_words(records: DataFrame, k: int, key: str = "ord", size: int = BLOCK) -> DataFrame:
+    """(pos, kmer, key) of every k-mer without an N inside of each record (key, seq); none spans two records, pos is counted
+    within the record.  A record is cut where it lies, so nothing is shuffled."""
+    kind = records.schema[key].dataType.simpleString()
+    n = F.length("seq")
+    starts = F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    cuts = records.select(F.upper("seq").alias("seq"), F.col(key).alias("_key"), F.explode(starts).alias("start"))
+    bases = cut(F.col("seq"), F.col("start"), size + k - 1)
+    blocks = cuts.select(F.col("start").cast("long").alias("start"), F.lit(size).cast("long").alias("n"), bases.alias("bases"), F.col("_key").alias(key))
+    return _packed_blocks(blocks, k, f"pos long, kmer long, `{key}` {kind}")
+
+
+def packed_kmers(pieces: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+    """(pos, kmer) of every k-mer without an N of an upper-case sequence; kmer is a BIGINT, see ``bases.kmer_text``."""
+    blocks = blocks_of(pieces, k - 1, size).select("start", F.col("n").cast("long").alias("n"), "bases")
+    return _packed_blocks(blocks, k, "pos long, kmer long")
 
 
 def words(pieces: DataFrame, k: int, upper: bool = True) -> DataFrame:

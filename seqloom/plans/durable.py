@@ -12,13 +12,16 @@ import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-#: Tables and folders that this process has made: those of the open scopes, innermost last; the first is the process.
-_SCOPES: list[list[str]] = [[]]
+#: Tables and folders that no open scope holds.
+_PROCESS: list[str] = []
+#: Those of the open scopes of this thread or task, innermost last; others' scopes never get or delete its tables.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 #: Where a materialised DataFrame lies.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -39,21 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/seqloom/{tag}-{uuid.uuid4().hex}"
-    _SCOPES[-1].append(path)
+    _innermost().append(path)
     return path
 
 
+def _innermost() -> list[str]:
+    held = _SCOPES.get()
+    return held[-1] if held else _PROCESS
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
 
 
 def release(spark: SparkSession) -> int:
-    """Delete all intermediates of this process, once no DataFrame that reads them is needed any more; their number."""
+    """Delete all intermediates that no open scope holds, once no DataFrame that reads them is needed any more; their number."""
     gone = 0
-    for held in _SCOPES:
-        while held:
-            gone += delete(spark, held.pop())
+    while _PROCESS:
+        gone += delete(spark, _PROCESS.pop())
     return gone
 
 
@@ -73,15 +80,15 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """Delete the intermediates that are made in this block at its end, but for those kept; what the block returns must
     read kept tables only."""
     own: list[str] = []
-    _SCOPES.append(own)
+    entered = _SCOPES.set((*_SCOPES.get(), own))
     scope = Scratch()
     try:
         yield scope
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(entered)
         for path in own:
             if path in scope.kept:
-                _SCOPES[-1].append(path)
+                _innermost().append(path)
             else:
                 delete(spark, path)
 
