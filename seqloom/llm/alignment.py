@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from seqloom.plans.ship import ship_file, shipped
 
 #: Characters that are handled together, and those of all units that a worker remembers before it starts over.
 SLICE = 2 << 20
-REMEMBERED = 8 << 20
+REMEMBERED = 4 << 20
 #: Up to so many id pairs (some 100 bytes each in memory) are broadcast.
 MAX_BROADCAST_PAIRS = 600_000
 #: Fixed value: Unicode's white space, as in a character class.
@@ -50,33 +51,26 @@ UNIT = re.compile(rf"\n(?=[^{_WHITE}])|(?:[ \n][{_WHITE}]*)?[^{_WHITE}]+(?:[{_OT
 _BORDER = re.compile(rf"[^{_WHITE}](?= )")
 
 
-def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """(links, components) of two token sequences over the same bytes, given where each token ends.
+def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the overlapping tokens of A and B, given where each token ends: between two neighbouring ends of either
+    side lies one token of each, and every overlap has one such stretch that ends first."""
+    ends = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
-    Links are pairs of numbers of overlapping tokens; a component lists nodes in ascending order, tokens of B being
-    numbered behind those of A.
-    """
-    n = len(ends_a)
-    parent = list(range(n + len(ends_b)))
-
-    def find(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    links, i, j = [], 0, 0
-    while i < n and j < len(ends_b):
-        links.append((i, j))
-        a, b = find(i), find(n + j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-        a, b = ends_a[i], ends_b[j]
-        i, j = i + (a <= b), j + (b <= a)
-    members: dict[int, list[int]] = {}
-    for v in range(len(parent)):
-        members.setdefault(find(v), []).append(v)
-    return links, [members[root] for root in sorted(members)]
+
+def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, by union-find over all links (a, b) at once: roots are hooked under the
+    smallest root that they are linked to, then paths are halved until every node points to its root."""
+    parent = np.arange(n)
+    while True:
+        one, other = parent[a], parent[b]
+        apart = one != other
+        if not apart.any():
+            return parent
+        one, other = one[apart], other[apart]
+        np.minimum.at(parent, np.maximum(one, other), np.minimum(one, other))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
 
 
 class ByteSide:
@@ -91,7 +85,9 @@ class ByteSide:
         self.tokenizer = tokenizers.Tokenizer.from_str(json.dumps(said | {"truncation": None, "padding": None}))
         self.tokenizer.encode_special_tokens = True
         byte_of = {sign: i for i, sign in enumerate(_byte_signs())}
-        self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in said["model"]["vocab"].items()}
+        self.bytes_of = [b""] * (1 + max(said["model"]["vocab"].values()))
+        for token, i in said["model"]["vocab"].items():
+            self.bytes_of[i] = bytes(byte_of[c] for c in token)
         split = said.get("pre_tokenizer") or {}
         #: Whether words are told apart by the pattern of byte-level vocabularies, which never looks back over a border.
         self.by_unit = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer")
@@ -107,15 +103,15 @@ class PieceSide:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes_of, crossing = {}, re.compile(r"[^ \n][ \n]|.\n|\n.", re.DOTALL)
+        self.bytes_of, crossing = [], re.compile(r"[^ \n][ \n]|.\n|\n.", re.DOTALL)
         crosses = False
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             if self.model.is_byte(i):
-                self.bytes_of[i] = bytes([int(piece[1:-1], 16)])
+                self.bytes_of.append(bytes([int(piece[1:-1], 16)]))
             else:
                 text = piece.replace("▁", " ")
-                self.bytes_of[i] = text.encode()
+                self.bytes_of.append(text.encode())
                 crosses |= bool(crossing.search(text))
         #: A line feed is a piece of its own: what follows one is encoded as it would be anywhere behind a border.
         self.begin = self.model.encode("\n")
@@ -138,42 +134,65 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = ByteSide(a_path), PieceSide(b_path)
         self.by_unit = self.a.by_unit and self.b.by_unit
+        self.sizes = [np.array([len(x) for x in side.bytes_of]) for side in (self.a, self.b)]
+        self.names = [str(i) for i in range(max(map(len, self.sizes)))]
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.size = 0
-        self.pair_at: dict[tuple[int, int], int] = {}
-        self.pairs = np.zeros((0, 2), np.int64)
+        #: Numbers of the id pairs, each as a << 32 | b.
+        self.pair_at: dict[int, int] = {}
+        self.pairs = np.zeros(0, np.int64)
         self.groups: list[str] = []
         #: For each unit: tokens of A and B, groups, and 1 if its bytes aren't those of its tokens.
         self.numbers = np.zeros((0, 4), np.int64)
         self.flat, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _align(self, unit: str, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int, int], list[int]]:
-        raw = unit.encode()
-        parts = [[side.bytes_of[i] for i in ids] for side, ids in ((self.a, a), (self.b, b))]
-        if any(b"".join(p) != raw for p in parts):
-            return "", (0, 0, 0, 1), []
-        links, components = groups_of(*(np.cumsum([len(x) for x in p]).tolist() for p in parts))
-        n = len(a)
-        shown = [",".join(str(a[v]) for v in own if v < n) + "|" + ",".join(str(b[v - n]) for v in own if v >= n) for own in components]
-        known = self.pair_at
-        return ";".join(shown), (n, len(b), len(components), 0), [known.setdefault((a[i], b[j]), len(known)) for i, j in links]
+    def _fits(self, raw: list[bytes], ids: tuple[list[list[int]], list[list[int]]]) -> np.ndarray:
+        """Which units have the bytes of their tokens on both sides."""
+        joined, out = b"".join(raw), np.ones(len(raw), bool)
+        for side, own in zip((self.a, self.b), ids, strict=True):
+            said = [b"".join(map(side.bytes_of.__getitem__, x)) for x in own]
+            if list(map(len, said)) != list(map(len, raw)) or b"".join(said) != joined:
+                out &= np.array([x == y for x, y in zip(said, raw, strict=True)])
+        return out
 
     def _learn(self, units: list[str]) -> None:
-        ids_b = self.b.encode(units) if self.by_unit else [self.b.encode_whole(u) for u in units]
-        made = [self._align(u, a, b) for u, a, b in zip(units, self.a.encode(units), ids_b, strict=True)]
+        raw = [u.encode() for u in units]
+        ids = self.a.encode(units), self.b.encode(units) if self.by_unit else [self.b.encode_whole(u) for u in units]
+        good = self._fits(raw, ids)
+        ids = tuple([x if ok else [] for x, ok in zip(own, good.tolist(), strict=True)] for own in ids)
+        counts = [np.array([len(x) for x in own], np.int64) for own in ids]
+        flat = [np.fromiter(chain.from_iterable(own), np.int64, int(n.sum())) for own, n in zip(ids, counts, strict=True)]
+        i, j = links_of(*(np.cumsum(size[x]) for size, x in zip(self.sizes, flat, strict=True)))
+        n, owner = len(flat[0]), np.repeat(np.arange(len(units)), counts[0])
+        root = components(i, n + j, n + len(flat[1]))  # the group's first token of A
+        order = np.argsort(root, kind="stable")  # by group, A before B
+        group = root[order]
+        unit = owner[group]
+        groups = np.bincount(owner[np.unique(root)], minlength=len(units))
+        # what follows a token: one of its own side, of the other side, a group, a unit
+        same = group[1:] == group[:-1]
+        crossing = same & (order[1:] >= n) & (order[:-1] < n)
+        follows = np.where(crossing, "|", np.where(same, ",", np.where(unit[1:] == unit[:-1], ";", "\n"))).tolist()
+        said = [""] * (2 * len(order))
+        said[::2] = map(self.names.__getitem__, np.concatenate(flat)[order].tolist())
+        said[1:-1:2] = follows
+        shown = iter("".join(said).split("\n"))
         self.index.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
         self.size += sum(map(len, units))
-        self.groups += [m[0] for m in made]
-        count = np.array([len(m[2]) for m in made], np.int64)
-        self.numbers = np.concatenate([self.numbers, np.array([m[1] for m in made], np.int64)])
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, np.fromiter((p for m in made for p in m[2]), np.int64, int(count.sum()))])
-        if len(self.pair_at) > len(self.pairs):
-            self.pairs = np.array(list(self.pair_at), np.int64)
+        self.groups += [next(shown) if ok else "" for ok in good.tolist()]
+        self.numbers = np.concatenate([self.numbers, np.stack([*counts, groups, ~good], axis=1).astype(np.int64)])
+        distinct, number = np.unique(flat[0][i] << 32 | flat[1][j], return_inverse=True)
+        known = self.pair_at
+        numbers = np.fromiter((known.setdefault(p, len(known)) for p in distinct.tolist()), np.int64, len(distinct))
+        links = np.bincount(owner[i], minlength=len(units))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(links) - links])
+        self.count = np.concatenate([self.count, links])
+        self.flat = np.concatenate([self.flat, numbers[number]])
+        if len(known) > len(self.pairs):
+            self.pairs = np.fromiter(known, np.int64, len(known))
 
     def _parts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
         """(number of its text, part) of all texts, in lists of about SLICE characters; parts end at borders."""
@@ -257,7 +276,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
             sums, digests, (at, pair, times) = own.align(piece.column(2).to_pylist())
             ends = np.searchsorted(at, np.arange(piece.num_rows + 1))
             ids = own.pairs[pair]
-            links = pa.StructArray.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(times)], names=["a", "b", "n"])
+            links = pa.StructArray.from_arrays([pa.array(ids >> 32), pa.array(ids & 0xFFFFFFFF), pa.array(times)], names=["a", "b", "n"])
             columns = [pa.array(sums[:, i]) for i in range(3)]
             return pa.RecordBatch.from_arrays(
                 [piece.column(0), piece.column(1), *columns, pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links)],

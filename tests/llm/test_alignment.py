@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,7 +90,7 @@ def check(aligner, library, texts):
     sums, digests, (at, pair, times) = aligner.align(texts)
     got = [Counter() for _ in texts]
     for i, p, n in zip(at.tolist(), pair.tolist(), times.tolist()):
-        got[i][tuple(aligner.pairs[p].tolist())] += n
+        got[i][divmod(int(aligner.pairs[p]), 1 << 32)] += n
     for i, text in enumerate(texts):
         a, b, groups, links = library.groups(text)
         assert sums[i].tolist() == [len(a), len(b), len(groups)], repr(text)[:200]
@@ -102,13 +103,30 @@ def test_union_find_gives_minimal_groups():
     for _ in range(300):
         n = rng.randrange(1, 30)
         ends = [sorted({*rng.sample(range(1, n + 1), rng.randrange(0, n)), n}) for _ in range(2)]
-        links, components = alignment.groups_of(*ends)
+        i, j = alignment.links_of(*map(np.array, ends))
         spans = [list(zip([0, *e], e)) for e in ends]
-        assert sorted(links) == sorted((i, j) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if s < f and t < e)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted((i, j) for i, (s, e) in enumerate(spans[0]) for j, (t, f) in enumerate(spans[1]) if s < f and t < e)
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        assert len(components) == len(cuts) and sorted(v for c in components for v in c) == list(range(len(ends[0]) + len(ends[1])))
-        for own, hi in zip(components, cuts):
-            assert max(ends[0][v] for v in own if v < len(ends[0])) == hi == max(ends[1][v - len(ends[0])] for v in own if v >= len(ends[0]))
+        first = len(ends[0])
+        root = alignment.components(i, first + j, first + len(ends[1])).tolist()
+        assert len(set(root)) == len(cuts)
+        for v, r in enumerate(root):
+            assert r == min(u for u, q in enumerate(root) if q == r)
+            own = [u for u, q in enumerate(root) if q == r]
+            assert max(ends[0][u] for u in own if u < first) == max(ends[1][u - first] for u in own if u >= first) == cuts[sorted(set(root)).index(r)]
+
+
+def test_components_of_any_graph():
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randrange(1, 40)
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 40))]
+        slow = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                slow[a] = slow[b] = min(slow[a], slow[b])
+        a, b = np.array([x for x, _ in links], int), np.array([x for _, x in links], int)
+        assert alignment.components(a, b, n).tolist() == slow
 
 
 def test_both_vocabularies_are_cut_into_units(aligner):
