@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.sequence import contigs_of, pieces_of
-from seqloom.plans.durable import materialise
+from seqloom.plans.durable import materialise, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +64,25 @@ def track(spark: SparkSession, sf_dir: str, divisor: float = 5.0) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("line_no"), F.concat(F.lit("doc"), F.col("user_id")).alias("chrom"), start.alias("start"), (start + 1).alias("end"), (F.least("value", F.lit(500.0)) / divisor).cast("float").alias("value")
     )
+
+
+def text_files(lines: DataFrame, tag: str, order: list[str]) -> str:
+    """Write ``lines.line`` in order to the files of a new folder, whose names are in order too; the folder.  Rows that agree
+    in the first column of ``order`` are in one file."""
+    path = new_path(lines.sparkSession, tag)
+    parts = lines.sparkSession.sparkContext.defaultParallelism
+    lines.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).select("line").write.option("lineSep", "\n").text(path)
+    return path
+
+
+def fasta_files(spark: SparkSession, sf_dir: str, width: int = 60) -> str:
+    """``fasta_lines`` as a folder of files; a record is in one of them."""
+    return text_files(fasta_lines(spark, sf_dir, width), "fasta-files", ["split", "line_no"])
+
+
+def bed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The track as a folder of bedMethyl files, sorted by chromosome, position and line."""
+    at = "(event_id * 31) % 400"
+    line = f"concat('doc', user_id, '\\t', {at}, '\\t', {at} + 1, '\\tm\\t0\\t+\\ts\\te\\t255,0,0\\t8\\t', value / 5)"
+    rows = table(spark, sf_dir, "events").selectExpr("concat('doc', user_id) AS chrom", f"{at} AS start", "event_id", f"{line} AS line")
+    return text_files(rows, "bed-files", ["chrom", "start", "event_id"])

@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import PACKED, contains_n, cut, reverse_complement
+from seqloom.plans.durable import materialise
 from seqloom.plans.ship import ship_package
 
-#: Records that are summed in one task when offsets are made.
-BUCKET = 1024
 #: Bases of a block.
 BLOCK = 4096
 #: Blocks that are packed together, and the longest words that fit into a number.
@@ -32,22 +31,23 @@ MAX_PACKED = 31
 def with_offsets(records: DataFrame, ord_col: str = "ord", n_col: str = "n") -> DataFrame:
     """``records`` with ``off``, the exclusive running sum of n by ord, without a window over all rows.
 
-    Rows are summed within buckets (BUCKET values of ord), and only the buckets' sums, a row each, are ordered as a whole.
-    Equal values of ord are ordered by id, n and seq, as far as there are such columns; rows without one come last, in
-    order of the MD5 of their id, whose first digits are their buckets.
+    Rows are dealt by ranges of their order, whatever the values of ord are, and written, so that each range is summed
+    in a task of its own and only the ranges' sums, a row each, are ordered as a whole.  Equal values of ord are ordered by
+    id, n and seq, as far as there are such columns, and rows that are equal in these by chance, so no value has to be one
+    task's; rows without an ord come last, in order of the MD5 of their id.
     """
     digest = F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))) if "id" in records.columns else F.md5(F.lit(""))
-    rank = F.when(F.col(ord_col).isNull(), digest)
-    bucket = F.struct(F.floor(F.col(ord_col) / BUCKET).alias("b"), F.substring(rank, 1, 3).alias("r"))
     ties = [F.col(c) for c in ("id", n_col) if c in records.columns] + ([F.xxhash64("seq")] if "seq" in records.columns else [])
-    order = [F.col(ord_col).asc_nulls_last(), rank, *ties]
-    rows = records.withColumn("_bucket", bucket)
-    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy(F.col("_b.b").asc_nulls_last(), "_b.r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(F.col("_bucket").alias("_b")).agg(F.sum(n_col).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_base"))
-    rows = rows.withColumn("_inside", F.coalesce(F.sum(n_col).over(inside), F.lit(0)))
-    joined = rows.join(sums, F.col("_bucket").eqNullSafe(F.col("_b")))
-    return joined.withColumn("off", (F.col("_base") + F.col("_inside")).cast("long")).drop("_bucket", "_b", "_base", "_inside")
+    order = [F.col(ord_col).asc_nulls_last(), F.col("_rank").asc_nulls_first(), *ties, F.col("_row")]
+    rows = records.withColumns({"_rank": F.when(F.col(ord_col).isNull(), digest), "_row": F.monotonically_increasing_id()})
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(F.col("_range").alias("_of")).agg(F.sum(n_col).alias("_s")).select("_of", F.coalesce(F.sum("_s").over(across), F.lit(0)).alias("_base"))
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum(n_col).over(inside), F.lit(0)))
+    joined = placed.join(F.broadcast(sums), F.col("_range") == F.col("_of"))  # a row for each range
+    return joined.withColumn("off", (F.col("_base") + F.col("_inside")).cast("long")).drop("_rank", "_row", "_range", "_of", "_base", "_inside")
 
 
 def contigs_of(records: DataFrame) -> DataFrame:

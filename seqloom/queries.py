@@ -11,10 +11,10 @@ from seqloom import bridge
 from seqloom.functions import bases, regions, text
 from seqloom.operators import matching, methylation, raster, sequence
 from seqloom.plans import layout
-from seqloom.plans.durable import materialise
+from seqloom.plans.durable import materialise, new_path
 from seqloom.plans.region import Region
 from seqloom.plans.scale import TileScale, scale_columns
-from seqloom.sources import fasta
+from seqloom.sources import fasta, fasta_index, track_index, track_source
 from seqloom.sources import track as tracks
 
 K, SIDE = 21, 400
@@ -202,6 +202,31 @@ def q_region_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("txt", "r.kind", "r.id", F.col("r.start").alias("lo"), F.col("r.end").alias("hi"), *shown)
 
 
+_PIECE = 4096
+_REGIONS = {"global": GLOBAL, "id": Region(LOCAL.id), "id_slice": LOCAL}
+
+
+@query(
+    f"WITH {_rec()}, one AS (SELECT string_agg(seq, '' ORDER BY ord) AS s FROM rec), own AS (SELECT seq AS s FROM rec WHERE id = '{LOCAL.id}'), "
+    f"r AS (SELECT 'global' AS region, substr(s, {GLOBAL.start + 1}, {GLOBAL.end - GLOBAL.start}) AS s FROM one UNION ALL SELECT 'id', s FROM own UNION ALL SELECT 'id_slice', substr(s, {LOCAL.start + 1}, {LOCAL.end - LOCAL.start}) FROM own) "
+    f"SELECT region, CAST(i * {_PIECE} AS BIGINT) AS pos, md5(substr(s, CAST(i * {_PIECE} + 1 AS BIGINT), {_PIECE})) AS digest FROM (SELECT region, s, unnest(range(CAST(ceil(length(s) / {_PIECE}.0) AS BIGINT))) AS i FROM r)"
+)
+def q_fasta_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of FASTA files by their offset index: only the regions' bytes are read."""
+    files, index, out = bridge.fasta_files(spark, sf_dir, _LINE), new_path(spark, "fasta-index"), None
+    fasta_index.write_index(spark, files, index)
+    for name, region in _REGIONS.items():
+        found = fasta_index.read_indexed(spark, files, index, region)
+        blocks = sequence.blocks_of(found.pieces, 0, _PIECE).select(F.lit(name).alias("region"), F.col("start").alias("pos"), F.md5("bases").alias("digest"))
+        out = blocks if out is None else out.unionByName(blocks)
+    return out
+
+
+@query(f"WITH {_rec()}, {_con()} SELECT CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS ord, id, CAST(n AS BIGINT) AS n, off, CASE WHEN n > 0 THEN CAST(least(n, {_LINE}) AS BIGINT) END AS line_bases, true AS even FROM con")
+def q_fasta_index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fasta_index.index_of(spark, bridge.fasta_files(spark, sf_dir, _LINE)).select("ord", "id", "n", "off", "line_bases", "even")
+
+
 # ---- bases and k-mers
 
 
@@ -354,6 +379,27 @@ def q_track_bedgraph_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "concat('doc', user_id, ' ', (event_id * 31) % 400, '   ', (event_id * 31) % 400 + 1, '\\t', value / 5)", "bedgraph")
 
 
+_SPAN = "chrom, start_pos, end_pos, pct FROM p WHERE start_pos BETWEEN 40 AND 299"
+
+
+@query(f"WITH p AS ({_PARSED}) SELECT {_SPAN} AND chrom IN ('doc3', 'doc7', 'doc11')")
+def q_track_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A track by its data source; chromosomes and bounds are pushed into the scan."""
+    track_source.register(spark)
+    rows = spark.read.format("bedmethyl").load(bridge.bed_files(spark, sf_dir))
+    kept = rows.where(F.col("chrom").isin("doc3", "doc7", "doc11") & (F.col("start") >= 40) & (F.col("start") < 300))
+    return kept.select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.round(F.col("value").cast("double"), 4).alias("pct"))
+
+
+@query(f"WITH p AS ({_PARSED}) SELECT {_SPAN} AND chrom = '{LOCAL.id}'")
+def q_track_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a chromosome by the track's block index: only blocks that may hold them are read."""
+    files, index = bridge.bed_files(spark, sf_dir), new_path(spark, "track-index")
+    track_index.write_index(spark, files, index, 1 << 14, "bed")
+    rows = track_index.read_region(spark, files, index, LOCAL.id, 40, 300, "bed")
+    return rows.select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.round(F.col("value").cast("double"), 4).alias("pct"))
+
+
 @query(
     "SELECT CASE event_id % 7 WHEN 0 THEN 'missing Chrom column' WHEN 1 THEN 'missing ChromStart column' WHEN 2 THEN 'invalid ChromStart value' WHEN 3 THEN 'invalid ChromEnd value' WHEN 4 THEN 'missing DataValue column' WHEN 5 THEN 'invalid DataValue value' ELSE 'good' END AS problem, count(*) AS n FROM events GROUP BY 1"
 )

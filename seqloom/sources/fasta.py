@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import InvalidInput, MalformedInput
@@ -16,6 +16,7 @@ from seqloom.functions.bases import first_offender
 from seqloom.operators.sequence import contigs_of, length_of, pieces_of, slice_pieces, with_offsets
 from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
+from seqloom.sources.byte_ranges import raw_lines, running
 
 EXTENSIONS = ("fasta", "fa", "fna")
 
@@ -36,21 +37,9 @@ class Sequence:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(split, line_no, line) of a text file; only line feeds part lines, one carriage return before them is dropped."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line")
-    )
-
-
-def running(lines: DataFrame, amount: Column, name: str, inclusive: bool) -> DataFrame:
-    """``lines`` with the running sum of ``amount`` in their order, each split summed in a task of its own."""
-    rows = lines.withColumn("_amount", amount.cast("long"))
-    inside = Window.partitionBy("split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    across = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(F.col("split").alias("_split")).agg(F.sum("_amount").alias("_sum")).select("_split", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_base"))
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0))).join(sums, F.col("split") == F.col("_split"))
-    return rows.withColumn(name, F.col("_base") + F.col("_inside")).drop("_amount", "_split", "_base", "_inside")
+    """(split, line_no, line) of a text file, or of a folder's files in order of their names; only line feeds part lines, one
+    carriage return before them is dropped."""
+    return raw_lines(spark, path).select("split", "line_no", F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def header_id(line: Column) -> Column:

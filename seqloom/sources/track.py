@@ -36,8 +36,9 @@ def register_format(extension: str, form: LineFormat) -> None:
     FORMATS[extension] = form
 
 
-_UNSIGNED = r"^\+?[0-9]+$"
-_FLOAT = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
+#: What numbers look like.
+UNSIGNED = r"^\+?[0-9]+$"
+FLOAT = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 
 
 def split_fields(line: Column) -> Column:
@@ -51,10 +52,10 @@ def _row(fields: Column, names: tuple[str, ...]) -> Column:
     last = len(names) - 1
 
     def number(i: int) -> Column:
-        return F.when(F.get(fields, F.lit(i)).rlike(_UNSIGNED), F.get(fields, F.lit(i)).try_cast("long"))
+        return F.when(F.get(fields, F.lit(i)).rlike(UNSIGNED), F.get(fields, F.lit(i)).try_cast("long"))
 
     text = F.get(fields, F.lit(last))
-    value = F.when(text.rlike(_FLOAT), F.regexp_replace(text, r"^\+", "").try_cast("float"))
+    value = F.when(text.rlike(FLOAT), F.regexp_replace(text, r"^\+", "").try_cast("float"))
 
     def told(p: Column) -> Column:
         parsed = {1: p["start"], 2: p["end"], last: p["value"]}
@@ -86,9 +87,9 @@ def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where("problem IS NULL").drop("problem")
 
 
-def read_track(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
-    """Rows of a track file; the first malformed line raises."""
-    parsed = parse_lines(read_lines(spark, path), check_extension(path, FORMATS), chrom)
+def read_track(spark: SparkSession, path: str, chrom: str | None = None, fmt: str | None = None) -> DataFrame:
+    """Rows of a track file (or of a folder's files, given their format); the first malformed line raises."""
+    parsed = parse_lines(read_lines(spark, path), fmt or check_extension(path, FORMATS), chrom)
     bad = parsed.where("problem IS NOT NULL").orderBy("line_no").limit(1).collect()
     if bad:
         raise MalformedInput(bad[0]["problem"])

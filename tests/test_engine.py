@@ -14,7 +14,7 @@ from seqloom.__main__ import main
 from seqloom.errors import ConfigError, InvalidInput, MalformedInput, MethylationError
 from seqloom.functions import bases, color, regions, text
 from seqloom.operators import matching, methylation, raster, sequence
-from seqloom.plans import font, layout
+from seqloom.plans import durable, font, layout
 from seqloom.plans.config import Config, load_json
 from seqloom.plans.durable import join_small, materialise, release, scratch, shared_dir
 from seqloom.plans.region import Region, parse_region
@@ -190,8 +190,7 @@ def test_hot_words_are_dealt_over_salts(spark):
     assert few == {(i, j) for i, j in want if x[i : i + 4] != "AAAA"}
 
 
-def test_offsets_of_rows_without_ord(spark, monkeypatch):
-    monkeypatch.setattr(sequence, "BUCKET", 4)
+def test_offsets_of_rows_without_ord(spark):
     rows = [(1, "a", "ACG"), (None, "b", "AC"), (2, "c", "ACGT"), (None, "d", "A"), (None, None, "GG"), (None, "b", "AC"), (2, "c", "T"), (9, "e", "")]
     got = sequence.contigs_of(spark.createDataFrame(rows, "ord long, id string, seq string")).orderBy("off", "n").collect()
     assert len(got) == len(rows)
@@ -202,11 +201,19 @@ def test_offsets_of_rows_without_ord(spark, monkeypatch):
     assert [r["ord"] for r in got if r["n"]][:3] == [1, 2, 2] and all(r["ord"] is None for r in got if r["off"] >= 8 and r["n"])
 
 
-def test_offsets_over_buckets(spark, monkeypatch):
-    monkeypatch.setattr(sequence, "BUCKET", 3)
-    rows = [(i * 2 - 7, i % 4) for i in range(30)]
-    got = sequence.with_offsets(spark.createDataFrame(rows, "ord long, n long")).orderBy("ord").collect()
-    assert [r["off"] for r in got] == [sum(n for _, n in rows[:i]) for i in range(30)]
+@pytest.mark.parametrize("kind", ["dense", "sparse", "one"])
+def test_offsets_over_ranges(spark, monkeypatch, kind):
+    """No task orders more than its range's rows, or a row for each range: also where ids are 64-bit hashes, or all equal."""
+    rng = random.Random(6)
+    ords = {"dense": range(3000), "sparse": sorted(rng.sample(range(-(1 << 63), 1 << 63), 3000)), "one": [7] * 3000}[kind]
+    rows = [(o, i % 4 if kind != "one" else 2) for i, o in enumerate(ords)]
+    kept = []
+    monkeypatch.setattr(sequence, "materialise", lambda df, tag: kept.append(durable.materialise(df, tag)) or kept[-1])
+    shuffled = rng.sample(rows, len(rows))
+    got = sequence.with_offsets(spark.createDataFrame(shuffled, "ord long, n long")).orderBy("ord", "off").collect()
+    assert [r["off"] for r in got] == [sum(n for _, n in rows[:i]) for i in range(len(rows))]
+    sizes = [r["count"] for r in kept[0].groupBy("_range").count().collect()]
+    assert 1 < len(sizes) <= 4 and max(sizes) < 1500
 
 
 def test_tile_scale_known_values():
