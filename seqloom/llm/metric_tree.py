@@ -39,7 +39,7 @@ from seqloom.plans.durable import materialise, scratch
 from seqloom.plans.ship import ship_package
 
 #: Entries of a page, children of an inner one at first, entries of a shard, queries of a block.
-PAGE, FANOUT, SHARD, BLOCK = 128, 16, 8192, 8192
+PAGE, FANOUT, SHARD, BLOCK = 512, 16, 8192, 8192
 MAX_PIVOTS = 1024
 #: Tasks that the copies of one vector are dealt over before they are one entry.
 SALTS = 32
@@ -208,7 +208,7 @@ class Index:
     largest: float
 
 
-def _shard(region: int, shard: int, table: pa.Table, largest: float) -> pa.Table:
+def _shard(region: int, shard: int, table: pa.Table, largest: float, page: int) -> pa.Table:
     """The pages of one shard's entries (v, ids, rows)."""
     table = table.sort_by([("first_row", "ascending")])  # the order in which rows come doesn't count
     vectors = matrix(table.column("v"))
@@ -216,7 +216,7 @@ def _shard(region: int, shard: int, table: pa.Table, largest: float) -> pa.Table
     starts, flat_ids, flat_rows = ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy(), rows.flatten().to_numpy()
     starts = starts - starts[0]
     out = []
-    for number, p in enumerate(load_pages(vectors, largest)):
+    for number, p in enumerate(load_pages(vectors, largest, page)):
         held = [b"", b"", b""]
         if p.leaf:
             n = starts[p.children + 1] - starts[p.children]
@@ -248,12 +248,11 @@ def tree_of(table: pa.Table, largest: float) -> Tree:
     return Tree(pages, largest, np.concatenate(starts), np.concatenate(ids), np.concatenate(rows))
 
 
-def build(rows: DataFrame, k: int, shard: int | None = None, max_pivots: int | None = None) -> Index | None:
+def build(rows: DataFrame, k: int, shard: int = SHARD, max_pivots: int = MAX_PIVOTS, page: int = PAGE) -> Index | None:
     """Index rows (row, id, v, norm) that are written; None if there are none.
 
     Pivots are the entries with the smallest hashes: a sample of at most ``max_pivots`` vectors; every row is indexed.
     """
-    shard, max_pivots = shard or SHARD, max_pivots or MAX_PIVOTS
     own = materialise(entries(rows, k), "mtree-entries")
     n, largest = own.agg(F.count("*"), F.max("norm")).first()
     if not n:
@@ -281,7 +280,7 @@ def build(rows: DataFrame, k: int, shard: int | None = None, max_pivots: int | N
     dealt = placed.join(F.broadcast(regions.select("region", "shards")), "region").withColumn("shard", F.pmod(F.xxhash64("first_row"), F.col("shards")).cast("int"))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        return _shard(key[0].as_py(), key[1].as_py(), table, largest)
+        return _shard(key[0].as_py(), key[1].as_py(), table, largest, page)
 
     pages = materialise(dealt.select("region", "shard", "v", "ids", "rows", "first_row").groupBy("region", "shard").applyInArrow(one, PAGES), "mtree-pages")
     radii = np.full(len(pivots), -1.0)
@@ -327,11 +326,11 @@ def route(queries: DataFrame, index: Index, again: bool) -> DataFrame:
     return queries.select("row", "id", "v", "least").mapInArrow(run, "row long, id long, v array<long>, least long, region int")
 
 
-def visit(routed: DataFrame, index: Index, k: int, block: int | None = None) -> DataFrame:
+def visit(routed: DataFrame, index: Index, k: int, block: int = BLOCK) -> DataFrame:
     """(qrow, query_id, vec_id, vrow, score): up to k rows for each query and shard of its region."""
     largest = index.largest
     routed = materialise(routed, "mtree-routed")
-    blocks = materialise(routed.groupBy("region").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks")), "mtree-blocks")
+    blocks = materialise(routed.groupBy("region").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "mtree-blocks")
     plan = F.broadcast(index.regions.select("region", "shards").join(blocks, "region"))  # a row for each pivot at most
 
     def every(n: Column) -> Column:
@@ -363,12 +362,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, shard: int | None = None, max_pivots: int | None = None, block: int | None = None) -> DataFrame:
+def top_k(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0, shard: int = SHARD, max_pivots: int = MAX_PIVOTS, block: int = BLOCK, page: int = PAGE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest products of each row whose id is divisible by ``every`` with all other rows."""
     session = table.sparkSession
     with scratch(session) as own:
         rows = materialise(quantised(table, id_col, vec_col, scale), "mtree-rows")
-        index = build(rows, k, shard, max_pivots)
+        index = build(rows, k, shard, max_pivots, page)
         if index is None:
             return session.createDataFrame([], "query_id long, rank int, vec_id long, score long")
         queries = rows.where(F.col("id") % every == 0)

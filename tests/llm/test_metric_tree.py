@@ -37,9 +37,8 @@ def cloud(n, dim, seed, centres=6):
     return [[float(x) for x in mid[rng.integers(centres)] * rng.uniform(0.3, 2) + rng.normal(size=dim) * 0.2] for _ in range(n)]
 
 
-@pytest.mark.parametrize(("shard", "pivots", "block"), [(None, None, None), (40, 5, 3), (7, 1, 2)])
-def test_top_k_matches_brute_force(spark, monkeypatch, shard, pivots, block):
-    monkeypatch.setattr(metric_tree, "PAGE", 8)
+@pytest.mark.parametrize("sizes", [{}, {"shard": 40, "max_pivots": 5, "block": 3, "page": 8}, {"shard": 7, "max_pivots": 1, "block": 2, "page": 2}])
+def test_top_k_matches_brute_force(spark, sizes):
     rng = random.Random(2)
     vectors = [(i, v) for i, v in enumerate(cloud(260, 5, 1))]
     same = vectors[0][1]
@@ -47,7 +46,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, shard, pivots, block):
     vectors += [(i, v) for i, v in vectors[:25]]  # repeated rows
     vectors += [(400, None), (420, [1.0, None, 2.0]), (440, [float("nan")]), (460, [float("inf"), 1.0]), (480, []), (500, [0.0] * 5), (520, [1.5]), (None, [2.0] * 9), (540, [3.0] * 9)]
     rng.shuffle(vectors)
-    got = metric_tree.top_k(table_of(spark, vectors).repartition(3), shard=shard, max_pivots=pivots, block=block)
+    got = metric_tree.top_k(table_of(spark, vectors).repartition(3), **sizes)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute_force(vectors)
 
