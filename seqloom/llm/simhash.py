@@ -13,11 +13,13 @@ differ in about 10.  With ``similarity`` given, candidates come from the same ba
 for each text, in which shingles vote with heavy-tailed weights u**-TILT, u being uniform and made from shingle and
 table.  A few heavy shingles decide such a fingerprint: where two texts share them, their fingerprints differ in no more
 than 2 bits, so each table finds a pair with a probability that grows with its similarity.  Texts that share a
-fingerprint are linked to LEADERS of them, and so are fingerprints that meet.  Every candidate is verified: by an
+fingerprint are a bucket.  All pairs of a bucket of at most CROWD texts, and of two such that meet, are candidates.  In
+larger buckets, as a passage that many texts share makes them, each text is a candidate with LEADERS others, and all texts are
+also dealt anew, up to DEPTH times, by their next heaviest shingle, until it isn't of the passage and buckets are small;
+groups of copies that stay together through all of that are close to their leaders.  Every candidate is verified: by an
 unweighted SimHash of SKETCH_BITS bits, whose differing share gives the angle between the sets of shingles and, with their
-sizes, the Jaccard similarity (standard error 0.013 at 0.8), and exactly if both texts have at most FEW shingles.  An
-estimate counts down to one standard error below ``similarity``, so that few pairs above it are lost; pairs just below it
-may be joined.
+sizes, the Jaccard similarity (standard error 0.013 at 0.8), and exactly if both texts have at most FEW shingles, or if
+the estimate is within MARGIN standard errors of ``similarity``.
 
 Defined results for odd input: null and empty texts have fingerprint 0 and are linked like any other (by similarity: to
 each other only); texts with fewer words than a shingle are one shingle; equal and null ids stay separate rows
@@ -29,11 +31,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -55,9 +58,15 @@ TABLES = 4
 TILT = 2.5
 #: So many of the heaviest shingles vote in a table; the others weigh less than a thousandth of the first.
 HEAVIEST = 64
-LEADERS = 8
+#: Texts of a bucket whose pairs are all candidates; others of a larger one that a text is a candidate with, at first and
+#: when dealt anew; how often texts are dealt anew.
+CROWD, LEADERS, DEPTH = 16, (8, 4), 8
 SKETCH_BITS = 4096
 FEW = 32
+#: Standard errors around ``similarity`` within which the sets of shingles are compared themselves.
+MARGIN = 3
+#: Texts that are fetched for that by a broadcast of their ids.
+MAX_BROADCAST_TEXTS = 200_000
 _LANES = SKETCH_BITS // 64
 _ODD = np.random.default_rng(42).integers(1, 1 << 62, _LANES + TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,11 +110,12 @@ def _mixed(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return v ^ v >> np.uint64(29)
 
 
-def sketch(text: str | None, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sketch as _LANES numbers, fingerprint of each table, distinct shingles) of a text; without words no table."""
+def sketch(text: str | None, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sketch as _LANES numbers, fingerprint of each table, distinct shingles, each table's heaviest ones behind the first)
+    of a text; without words no table."""
     own = np.unique(shingle_hashes(text, shingle))
     if not len(own):
-        return np.zeros(_LANES, np.int64), np.zeros(0, np.int64), own
+        return np.zeros(_LANES, np.int64), np.zeros(0, np.int64), own, np.zeros(0, np.int64)
     counts = sum(_bit_counts(_mixed(own[at : at + 4096], _ODD[:_LANES]).T) for at in range(0, len(own), 4096))
     bits = np.packbits(counts * 2 > len(own), bitorder="little").view("<i8")
     u = _mixed(own, _ODD[_LANES:])
@@ -114,7 +124,8 @@ def sketch(text: str | None, shingle: int = WORDS) -> tuple[np.ndarray, np.ndarr
     weights = (u / u.min(axis=1, keepdims=True)) ** -TILT
     votes = np.unpackbits(own[best].astype("<u8").view(np.uint8).reshape(TABLES, -1, 8), axis=2, bitorder="little").astype(np.float64) * 2 - 1
     keys = np.packbits((votes * weights[:, :, None]).sum(axis=1) > 0, axis=1, bitorder="little").view("<i8")[:, 0]
-    return bits, keys, own
+    order = np.take_along_axis(best, np.argsort(u, axis=1, kind="stable")[:, 1 : DEPTH + 1], 1)
+    return bits, keys, own, own[order].view(np.int64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -129,18 +140,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS) -> DataFrame:
-    """(id, fp, size, sketch, keys, few): fp is the first 64 bits of the sketch, size the number of distinct shingles, few
-    their hashes if there are at most FEW."""
+    """(id, fp, size, sketch, keys, heavy, few): fp is the first 64 bits of the sketch, size the number of distinct shingles,
+    heavy the tables' heaviest ones, table by table, few all their hashes if there are at most FEW."""
     kind = docs.schema[id_col].dataType.simpleString()
     longs = pa.list_(pa.int64())
 
     def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
         found = [sketch(t, shingle) for t in piece.column(1).to_pylist()]
-        few = [h.view(np.int64) if len(h) <= FEW else None for _, _, h in found]
-        columns = [pa.array([int(b[0]) for b, _, _ in found], pa.int64()), pa.array([len(h) for _, _, h in found], pa.int64()), pa.array([b for b, _, _ in found], longs), pa.array([k for _, k, _ in found], longs), pa.array(few, longs)]
-        return pa.RecordBatch.from_arrays([piece.column(0), *columns], names=[id_col, "fp", "size", "sketch", "keys", "few"])
+        bits, keys, own, heavy = zip(*found, strict=True)
+        few = [h.view(np.int64) if len(h) <= FEW else None for h in own]
+        numbers = [pa.array([int(b[0]) for b in bits], pa.int64()), pa.array(list(map(len, own)), pa.int64())]
+        return pa.RecordBatch.from_arrays([piece.column(0), *numbers, *(pa.array(x, longs) for x in (bits, keys, heavy, few))], names=[id_col, "fp", "size", "sketch", "keys", "heavy", "few"])
 
-    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, fp long, size long, sketch array<long>, keys array<long>, few array<long>")
+    return map_texts(docs, [id_col, text_col], apply, f"`{id_col}` {kind}, fp long, size long, sketch array<long>, keys array<long>, heavy array<long>, few array<long>")
 
 
 def _ball(fp: Column, half: int) -> Column:
@@ -192,24 +204,70 @@ def _with_end(pairs: DataFrame, classes: DataFrame, end: str) -> DataFrame:
     return _join_hot(pairs, table, hot, [end])
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: fingerprints of ``classes`` (fp, keys) that share or nearly share a table's fingerprint."""
-    keyed = classes.select("fp", F.posexplode("keys").alias("t", "key")).select("fp", F.col("t").cast("byte").alias("t"), "key")
-    leaders = [F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    buckets = materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n"), *leaders), "simhash-buckets")
-    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = buckets.where("n > 1")
-    stars = _join_hot(keyed, shared.drop("n"), shared.where(F.col("n") >= _hot(total)).select("t", "key"), ["t", "key"])
-    star = stars.select(F.explode(F.array(*[f"l{k}" for k in range(LEADERS)])).alias("a"), F.col("fp").alias("b"))
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """(t, key, members): up to CROWD + 1 of the fingerprints of each key, in order of a hash, so any first ones are a sample.
+
+    No more than those of a key leave a task, however many there are."""
+    order = Window.partitionBy("t", "key").orderBy(F.xxhash64("fp"), "fp")
+    few = keyed.select("t", "key", "fp").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CROWD + 1)
+    members = F.transform(F.sort_array(F.collect_list(F.struct("_n", "fp"))), lambda m: m["fp"])
+    return materialise(few.groupBy("t", "key").agg(members.alias("members")), "simhash-buckets")
+
+
+def _pairs(one: str, other: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """(a, b): all pairs of one array, or of one and another."""
+
+    def made(rows: DataFrame) -> DataFrame:
+        if other is None:
+            return rows.select(F.explode(one).alias("a"), F.col(one).alias("_m")).select("a", F.explode(F.filter("_m", lambda m: m > F.col("a"))).alias("b"))
+        return rows.select(F.explode(one).alias("a"), F.col(other).alias("_m")).select("a", F.explode("_m").alias("b"))
+
+    return made
+
+
+def _near(buckets: DataFrame) -> DataFrame:
+    """(t, lo, hi): keys of buckets within 2 bits, by ball hashing."""
     spread = buckets.select("t", "key", F.explode(_ball(F.col("key"), 1)).alias("variant")).repartition("t", "variant")
     met = spread.groupBy("t", "variant").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("n > 1")
     met = materialise(met, "simhash-met")
+    # a meeting of more than two: each with the smallest, and each with each by its own ball around the variant
     crowded = met.where("n > 2").select("t", "lo", F.explode(_ball(F.col("variant"), 1)).alias("hi"))
-    near = met.select("t", "lo", "hi").unionByName(crowded.join(buckets.select("t", F.col("key").alias("hi")).hint("merge"), ["t", "hi"], "left_semi")).distinct()
-    for end, name in (("lo", "a"), ("hi", "b")):  # a fingerprint has at most 64 * 65 / 2 others within 2 bits
-        near = near.join(buckets.select("t", F.col("key").alias(end), F.col("l0").alias(name)).hint("merge"), ["t", end])
-    every = star.unionByName(near.select("a", "b")).where("a <> b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = crowded.join(buckets.select("t", F.col("key").alias("hi")).hint("merge"), ["t", "hi"], "left_semi")
+    return materialise(met.select("t", "lo", "hi").unionByName(crowded.select("t", "lo", "hi")).where("lo <> hi").distinct(), "simhash-near")
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: fingerprints of ``classes`` (fp, keys, heavy) that share or nearly share a table's fingerprint, or a heavy
+    shingle where too many do."""
+    ranks = F.col("tables") * F.col("t")
+    keyed = classes.select("fp", "heavy", F.posexplode("keys").alias("t", "key"), F.floor(F.size("heavy") / F.size("keys")).cast("int").alias("tables"))
+    keyed = keyed.select("fp", F.col("t").cast("byte").alias("t"), "key", F.slice("heavy", ranks + 1, F.col("tables")).alias("heavy"))
+    buckets = _buckets(keyed)
+    small = F.size("members") <= CROWD
+    every = [_pairs("members")(buckets.where(small))]
+    near = _near(buckets)
+    for end in ("lo", "hi"):  # a key has at most 64 * 65 / 2 others within 2 bits
+        near = near.join(buckets.select("t", F.col("key").alias(end), F.col("members").alias(f"m_{end}")).hint("merge"), ["t", end])
+    sizes = {end: F.size(f"m_{end}") > CROWD for end in ("lo", "hi")}
+    near = materialise(near.select("t", *[c for end in sizes for c in (end, sizes[end].alias(f"crowd_{end}"), F.when(sizes[end], F.slice(f"m_{end}", 1, 1)).otherwise(F.col(f"m_{end}")).alias(f"m_{end}"))]), "simhash-near")
+    every.append(_pairs("m_lo", "m_hi")(near))
+    # small buckets beside a crowded one are dealt anew with it
+    beside = near.where("crowd_lo AND NOT crowd_hi").select("t", F.col("hi").alias("key")).unionByName(near.where("crowd_hi AND NOT crowd_lo").select("t", F.col("lo").alias("key"))).distinct()
+    beside = beside.select("t", "key", F.array().cast("array<bigint>").alias("leaders"))
+    for level in range(DEPTH + 1):
+        crowded = buckets.where(~small).select("t", "key", F.slice("members", 1, LEADERS[min(level, 1)]).alias("leaders"))
+        again = materialise(crowded if level else crowded.unionByName(beside), "simhash-crowded")
+        if again.isEmpty():
+            break
+        rows = join_small(keyed, again, ["t", "key"], F.col("fp"), "inner")
+        rows = materialise(rows.select("fp", "t", "heavy", "leaders"), "simhash-again")
+        every.append(rows.select(F.col("fp").alias("a"), F.explode("leaders").alias("b")))
+        if level < DEPTH:
+            keyed = rows.select("fp", "t", F.get("heavy", F.lit(level)).alias("key"), "heavy").where("key IS NOT NULL")
+            buckets = _buckets(keyed)
+            every.append(_pairs("members")(buckets.where(small)))
+    found = reduce(DataFrame.unionByName, every).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similarity_of(pairs: DataFrame) -> Column:
@@ -222,7 +280,28 @@ def similarity_of(pairs: DataFrame) -> Column:
     return common / (F.col("size_a") + F.col("size_b") - common)
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+def _shared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(a, b, similarity) of pairs of fingerprints, by the sets of shingles of one text of each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = materialise(classes.join(ends, "fp", "left_semi").select(F.col("first_id").alias(id_col)).distinct(), "simhash-wanted")
+    texts = join_small(docs.select(id_col, text_col), wanted, [id_col], F.col(text_col), "left_semi", max_rows=MAX_BROADCAST_TEXTS)
+    longs = pa.list_(pa.int64())
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        found = [sketch(t, shingle) for t in piece.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([int(x[0][0]) for x in found], pa.int64()), pa.array([x[2].view(np.int64) for x in found], longs)], names=["fp", "own"])
+
+    sets = map_texts(texts, [id_col, text_col], apply, "fp long, own array<long>")
+    sets = materialise(sets.join(ends.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "simhash-sets")
+    total = pairs.count()
+    hot = {end: materialise(pairs.groupBy(end).count().where(F.col("count") >= _hot(total)).select(end), "simhash-hot") for end in ("a", "b")}
+    for end, few in hot.items():
+        pairs = _join_hot(pairs, sets.select(F.col("fp").alias(end), F.col("own").alias(f"own_{end}")), few, [end])
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    return pairs.select("a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
+
+
+def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(a, b): candidates whose similarity is verified."""
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
@@ -232,8 +311,15 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     pairs = candidate_links(classes.where("size > 0"))
     pairs = materialise(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most), "simhash-pairs")
     both = _with_end(_with_end(pairs, classes, "a"), classes, "b")
-    least = F.when(F.col("few_a").isNotNull() & F.col("few_b").isNotNull(), similarity).otherwise(similarity - error)
-    return both.where(similarity_of(both) >= least).select("a", "b")
+    exact = F.col("few_a").isNotNull() & F.col("few_b").isNotNull()
+    least = F.when(exact, similarity).otherwise(similarity - MARGIN * error)
+    told = materialise(both.select("a", "b", exact.alias("exact"), similarity_of(both).alias("similarity"), least.alias("least")).where("similarity >= least"), "simhash-told")
+    sure = F.col("exact") | (F.col("similarity") > similarity + MARGIN * error)
+    found, left = told.where(sure).select("a", "b"), told.where(~sure).select("a", "b")
+    if left.isEmpty():
+        return found
+    open_ = _shared(left, docs, classes, id_col, text_col, shingle)
+    return found.unionByName(open_.where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
@@ -248,9 +334,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, shingle:
         found = links(classes, radius)
     else:
         prints = materialise(sketches(docs, id_col, text_col, shingle), "simhash-fp")
-        wide = prints.groupBy("fp").agg(*grouped, F.min(F.struct("size", "sketch", "keys", "few")).alias("s"))
+        wide = prints.groupBy("fp").agg(*grouped, F.min(F.struct("size", "sketch", "keys", "heavy", "few")).alias("s"))
         classes = materialise(wide.select("fp", "first_id", "n", "s.*"), "simhash-classes")
-        found = similar_links(classes, similarity)
+        found = similar_links(classes, similarity, docs, id_col, text_col, shingle)
         classes = classes.select("fp", "first_id", "n")
     roots = materialise(connected_components(found, "a", "b"), "simhash-roots")
     # fingerprints with links, the roots among them; a component may hold many, so its root is never a plain join key
