@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seqloom.errors import InvalidInput
 from seqloom.functions.bases import kmer_text
-from seqloom.operators import matching, methylation, raster
+from seqloom.operators import matching, methylation, raster, runs
 from seqloom.operators.sequence import reverse_complement_pieces, words
 from seqloom.plans import layout
 from seqloom.plans.config import Config
@@ -56,9 +56,9 @@ class Dotplot:
         return xs, xs if self.same else words(self.y.pieces, self.word_length, upper)
 
     def axes(self) -> tuple[layout.AxisInfo, layout.AxisInfo]:
-        """What the axes show; bases are counted from the start of the region."""
+        """What the axes show; ticks count the bases of what is shown from 0, on whichever strand."""
         every = zip((self.x, self.y), self.turned, strict=True)
-        x, y = (layout.AxisInfo(layout.axis_label(a.label.pretty(), turned), a.label.start or 0, a.length) for a, turned in every)
+        x, y = (layout.AxisInfo(layout.axis_label(a.label.pretty(), turned), 0, a.length) for a, turned in every)
         return x, y
 
     def matches(self, max_copies: int | None = None) -> DataFrame:
@@ -68,6 +68,10 @@ class Dotplot:
         packed = dict(xs.dtypes)["kmer"] == "bigint"
         return pairs.withColumn("kmer", kmer_text(F.col("kmer"), self.word_length)) if packed else pairs
 
+    def maximal_matches(self, max_copies: int | None = None) -> DataFrame:
+        """(x, y, length) of the maximal exact matches of at least the words' length; ``max_copies`` as in ``matches``."""
+        return runs.maximal_matches(matching.match_pairs(*self._kmers(), max_copies), self.word_length)
+
     def hits(self) -> DataFrame:
         """(tx, ty, hits)."""
         return matching.tile_hits(*self._kmers(), self.scale)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom import bridge
 from seqloom.functions import bases, regions, text
-from seqloom.operators import matching, methylation, raster, sequence
+from seqloom.operators import kmer_index, matching, methylation, raster, runs, sequence
 from seqloom.plans import layout
 from seqloom.plans.durable import materialise, new_path
 from seqloom.plans.region import Region
@@ -337,20 +337,44 @@ def q_dotplot_black(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.black_tiles(own, own, _self_scale(contigs))
 
 
-SIZES = [(30_000, 30_000, 4000), (50, 50, 4000), (399, 10, 400), (400, 400, 400), (401, 7, 400), (7, 401, 400), (1_000_000_007, 12_345, 12_500), (1, 1, 350)]
+_SIDES = (50, 400, 4000)
 
 
 @query(
-    "WITH v(w, h, side) AS (VALUES "
-    + ", ".join(map(str, SIZES))
-    + """), o AS (SELECT *, CASE WHEN greatest(w, h) < side THEN w WHEN w >= h THEN side ELSE ceil(CAST(w AS DOUBLE) * side / h) END AS ow, CASE WHEN greatest(w, h) < side THEN h WHEN w >= h THEN ceil(CAST(h AS DOUBLE) * side / w) ELSE side END AS oh FROM v),
+    """WITH v AS (SELECT doc_id, CAST(greatest(1, length(d.text)) AS BIGINT) AS w, CAST(greatest(1, length(b.text)) AS BIGINT) AS h, unnest([50, 400, 4000]) AS side FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE d.text IS NOT NULL AND b.text IS NOT NULL),
+o AS (SELECT *, CASE WHEN greatest(w, h) < side THEN w WHEN w >= h THEN side ELSE ceil(CAST(w AS DOUBLE) * side / h) END AS ow, CASE WHEN greatest(w, h) < side THEN h WHEN w >= h THEN ceil(CAST(h AS DOUBLE) * side / w) ELSE side END AS oh FROM v),
 t AS (SELECT *, CAST(ceil(CAST(w AS DOUBLE) / ow) AS BIGINT) AS tile_w, CAST(ceil(CAST(h AS DOUBLE) / oh) AS BIGINT) AS tile_h FROM o)
-SELECT CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(side AS BIGINT) AS side, tile_w, tile_h, CAST(greatest(1, ceil(CAST(w AS DOUBLE) / tile_w)) AS BIGINT) AS out_w, CAST(greatest(1, ceil(CAST(h AS DOUBLE) / tile_h)) AS BIGINT) AS out_h FROM t"""
+SELECT doc_id, w, h, CAST(side AS BIGINT) AS side, tile_w, tile_h, CAST(greatest(1, ceil(CAST(w AS DOUBLE) / tile_w)) AS BIGINT) AS out_w, CAST(greatest(1, ceil(CAST(h AS DOUBLE) / tile_h)) AS BIGINT) AS out_h FROM t"""
 )
 def q_tile_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = spark.createDataFrame(SIZES, "w long, h long, side long")
+    """Tiles of plots of each document against a benchmark item, by the lengths of their texts, at three sizes."""
+    size = F.greatest(F.lit(1), F.length("text")).cast("long")
+    docs = bridge.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", size.alias("w"), (F.col("doc_id") % 40).alias("item_id"))
+    items = bridge.table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", size.alias("h"))
+    sides = F.explode(F.array(*[F.lit(s).cast("long") for s in _SIDES])).alias("side")
+    sizes = docs.join(items, "item_id").select("doc_id", "w", "h", sides)
     made = scale_columns(F.col("side"), F.col("w"), F.col("h"))
-    return sizes.select("w", "h", "side", *[c.cast("long").alias(n) for n, c in made.items()])
+    return sizes.select("doc_id", "w", "h", "side", *[c.cast("long").alias(n) for n, c in made.items()])
+
+
+_RUNS = (
+    "d AS (SELECT x - y AS d, x FROM pairs), n AS (SELECT d, x, x - row_number() OVER (PARTITION BY d ORDER BY x) AS run FROM d), m AS (SELECT d, min(x) AS lo, max(x) AS hi FROM n GROUP BY d, run) "
+    f"SELECT lo AS x, CAST(lo - d AS BIGINT) AS y, CAST(hi - lo + {K} AS BIGINT) AS length FROM m"
+)
+
+
+@query(f"WITH {_XY.format(x=_km(K))}, {_km(K, 'con_y', 'km_y')}, pairs AS (SELECT a.pos AS x, b.pos AS y FROM km a JOIN km_y b ON a.kmer = b.kmer), {_RUNS}")
+def q_maximal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal exact matches of documents and benchmark items."""
+    return runs.maximal_matches(matching.match_pairs(*_cross(spark, sf_dir, K)), K)
+
+
+@query(f"WITH {_XY.format(x=_km(K))}, {_km(K, 'con_y', 'km_y')} SELECT a.pos AS x, b.pos AS y, a.kmer FROM km a JOIN km_y b ON a.kmer = b.kmer")
+def q_match_pairs_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items probe a stored, bucketed index of the documents' words."""
+    xs, ys = _cross(spark, sf_dir, K)
+    index = kmer_index.build(xs, new_path(spark, "kmer-index"), 16)
+    return kmer_index.probe(index, ys).withColumn("kmer", bases.kmer_text(F.col("kmer"), K))
 
 
 # ---- tracks

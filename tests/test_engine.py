@@ -2,6 +2,7 @@ import itertools
 import json
 import random
 import struct
+import threading
 import zlib
 
 import pytest
@@ -13,7 +14,7 @@ from seqloom import api
 from seqloom.__main__ import main
 from seqloom.errors import ConfigError, InvalidInput, MalformedInput, MethylationError
 from seqloom.functions import bases, color, regions, text
-from seqloom.operators import matching, methylation, raster, sequence
+from seqloom.operators import kmer_index, matching, methylation, raster, runs, sequence
 from seqloom.plans import durable, font, layout
 from seqloom.plans.config import Config, load_json
 from seqloom.plans.durable import join_small, materialise, release, scratch, shared_dir
@@ -190,6 +191,71 @@ def test_hot_words_are_dealt_over_salts(spark):
     assert few == {(i, j) for i, j in want if x[i : i + 4] != "AAAA"}
 
 
+@pytest.mark.parametrize("band", [4096, 4, 1])
+def test_maximal_matches_are_runs_of_words(spark, band):
+    rng = random.Random(9)
+    x, y = "".join(rng.choices("ACG", k=90)) + "ACGT" * 12, "".join(rng.choices("ACG", k=60)) + "CGTA" * 10
+    y += x[10:40]
+    pairs = matching.match_pairs(sequence.kmers(pieces(spark, x), 4), sequence.kmers(pieces(spark, y), 4))
+    made = runs.maximal_matches(pairs, 4, band)
+    want = set()
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n = 0
+            while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                n += 1
+            if n >= 4 and not (i and j and x[i - 1] == y[j - 1]):
+                want.add((i, j, n))
+    found = [tuple(r) for r in made.collect()]
+    assert len(found) == len(want) and set(found) == want
+    words = [tuple(r) for r in runs.words_of_matches(made, 4).collect()]
+    assert sorted(words) == sorted((r["x"], r["y"]) for r in pairs.collect())
+    assert runs.maximal_matches(pairs.where("false"), 4).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_indexed_words_are_not_shuffled(spark, tmp_path, hot):
+    rng = random.Random(10)
+    x, y = "".join(rng.choices("ACGT", k=3000)) + "A" * 40, "".join(rng.choices("ACGT", k=900)) + "A" * 20
+    xs, ys = sequence.words(pieces(spark, x), 6), sequence.words(pieces(spark, y), 6)
+    want = sorted(map(tuple, matching.match_pairs(xs, ys).collect()))
+    index = kmer_index.build(xs, str(tmp_path / "index"), 4, hot)
+    again = kmer_index.open_index(spark, index.path, index.kind, index.buckets)
+    assert spark.read.parquet(f"{index.path}/hot").count() == (0 if hot > 5 else sum(1 for i in range(len(x) - 5) if sum(x[i : i + 6] == x[j : j + 6] for j in range(len(x) - 5)) > 5))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for own in (index, again):
+            found = kmer_index.probe(own, ys)
+            assert sorted(map(tuple, found.collect())) == want
+            plan = found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[1] if hot > 5 else ""
+            assert plan.count("Exchange hashpartitioning") <= 2 and "Bucketed: true" in plan or hot == 5
+            kmer_index.forget(spark, own)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.read.parquet(f"{index.path}/words").count() > 0
+
+
+def test_scopes_of_two_threads(spark):
+    """A table that one thread makes isn't deleted with another's block."""
+    made, opened, done = [], threading.Event(), threading.Event()
+
+    def other():
+        opened.wait(60)
+        made.append(materialise(spark.range(5).toDF("i"), "other"))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch(spark):
+        own = materialise(spark.range(3).toDF("i"), "own")
+        opened.set()
+        assert done.wait(60) and own.count() == 3
+    thread.join()
+    assert made[0].count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(durable._PATHS[own])
+
+
 def test_offsets_of_rows_without_ord(spark):
     rows = [(1, "a", "ACG"), (None, "b", "AC"), (2, "c", "ACGT"), (None, "d", "A"), (None, None, "GG"), (None, "b", "AC"), (2, "c", "T"), (9, "e", "")]
     got = sequence.contigs_of(spark.createDataFrame(rows, "ord long, id string, seq string")).orderBy("off", "n").collect()
@@ -471,7 +537,7 @@ def test_pairwise_strands_and_sites(spark, tmp_path):
     (tmp_path / "x.fa").write_text(f">c\n{s}\n")
     (tmp_path / "y.fa").write_text(f">d\n{turned}\n")
     seen = api.load(spark, Config(sequence=str(tmp_path / "x.fa"), region="c:2-12", fst_rev=True, word_length=3)).axes()
-    assert (seen[0].label, seen[1].label) == ("c:2-12 (rev. comp.)", "c:2-12") and [(a.start, a.length) for a in seen] == [(2, 10)] * 2
+    assert (seen[0].label, seen[1].label) == ("c:2-12 (rev. comp.)", "c:2-12") and [(a.start, a.length) for a in seen] == [(0, 10)] * 2
     plot = api.load(spark, Config(fst_sequence=str(tmp_path / "x.fa"), snd_sequence=str(tmp_path / "y.fa"), snd_rev=True, word_length=10))
     assert {(r["x"], r["y"]) for r in plot.matches().collect()} == {(i, i) for i in range(len(s) - 9)}
     bed = bed_file(tmp_path, [("c", 1, 60), ("c", 0, 60)])
