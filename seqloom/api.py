@@ -166,9 +166,9 @@ def render(spark: SparkSession, config: Config) -> str:
     threshold = c.methylation_threshold if plot.x_sites is not None else None
     titles = layout.title_lines(*names, c.word_length, threshold, side if enlarged else None)
     page = layout.arrange(side, width, height, len(titles))
-    rows = png.canvas_rows(png.plot_rows(pixels, width, height), page, layout.black_boxes(page, titles, *plot.axes(), threshold))
+    bands = png.packed_bands(pixels, page, layout.black_boxes(page, titles, *plot.axes(), threshold))
     path = png.unique_path(c.output_dir, f"{plot.x.label.file_label()}__{plot.y.label.file_label()}")
-    png.write_png(rows, *page.canvas, path, {"Title": titles[0], "Comment": "\n".join(titles[1:])})
+    png.write_png(bands, *page.canvas, path, {"Title": titles[0], "Comment": "\n".join(titles[1:])})
     png.write_sidecar(path, annotations(plot, page, titles))
     for gone in dict.fromkeys(n for n in plot.removed if n):
         print(f"pruned {gone:,} sites that are not on a cytosine", file=sys.stderr)

@@ -1,48 +1,88 @@
-"""Sparse rasters: pixels (x, y, r, g, b), absent ones being white."""
+"""Sparse rasters: pixels (x, y, r, g, b), absent ones being white.
+
+Dots grow within tiles of TILE x TILE pixels: a pixel goes to its own tile, and to those to the left and above only if it
+lies so near their border that it reaches them, and each tile is painted in one pass over arrays.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.ship import ship_package
+
 BLACK = (0, 0, 0)
+TILE = 256
+
+
+def _tiles(pixels: DataFrame, radius: int, tile: int, paint: Callable[[int, int, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Apply ``paint`` (left, top, pixels) to the pixels that reach each tile; it gives those of the tile."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        return paint(key[0].as_py() * tile, key[1].as_py() * tile, table)
 
+    def reached(at: str) -> Column:
+        first = F.greatest(F.floor((F.col(at) - radius) / tile), F.lit(0))
+        return F.explode(F.sequence(first, F.floor(F.col(at) / tile)))
 
-def _offsets(radius: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(radius))
+    ship_package(pixels.sparkSession)
+    wide = pixels.select("*", reached("x").alias("_tx")).select("*", reached("y").alias("_ty"))
+    return wide.groupBy("_tx", "_ty").applyInArrow(one, schema)
 
 
-def _spread(points: DataFrame, radius: int, *keep: Column) -> DataFrame:
-    """Each point at (x - dx, y - dy) for all offsets up to the radius, inside the raster."""
-    wide = points.select("*", F.explode(_offsets(radius)).alias("_dx")).select("*", F.explode(_offsets(radius)).alias("_dy"))
-    return wide.select((F.col("x") - F.col("_dx")).alias("px"), (F.col("y") - F.col("_dy")).alias("py"), *keep).where("px >= 0 AND py >= 0")
+def _grid(table: pa.Table, left: int, top: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, which are there) of a tile with its border to the right and below."""
+    x, y = (table.column(c).to_numpy() - at for c, at in (("x", left), ("y", top)))
+    there = np.zeros((size, size), bool)
+    there[y, x] = True
+    return y, x, there
 
 
-def dilate_black(points: DataFrame, dot_size: int) -> DataFrame:
+def _placed(there: np.ndarray, left: int, top: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    y, x = np.nonzero(there)
+    return y, x, [pa.array(x + left, pa.int64()), pa.array(y + top, pa.int64())]
+
+
+def dilate_black(points: DataFrame, dot_size: int, tile: int = TILE) -> DataFrame:
     """(x, y): every dot also covers the dot_size columns left of it and rows above; sizes up to 1 add nothing."""
     if dot_size <= 1:
         return points.select("x", "y")
-    return _spread(points, dot_size).select(F.col("px").alias("x"), F.col("py").alias("y")).distinct()
+    tile = max(tile, dot_size)
+
+    def paint(left: int, top: int, table: pa.Table) -> pa.Table:
+        _, _, there = _grid(table, left, top, tile + dot_size)
+        wide = np.logical_or.reduce([there[:, d : d + tile] for d in range(dot_size + 1)])
+        grown = np.logical_or.reduce([wide[d : d + tile] for d in range(dot_size + 1)])
+        return pa.Table.from_arrays(_placed(grown, left, top)[2], names=["x", "y"])
 
+    return _tiles(points.select("x", "y"), dot_size, tile, paint, "x long, y long")
 
-def dilate_colour(pixels: DataFrame, dot_size: int) -> DataFrame:
-    """Coloured dots grow up and to the left; a pixel reached by several averages them in raster order.
 
-    At most (dot_size + 1)**2 dots reach a pixel, which bounds the lists that are folded.
-    """
+def dilate_colour(pixels: DataFrame, dot_size: int, tile: int = TILE) -> DataFrame:
+    """Coloured dots grow up and to the left; a pixel reached by several averages them in raster order, rounding down."""
     if dot_size <= 1:
         return pixels
-    wide = _spread(pixels, dot_size, F.struct("y", "x", "r", "g", "b").alias("dot"))
-    dots = wide.groupBy("px", "py").agg(F.array_sort(F.collect_list("dot")).alias("dots"))
-
-    def mean(c: str):
-        return lambda acc, d: F.shiftright(acc + d[c], 1)
-
-    def fold(c: str) -> Column:
-        rest = F.slice("dots", 2, F.greatest(F.size("dots") - 1, F.lit(0)))
-        return F.aggregate(rest, F.element_at("dots", 1)[c], mean(c)).alias(c)
-
-    return dots.select(F.col("px").alias("x"), F.col("py").alias("y"), fold("r"), fold("g"), fold("b"))
+    tile = max(tile, dot_size)
+
+    def paint(left: int, top: int, table: pa.Table) -> pa.Table:
+        y, x, there = _grid(table, left, top, tile + dot_size)
+        colours = np.zeros((*there.shape, 3), np.int32)
+        colours[y, x] = np.stack([table.column(c).to_numpy() for c in "rgb"], axis=1)
+        mixed, known = np.zeros((tile, tile, 3), np.int32), np.zeros((tile, tile), bool)
+        for dy in range(dot_size + 1):
+            for dx in range(dot_size + 1):
+                here = there[dy : dy + tile, dx : dx + tile]
+                own = colours[dy : dy + tile, dx : dx + tile][here]
+                mixed[here] = np.where(known[here][:, None], (mixed[here] + own) >> 1, own)
+                known |= here
+        y, x, at = _placed(known, left, top)
+        return pa.Table.from_arrays([*at, *(pa.array(mixed[y, x, i], pa.int32()) for i in range(3))], names=["x", "y", "r", "g", "b"])
+
+    return _tiles(pixels.select("x", "y", "r", "g", "b"), dot_size, tile, paint, "x long, y long, r int, g int, b int")
 
 
 def composite(coloured: DataFrame, black: DataFrame) -> DataFrame:

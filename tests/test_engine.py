@@ -504,6 +504,55 @@ def read_png(path):
     return w, h, [raw[y * (3 * w + 1) + 1 : (y + 1) * (3 * w + 1)] for y in range(h)]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=2000), min_size=1, max_size=6))
+def test_checksums_of_bands_are_joined(parts):
+    check = 1
+    for part in parts:
+        check = png.joined_check(check, zlib.adler32(part), len(part))
+    assert check == zlib.adler32(b"".join(parts))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_bands_are_one_image(spark, tmp_path, rows):
+    rng = random.Random(3)
+    page = layout.arrange(400, 300, 200, 2)
+    dots = {(rng.randrange(300), rng.randrange(200)): tuple(rng.randrange(255) for _ in "rgb") for _ in range(900)}
+    df = spark.createDataFrame([(*at, *c) for at, c in dots.items()], "x long, y long, r int, g int, b int")
+    boxes = layout.black_boxes(page, ["a", "b"], layout.AxisInfo("x", 0, 300), layout.AxisInfo("y", 0, 200), 30.0)
+    path = str(tmp_path / "x.png")
+    png.write_png(png.packed_bands(df, page, boxes, rows), *page.canvas, path, {"Title": "t"})
+    image = zlib.decompress(b"".join(png_parts(path)))
+    stride = 1 + 3 * page.canvas[0]
+    assert len(image) == stride * page.canvas[1]
+    black = {(i, j) for x, y, w, h in boxes for i in range(x, x + w) for j in range(y, y + h)}
+    for (x, y), colour in dots.items():
+        at = (x + page.plot[0], y + page.plot[1])
+        assert at in black or tuple(image[at[1] * stride + 1 + 3 * at[0] :][:3]) == colour
+    for x, y in rng.sample(sorted(black), 300):
+        assert image[y * stride + 1 + 3 * x :][:3] == b"\0\0\0"
+
+
+def png_parts(path):
+    with open(path, "rb") as f:
+        raw = f.read()
+    at = 8
+    while at < len(raw):
+        (n,) = struct.unpack(">I", raw[at : at + 4])
+        if raw[at + 4 : at + 8] == b"IDAT":
+            yield raw[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
+@pytest.mark.parametrize("r", [2, 3, 5])
+def test_dots_grow_over_tiles_borders(spark, r):
+    rng = random.Random(r)
+    dots = {(rng.randrange(40), rng.randrange(40)): tuple(rng.randrange(256) for _ in "rgb") for _ in range(200)}
+    df = spark.createDataFrame([(*at, *c) for at, c in dots.items()], "x long, y long, r int, g int, b int")
+    assert pixels(raster.dilate_colour(df, r, 8)) == naive_colour(dots, r)
+    assert {(p["x"], p["y"]) for p in raster.dilate_black(df, r, 8).collect()} == {(x - i, y - j) for x, y in dots for i in range(r + 1) for j in range(r + 1) if x >= i and y >= j}
+
+
 def test_render_single_and_cli(spark, tmp_path, capsys):
     rng = random.Random(1)
     s = "".join(rng.choice("ACGT") for _ in range(120))
