@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom import bridge
-from seqloom.functions import bases, regions, text
+from seqloom.functions import bases, regions, sql, text
 from seqloom.operators import kmer_index, matching, methylation, raster, runs, sequence
 from seqloom.plans import layout
 from seqloom.plans.durable import materialise, new_path
@@ -755,3 +755,62 @@ SELECT event_id, ns, CASE WHEN ns < 1 THEN '< 1 ns' ELSE format('{:,}', ns // si
 def q_duration_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     ns = F.expr("cast(floor(pow(10, event_id % 14) * (1 + event_id % 97)) as bigint) - (event_id % 2)")
     return bridge.table(spark, sf_dir, "events").select("event_id", ns.alias("ns")).withColumn("shown", text.duration(F.col("ns")))
+
+
+# ---- the same functions in SQL
+
+
+def _sql(spark: SparkSession, said: str, **tables: DataFrame) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(said, **tables)
+
+
+@query(ORACLES["q_region_parse"])
+def q_sql_region_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (bridge.table(spark, sf_dir, name) for name in ("nation", "region"))
+    literal = ", ".join(f"('{t}')" for t in REGION_TEXTS)
+    return _sql(
+        spark,
+        "WITH t AS (SELECT concat(n_name, ':', n_nationkey * 10, '-', n_regionkey * 70) AS txt FROM {nation} UNION ALL SELECT concat(r_name, r_regionkey) FROM {region} UNION ALL SELECT * FROM VALUES "
+        + literal
+        + "), p AS (SELECT txt, parse_region(txt) AS r FROM t) SELECT txt, r.kind, r.id, r.start AS lo, r.end AS hi, CASE WHEN r IS NOT NULL THEN region_label(r) END AS label, CASE WHEN r IS NOT NULL THEN region_file_label(r) END AS file_label FROM p",
+        nation=nation,
+        region=region,
+    )
+
+
+@query(ORACLES["q_revcomp"])
+def q_sql_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, "SELECT ord, md5(reverse_complement(seq)) AS digest FROM {records}", records=bridge.records(spark, sf_dir))
+
+
+@query(f"WITH {_rec()} SELECT ord, CAST(i AS BIGINT) AS pos, substr(seq, CAST(i AS BIGINT) + 1, {K}) AS kmer FROM (SELECT ord, seq, unnest(range(length(seq) - {K - 1})) AS i FROM rec WHERE length(seq) >= {K})")
+def q_sql_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words within each record, by the table function."""
+    return _sql(spark, f"SELECT ord, k.pos, k.kmer FROM {{records}}, LATERAL kmers(seq, {K}) AS k", records=bridge.records(spark, sf_dir))
+
+
+@query(f"WITH {_rec()} SELECT ord, CAST(i AS BIGINT) AS pos, substr(seq, CAST(i AS BIGINT) + 1, {K}) AS kmer FROM (SELECT ord, seq, unnest(range(length(seq) - {K - 1})) AS i FROM rec WHERE length(seq) >= {K})")
+def q_record_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words packed, from records cut where they lie."""
+    found = sequence.record_words(bridge.records(spark, sf_dir), K)
+    return found.select("ord", "pos", bases.kmer_text(F.col("kmer"), K).alias("kmer"))
+
+
+@query(ORACLES["q_axis_labels"])
+def q_sql_axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, "SELECT doc_id, axis_label(concat('doc', doc_id), doc_id % 3 = 0) AS label FROM {documents}", documents=bridge.table(spark, sf_dir, "documents"))
+
+
+@query(ORACLES["q_duration_pretty"])
+def q_sql_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(
+        spark,
+        "SELECT event_id, ns, duration_label(ns) AS shown FROM (SELECT event_id, cast(floor(pow(10, event_id % 14) * (1 + event_id % 97)) as bigint) - (event_id % 2) AS ns FROM {events})",
+        events=bridge.table(spark, sf_dir, "events"),
+    )
+
+
+@query(ORACLES["q_meth_colors"])
+def q_sql_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, "SELECT tx AS x, ty AS y, c.r, c.g, c.b FROM (SELECT tx, ty, methylation_colour(pct) AS c FROM {cells})", cells=_cells(spark, sf_dir))

@@ -27,25 +27,25 @@ def index_of(spark: SparkSession, path: str) -> DataFrame:
     header, comment = F.col("line").startswith(">"), F.col("line").startswith(";")
     numbered = running(lines.withColumn("line", F.regexp_replace("value", "\r$", "")), header.cast("int"), "rec", inclusive=True)
     size = F.when(header | comment, 0).otherwise(F.length("line")).cast("long")
-    rows = numbered.select(F.greatest("rec", F.lit(1)).alias("ord"), F.when(header, header_id(F.col("line"))).alias("id"), size.alias("size"), (~header & (size == 0)).alias("idle"), F.col("split.file").alias("file"), "at", "bytes")
+    rows = numbered.select(F.greatest("rec", F.lit(1)).alias("ord"), F.when(header, header_id(F.col("line"))).alias("id"), size.alias("size"), F.col("split.file").alias("file"), "at", "bytes")
 
     def where(condition: Column, value: Column) -> Column:
         return F.when(condition, value)
 
-    body, idle = F.col("size") > 0, F.col("idle")
+    body = F.col("size") > 0
     own = rows.groupBy("ord").agg(
         F.max("id").alias("id"), F.sum("size").alias("n"), F.count(where(body, F.col("at"))).alias("lines"),
         F.min(where(body, F.col("at"))).alias("first"), F.max(where(body, F.col("at"))).alias("last"), F.max_by(where(body, F.col("size")), where(body, F.col("at"))).alias("tail"),
         F.max(where(body, F.col("size"))).alias("line_bases"), F.max(where(body, F.col("bytes"))).alias("most"), F.min_by(where(body, F.col("bytes")), where(body, F.col("at"))).alias("line_bytes"),
-        F.min(where(idle, F.col("at"))).alias("idle_first"), F.max(where(idle, F.col("at"))).alias("idle_last"),
+        (F.sum(where(body, F.col("bytes"))) - F.max_by(where(body, F.col("bytes")), where(body, F.col("at")))).alias("before_last"),
         F.min(where(body, F.col("file"))).alias("file"), F.max(where(body, F.col("file"))).alias("other_file"),
     )
     # no line but the last is shorter than the longest, in bases and in bytes, and nothing lies between: sums tell
     full = F.col("n") - F.col("tail") == (F.col("lines") - 1) * F.col("line_bases")
     steps = F.col("last") - F.col("first") == (F.col("lines") - 1) * F.col("line_bytes")
     widest = (F.col("most") == F.col("line_bytes")) | (F.col("lines") == 1)
-    outside = F.col("idle_first").isNull() | (F.col("idle_last") < F.col("first")) | (F.col("idle_first") > F.col("last"))
-    even = F.coalesce(full & steps & widest & outside & (F.col("file") == F.col("other_file")), F.lit(True))
+    unbroken = F.col("last") - F.col("first") == F.col("before_last")
+    even = F.coalesce(full & steps & widest & unbroken & (F.col("file") == F.col("other_file")), F.lit(True))
     return with_offsets(own.withColumn("even", even)).select("ord", "id", "n", "off", "file", F.col("first").alias("at"), "line_bases", "line_bytes", "even")
 
 

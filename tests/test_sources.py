@@ -30,8 +30,7 @@ def fasta_text(rng, feed, lower=False):
     return feed.join(out) + rng.choice(["", feed])
 
 
-@pytest.mark.parametrize("feed", ["\n", "\r\n"])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize(("feed", "seed"), [("\n", 1), ("\r\n", 2)])
 def test_indexed_regions_equal_the_scan(spark, tmp_path, monkeypatch, feed, seed):
     rng = random.Random(seed)
     monkeypatch.setattr(fasta_index, "CHUNK", 24)
@@ -42,7 +41,7 @@ def test_indexed_regions_equal_the_scan(spark, tmp_path, monkeypatch, feed, seed
     try:
         fasta_index.write_index(spark, path, index)
         total = spark.read.parquet(f"{index}/records").agg(F.sum("n")).first()[0]
-        regions = [Region("r0"), Region("r3"), Region("r8", 2, 5), Region("r9"), Region("none"), Region("r1", 0, 10**6), Region("r4"), Region("r7"), Region(None, 3, 40), Region(None, total - 9, total + 50), Region(None, total + 1, total + 5), Region(None, 0, total)]
+        regions = [Region("r0"), Region("r8", 2, 5), Region("none"), Region("r1", 0, 10**6), Region("r5"), Region("r7"), Region(None, 3, 40), Region(None, total - 9, total + 50), Region(None, total + 1, total + 5)]
         for region in regions:
             assert bases_of(fasta_index.read_indexed(spark, path, index, region)) == bases_of(fasta.read_sequence(spark, path, region)), region
     finally:
