@@ -5,11 +5,12 @@ read each run forwards and backwards, a softmax over both states labels every by
 probabilities is the document's.  Many runs advance together, one byte position a step, so the work of a step is a few
 array operations whatever the lengths of the texts; no text is cut short.
 
-Training is plain numpy: backpropagation through time and Adam.  It learns from the whole texts of a bounded sample of
-documents (``max_docs`` of them, those with the smallest MD5 of their id), cut into runs as in prediction; each step
-draws languages alike, then documents of a language alike, then runs of a document alike, so neither a common
-language nor a long text crowds out the others, and the fit costs the same at every scale.  The model holds about
-two thousand numbers.
+Training is plain numpy: backpropagation through time and Adam.  It learns from a bounded sample of documents (``max_docs``
+of them, those with the smallest MD5 of their id), cut into runs as in prediction; of a text with more than ``max_runs``
+runs the executors draw that many from all over it, so at most max_docs * max_runs * run bytes (6 MB) reach the driver,
+more runs than the fit's steps look at.  Each step draws languages alike, then documents of a language alike, then runs of
+a document alike, so neither a common language nor a long text crowds out the others, and the fit costs the same at
+every scale.  The model holds about two thousand numbers.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score 0, as is every text if
 there is nothing to learn from; null languages and null texts are not learned from; equal and null ids stay separate
@@ -18,6 +19,7 @@ rows; empty tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,20 +228,39 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> tuple[list[bytes], list[str]]:
-    """Whole texts and languages of at most ``max_docs`` labelled documents that aren't held out."""
+def drawn_runs(text: str, run: int, max_runs: int) -> bytes:
+    """A text's bytes; of one with more than ``max_runs`` runs so many that are drawn from all of it, in their order."""
+    raw = text.encode()
+    parts = -(-len(raw) // run)
+    if parts <= max_runs:
+        return raw
+    chosen = np.sort(np.random.default_rng(zlib.crc32(raw)).choice(parts, max_runs, replace=False))
+    return b"".join(raw[k * run : (k + 1) * run] for k in chosen.tolist())
+
+
+def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, run: int = 64, max_runs: int = 64) -> tuple[list[bytes], list[str]]:
+    """Drawn runs and languages of at most ``max_docs`` labelled documents that aren't held out."""
     text, key = F.col("_sl_text"), F.col("_sl_id").cast("string")
     usable = docs.select(F.col(id_col).alias("_sl_id"), F.col(text_col).alias("_sl_text"), F.col(lang_col).alias("_sl_lang")).where(
         F.col("_sl_id").isNotNull() & text.isNotNull() & (text != "") & F.col("_sl_lang").isNotNull() & ~held_out("_sl_id")
     )
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
-    rows = smallest(usable, F.md5(key), max_docs, known, ["_sl_id", "_sl_lang", "_sl_text"], lambda df: df.select(key.alias("_sl_id"), "_sl_lang", "_sl_text"))
-    return [row["_sl_text"].encode() for row in rows], [row["_sl_lang"] for row in rows]
+    kind = docs.schema[lang_col].dataType.simpleString()
+
+    def apply(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([drawn_runs(t, run, max_runs) for t in piece.column(2).to_pylist()], pa.binary())], names=["_sl_id", "_sl_lang", "_sl_text"])
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        keyed = rows.select(key.alias("_sl_id"), "_sl_lang", "_sl_text")
+        return map_texts(keyed, ["_sl_id", "_sl_lang", "_sl_text"], apply, f"_sl_id string, _sl_lang {kind}, _sl_text binary")
+
+    rows = smallest(usable, F.md5(key), max_docs, known, ["_sl_id", "_sl_lang", "_sl_text"], drawn)
+    return [bytes(row["_sl_text"]) for row in rows], [row["_sl_lang"] for row in rows]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, **options) -> GruModel | None:
-    """The network of the labelled documents that aren't held out; ``max_docs`` bounds the number of rows it is fitted on."""
-    return train(*training_texts(docs, id_col, text_col, lang_col, max_docs), **options)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500, max_runs: int = 64, run: int = 64, **options) -> GruModel | None:
+    """The network of the labelled documents that aren't held out; ``max_docs`` and ``max_runs`` bound what it is fitted on."""
+    return train(*training_texts(docs, id_col, text_col, lang_col, max_docs, run, max_runs), run=run, **options)
 
 
 def _predict(own: GruModel | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

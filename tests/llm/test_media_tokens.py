@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -173,6 +174,50 @@ def test_payload_round_trip(content):
     assert mpeg_audio.content_size(s) == len(content)
 
 
+def walked(data):
+    """A plain reader: from header to header by the standard's sizes, without any search; (offsets, microseconds, frames)."""
+    at, offsets, frames, seconds = 0, [], [], Fraction(0)
+    if data[:3] == b"ID3":
+        at = 10 + sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(data[6:10]))
+    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    while at < end:
+        assert data[at] == 0xFF and data[at + 1] >> 5 == 7
+        version, layer = {3: "1", 2: "2", 0: "2.5"}[data[at + 1] >> 3 & 3], 4 - (data[at + 1] >> 1 & 3)
+        rate = {"1": 1, "2": 2, "2.5": 4}[version]
+        rate = (44100, 48000, 32000)[data[at + 2] >> 2 & 3] // rate
+        # kbit/s, MPEG 1 by layer, then the lower rates' layer I and others
+        kbit = {
+            ("1", 1): range(0, 449, 32), ("1", 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), ("1", 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+        }.get((version, layer)) or ((0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256) if layer == 1 else (0, *range(8, 65, 8), *range(80, 161, 16)))
+        bits, padding = kbit[data[at + 2] >> 4] * 1000, data[at + 2] >> 1 & 1
+        samples = 384 if layer == 1 else 576 if layer == 3 and version != "1" else 1152
+        size = (12 * bits // rate + padding) * 4 if layer == 1 else samples // 8 * bits // rate + padding
+        frames.append(data[at : at + size])
+        offsets.append(at)
+        seconds += Fraction(samples, rate)
+        at += size
+    return offsets, int(seconds * 1_000_000), frames
+
+
+def test_offsets_and_durations_by_a_plain_reader():
+    rng = random.Random(17)
+    for _ in range(60):
+        version, layer = rng.choice(["1", "2", "2.5"]), rng.randint(1, 3)
+        mode, crc, rate = rng.choice([0, 1, 3]), rng.random() < 0.5, rng.randrange(3)
+        data = b"".join(frame(version, layer, rng.randint(5, 14), rate, mode, crc, rng, rng.randrange(2)) for _ in range(rng.randint(2, 30)))
+        got, (offsets, us, _) = mpeg_audio.parse(data), walked(data)
+        assert (got.offsets.tolist(), got.duration_us) == (offsets, us) and got.skipped == 0
+    for n in (0, 1, 575, 576, 577, 20_000):
+        content = bytes(rng.randrange(256) for _ in range(n))
+        data = mpeg_audio.build(content)
+        got, (offsets, us, frames) = mpeg_audio.parse(data), walked(data)
+        payload = mpeg_audio.payload_of(data, got)
+        sound = offsets[-len(got.offsets) :]  # the table's frame comes first and is no sound
+        assert got.offsets.tolist() == sound and 0 <= len(offsets) - len(sound) <= 1
+        assert got.duration_us == us * len(sound) // len(offsets)
+        assert all(payload[576 * i : 576 * i + 576] in f for i, f in enumerate(frames[-len(sound) :])) and payload.rstrip(b"\xff") == content.rstrip(b"\xff")
+
+
 def test_mpeg_query(spark, tmp_path):
     rows = mpeg_audio.op8_mpeg_audio(spark, save(spark, tmp_path, TEXTS)).collect()
     want = []

@@ -104,6 +104,18 @@ def test_language_learns_from_whole_texts():
     assert [model.languages[int(p.argmax())] for p in language_id.pooled(model, [b"a" * 500, b"z" * 500])] == ["aa", "zz"]
 
 
+def test_runs_are_drawn_from_whole_texts(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé ") for _ in range(50_000))
+    raw, own = text.encode(), language_id.drawn_runs(text, 64, 50)
+    assert len(own) <= 50 * 64 and own == language_id.drawn_runs(text, 64, 50) and language_id.drawn_runs("é" * 90, 64, 50) == ("é" * 90).encode()
+    runs = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    at = [runs.index(own[i : i + 64]) for i in range(0, len(own), 64)]
+    assert at == sorted(at) and at[-1] > 0.8 * len(runs) and at[0] < 0.2 * len(runs)
+    found, langs = language_id.training_texts(docs_of(spark, [(i, text[i:], "aa") for i in range(1, 30)]), "doc_id", "text", "lang", 10, 64, 20)
+    assert len(found) == len(langs) == 10 and max(map(len, found)) == 20 * 64
+
+
 def test_language_without_labels(spark):
     docs = docs_of(spark, [(1, "abc", None), (2, None, "aa")])
     assert language_id.fit(docs) is None
