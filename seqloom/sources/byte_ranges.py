@@ -61,7 +61,8 @@ def same_files(spark: SparkSession, path: str, kept: DataFrame) -> bool:
     return now.exceptAll(kept).isEmpty() and kept.exceptAll(now).isEmpty()
 
 
-def _opened(file: str) -> pa.NativeFile:
+def opened(file: str) -> pa.NativeFile:
+    """A file given by URI, to be read at any place."""
     system, where = pa.fs.FileSystem.from_uri(file)
     return system.open_input_file(where)
 
@@ -69,7 +70,7 @@ def _opened(file: str) -> pa.NativeFile:
 def readable(file: str) -> bool:
     """Whether pyarrow opens a file, given by URI."""
     try:
-        _opened(file).close()
+        opened(file).close()
     except (OSError, ValueError, NotImplementedError):
         return False
     return True
@@ -80,7 +81,7 @@ def _read(ranges: pa.RecordBatch) -> Iterator[bytes]:
     name, handle = None, None
     for file, start, stop in zip(*(ranges.column(i).to_pylist() for i in range(3)), strict=True):
         if file != name:
-            name, handle = file, _opened(file)
+            name, handle = file, opened(file)
         yield handle.read_at(stop - start, start)
 
 

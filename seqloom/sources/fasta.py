@@ -6,6 +6,7 @@ are made within each split and shifted by the sums of the splits before it, so n
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,10 @@ from seqloom.functions.bases import first_offender
 from seqloom.operators.sequence import contigs_of, length_of, pieces_of, slice_pieces, with_offsets
 from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
-from seqloom.sources.byte_ranges import raw_lines, running
+from seqloom.sources import bgzf
+from seqloom.sources.byte_ranges import raw_lines, running, stamps
+
+log = logging.getLogger(__name__)
 
 EXTENSIONS = ("fasta", "fa", "fna")
 
@@ -38,8 +42,15 @@ class Sequence:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(split, line_no, line) of a text file, or of a folder's files in order of their names; only line feeds part lines, one
-    carriage return before them is dropped."""
-    return raw_lines(spark, path).select("split", "line_no", F.regexp_replace("value", "\r$", "").alias("line"))
+    carriage return before them is dropped.  A block-gzip file is read by many tasks, a plain gzip file by one."""
+    lines = raw_lines(spark, path)
+    if path.lower().endswith(".gz"):
+        file = stamps(spark, path).select("file").first()
+        if file is not None and bgzf.is_bgzf(file["file"]):
+            lines = bgzf.raw_lines(spark, path)
+        else:
+            log.warning("%s isn't block gzip and is read by one task", path)
+    return lines.select("split", "line_no", F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def header_id(line: Column) -> Column:

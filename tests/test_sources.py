@@ -1,14 +1,17 @@
 """Offset and block indexes, and the tracks' data source."""
 
+import gzip
 import os
 import random
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.errors import MalformedInput
 from seqloom.plans.region import Region
-from seqloom.sources import byte_ranges, fasta, fasta_index, track, track_index, track_source
+from seqloom.sources import bgzf, byte_ranges, fasta, fasta_index, track, track_index, track_source
 
 
 def bases_of(found):
@@ -165,6 +168,57 @@ def test_source_pushes_filters(spark, tmp_path, capsys):
     assert len(reader.partitions()) > 10
 
 
+def block_gzip(raw, rng, most):
+    """``raw`` as BGZF, in blocks of random sizes, with the empty block at the end."""
+    out, at, places = b"", 0, []
+    while at < len(raw):
+        n = rng.randint(1, most)
+        part, at = raw[at : at + n], at + n
+        pack = zlib.compressobj(6, wbits=-15)
+        data = pack.compress(part) + pack.flush()
+        places.append(len(out))
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(part), len(part))
+    return out + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000"), places
+
+
+def test_ranges_of_block_gzip_hold_each_line_once(tmp_path):
+    rng = random.Random(12)
+    for most in (3, 40, 3000):
+        raw = b"\n".join(bytes(rng.choice(b"abc \x1f\x8b\x08\x04") for _ in range(rng.choice([0, 1, 5, 90, 700]))) for _ in range(60)) + rng.choice([b"", b"\n"])
+        data, _ = block_gzip(raw, rng, most)
+        path = tmp_path / f"{most}.gz"
+        path.write_bytes(data)
+        assert gzip.decompress(data) == raw and bgzf.is_bgzf("file://" + str(path))
+        for split in (7, 100, 5000, len(data)):
+            with byte_ranges.opened("file://" + str(path)) as handle:
+                got = [x for start in range(0, len(data), split) for lines in bgzf.lines_of_range(handle, start, min(start + split, len(data)), len(data)) for x in lines]
+            want = raw.split(b"\n")
+            assert got == (want[:-1] if want[-1] == b"" else want), (most, split)
+
+
+def test_block_gzip_is_read_as_the_plain_file(spark, tmp_path, monkeypatch):
+    rng = random.Random(13)
+    text = "\r\n".join(bed_line(f"chr{rng.randrange(3)}", i, i % 101) for i in range(900))
+    (tmp_path / "x.bed").write_text(text)
+    (tmp_path / "x.bed.gz").write_bytes(block_gzip(text.encode(), rng, 2000)[0])
+    (tmp_path / "y.bed.gz").write_bytes(gzip.compress(text.encode()))
+    plain = rows_of(track.read_track(spark, str(tmp_path / "x.bed")))
+    real = bgzf.raw_lines
+    monkeypatch.setattr(bgzf, "raw_lines", lambda spark, path: real(spark, path, 700))
+    lines = fasta.read_lines(spark, str(tmp_path / "x.bed.gz"))
+    assert lines.select("split").distinct().count() > 5
+    for name in ("x.bed.gz", "y.bed.gz"):
+        assert sorted(rows_of(track.read_track(spark, str(tmp_path / name)))) == sorted(plain)
+    fa = ">a\n" + "\n".join("ACGT" * 10 for _ in range(200)) + "\n>b\nAC"
+    (tmp_path / "x.fa.gz").write_bytes(block_gzip(fa.encode(), rng, 500)[0])
+    assert bases_of(fasta.read_sequence(spark, str(tmp_path / "x.fa.gz")))[0] == "ACGT" * 2000 + "AC"
+    damaged = bytearray(block_gzip(text.encode(), rng, 2000)[0])
+    damaged[40] ^= 1
+    (tmp_path / "z.bed.gz").write_bytes(damaged)
+    with pytest.raises(Exception, match="damaged|invalid|Error"):
+        track.read_track(spark, str(tmp_path / "z.bed.gz")).collect()
+
+
 def test_ranges_of_lines(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_bytes("é\nb\r\n\nlast".encode())
