@@ -96,8 +96,9 @@ def _sites(spark: SparkSession, path: str, axis: Sequence, config: Config) -> tu
     sites = methylation.read_sites(rows, axis.contigs, region, config.methylation_threshold)
     if sites is None:
         return None, None
-    removed = methylation.removed_count(sites, axis.pieces) if config.on_mismatch == "prune" else None
-    return methylation.settle_mismatches(sites, axis.pieces, config.on_mismatch), removed
+    if config.on_mismatch == "prune":
+        return methylation.pruned(sites, axis.pieces)
+    return methylation.settle_mismatches(sites, axis.pieces, config.on_mismatch), None
 
 
 def _turned(axis: Sequence, sites: DataFrame | None) -> tuple[Sequence, DataFrame | None]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqloom.errors import InvalidInput, MethylationError
 from seqloom.functions.color import colour
 from seqloom.operators.sequence import bases_at
+from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
 from seqloom.plans.scale import TileScale
 
@@ -122,6 +123,13 @@ def removed_count(sites: DataFrame, pieces: DataFrame) -> int:
     return mismatches(sites, pieces).count()
 
 
+def pruned(sites: DataFrame, pieces: DataFrame) -> tuple[DataFrame, int]:
+    """Sites on a C, and how many weren't; sites and bases are joined once, and written."""
+    marked = materialise(bases_at(sites, pieces), "marked-sites")
+    on_c = F.coalesce(F.col("base") == "C", F.lit(False))
+    return marked.where(on_c).drop("base"), marked.where(~on_c).count()
+
+
 def settle_mismatches(sites: DataFrame, pieces: DataFrame, on_mismatch: str = "prune") -> DataFrame:
     """``prune`` drops sites that aren't on a C, ``error`` raises at the first of them."""
     if on_mismatch == "prune":

@@ -76,8 +76,9 @@ def length_of(pieces: DataFrame) -> int:
     return pieces.agg(F.coalesce(F.max(F.col("pos") + F.length("bases")), F.lit(0))).first()[0]
 
 
-def blocks_of(pieces: DataFrame, look: int = 0, size: int = BLOCK) -> DataFrame:
-    """(start, n, bases): block b holds bases b * size on, ``n`` of its own and up to ``look`` of the next blocks."""
+def blocks_of(pieces: DataFrame, look: int = 0, size: int = BLOCK, only: DataFrame | None = None) -> DataFrame:
+    """(start, n, bases): block b holds bases b * size on, ``n`` of its own and up to ``look`` of the next blocks; with ``only``
+    (block) no others are made."""
     n = F.length("bases")
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - look) / size))
     last = F.floor((F.col("pos") + n - 1) / size)
@@ -85,6 +86,8 @@ def blocks_of(pieces: DataFrame, look: int = 0, size: int = BLOCK) -> DataFrame:
     lo = F.greatest(F.col("pos"), F.col("block") * size)
     hi = F.least(F.col("pos") + F.length("bases"), F.col("block") * size + size + look)
     parts = parts.select("block", F.struct(lo.alias("at"), cut(F.col("bases"), lo - F.col("pos"), hi - lo).alias("part")).alias("p")).where(F.length("p.part") > 0)
+    if only is not None:  # dealt by block as the parts are, or broadcast, which leaves the other parts where they lie
+        parts = parts.join(only, "block", "left_semi")
     # at most size + look parts, as each holds a base
     joined = parts.groupBy("block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("bases"))
     return joined.select((F.col("block") * size).alias("start"), F.least(F.lit(size), F.length("bases")).alias("n"), "bases")
@@ -166,7 +169,8 @@ def words(pieces: DataFrame, k: int, upper: bool = True) -> DataFrame:
 
 def bases_at(sites: DataFrame, pieces: DataFrame, size: int = BLOCK) -> DataFrame:
     """``sites`` (pos, ...) with ``base``, null outside of the sequence."""
-    blocks = blocks_of(pieces, 0, size).select(F.col("start").alias("_start"), "bases")
+    wanted = sites.select(F.floor(F.col("pos") / size).alias("block")).distinct()
+    blocks = blocks_of(pieces, 0, size, wanted).select(F.col("start").alias("_start"), "bases")
     joined = sites.join(blocks, F.floor(F.col("pos") / size) * size == F.col("_start"), "left")
     base = cut(F.col("bases"), F.col("pos") - F.col("_start"), 1)
     return joined.withColumn("base", F.when(base != "", base)).drop("_start", "bases")
