@@ -197,11 +197,13 @@ def _join_hot(rows: DataFrame, table: DataFrame, hot: DataFrame, on: list[str])
     return often.unionByName(rest)
 
 
-def _with_end(pairs: DataFrame, classes: DataFrame, end: str) -> DataFrame:
-    """``pairs`` with size, sketch and few of one end; an end may be a leader of many."""
-    hot = materialise(pairs.groupBy(end).count().where(F.col("count") >= _hot(pairs.count())).select(end), "simhash-hot")
-    table = classes.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "sketch", "few")])
-    return _join_hot(pairs, table, hot, [end])
+def _with_ends(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs``, which are written, with columns of ``table`` (fp, ...) for a and b; an end may be a leader of many."""
+    bound = _hot(pairs.count())
+    hot = {end: materialise(pairs.groupBy(end).count().where(F.col("count") >= bound).select(end), "simhash-hot") for end in ("a", "b")}
+    for end, few in hot.items():
+        pairs = _join_hot(pairs, table.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), few, [end])
+    return pairs
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -237,8 +239,8 @@ def _near(buckets: DataFrame) -> DataFrame:
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: fingerprints of ``classes`` (fp, keys, heavy) that share or nearly share a table's fingerprint, or a heavy
-    shingle where too many do."""
+    """(a, b, first), a < b: fingerprints of ``classes`` (fp, keys, heavy) that share or nearly share a table's fingerprint, or a
+    heavy shingle where too many do; first: one end is the first leader of a crowded bucket with the other."""
     ranks = F.col("tables") * F.col("t")
     keyed = classes.select("fp", "heavy", F.posexplode("keys").alias("t", "key"), F.floor(F.size("heavy") / F.size("keys")).cast("int").alias("tables"))
     keyed = keyed.select("fp", F.col("t").cast("byte").alias("t"), "key", F.slice("heavy", ranks + 1, F.col("tables")).alias("heavy"))
@@ -254,6 +256,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     # small buckets beside a crowded one are dealt anew with it
     beside = near.where("crowd_lo AND NOT crowd_hi").select("t", F.col("hi").alias("key")).unionByName(near.where("crowd_hi AND NOT crowd_lo").select("t", F.col("lo").alias("key"))).distinct()
     beside = beside.select("t", "key", F.array().cast("array<bigint>").alias("leaders"))
+    stars: list[DataFrame] = []
     for level in range(DEPTH + 1):
         crowded = buckets.where(~small).select("t", "key", F.slice("members", 1, LEADERS[min(level, 1)]).alias("leaders"))
         again = materialise(crowded if level else crowded.unionByName(beside), "simhash-crowded")
@@ -261,13 +264,13 @@ def candidate_links(classes: DataFrame) -> DataFrame:
             break
         rows = join_small(keyed, again, ["t", "key"], F.col("fp"), "inner")
         rows = materialise(rows.select("fp", "t", "heavy", "leaders"), "simhash-again")
-        every.append(rows.select(F.col("fp").alias("a"), F.explode("leaders").alias("b")))
+        stars.append(rows.select(F.col("fp").alias("a"), F.posexplode("leaders").alias("n", "b")).select("a", "b", (F.col("n") == 0).alias("first")))
         if level < DEPTH:
             keyed = rows.select("fp", "t", F.get("heavy", F.lit(level)).alias("key"), "heavy").where("key IS NOT NULL")
             buckets = _buckets(keyed)
             every.append(_pairs("members")(buckets.where(small)))
-    found = reduce(DataFrame.unionByName, every).where("a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = reduce(DataFrame.unionByName, [e.withColumn("first", F.lit(False)) for e in every] + stars).where("a <> b")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
 
 
 def similarity_of(pairs: DataFrame) -> Column:
@@ -293,24 +296,46 @@ def _shared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
 
     sets = map_texts(texts, [id_col, text_col], apply, "fp long, own array<long>")
     sets = materialise(sets.join(ends.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "simhash-sets")
-    total = pairs.count()
-    hot = {end: materialise(pairs.groupBy(end).count().where(F.col("count") >= _hot(total)).select(end), "simhash-hot") for end in ("a", "b")}
-    for end, few in hot.items():
-        pairs = _join_hot(pairs, sets.select(F.col("fp").alias(end), F.col("own").alias(f"own_{end}")), few, [end])
+    both = _with_ends(pairs, sets, ["own"])
     common = F.size(F.array_intersect("own_a", "own_b"))
-    return pairs.select("a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
+    return both.select("a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
 
 
 def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(a, b): candidates whose similarity is verified."""
+    """(a, b): candidates whose similarity is verified, enough of them to keep every component.
+
+    The first leaders' links come first; of the others those whose ends they have joined already add nothing and are not
+    verified, so a large group of copies costs a few links for each copy.
+    """
     cosine = 2 * similarity / (1 + similarity)
     share = math.acos(cosine) / math.pi
     # the first 64 bits of the sketches, which are at hand, leave out what is far from similar: five standard errors off
     most = math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
-    error = 2 / (2 - cosine) ** 2 * math.pi * math.sin(math.pi * share) * math.sqrt(share * (1 - share) / SKETCH_BITS)
     pairs = candidate_links(classes.where("size > 0"))
     pairs = materialise(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most), "simhash-pairs")
-    both = _with_end(_with_end(pairs, classes, "a"), classes, "b")
+
+    def verified(some: DataFrame) -> DataFrame:
+        return materialise(_verified(some, classes, similarity, docs, id_col, text_col, shingle), "simhash-links")
+
+    stars, rest = pairs.where("first").select("a", "b"), pairs.where("NOT first").select("a", "b")
+    if stars.isEmpty():
+        return verified(rest)
+    found = verified(stars)
+    roots = materialise(connected_components(found, "a", "b"), "simhash-roots")
+    few = roots.count() <= MAX_BROADCAST_LINKED
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        rest = rest.join(F.broadcast(own) if few else own, end, "left")
+    open_ = materialise(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "simhash-open")
+    return found.unionByName(verified(open_))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(a, b) of those pairs of fingerprints whose texts have at least ``similarity``."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    error = 2 / (2 - cosine) ** 2 * math.pi * math.sin(math.pi * share) * math.sqrt(share * (1 - share) / SKETCH_BITS)
+    both = _with_ends(pairs, classes, ["size", "sketch", "few"])
     exact = F.col("few_a").isNotNull() & F.col("few_b").isNotNull()
     least = F.when(exact, similarity).otherwise(similarity - MARGIN * error)
     told = materialise(both.select("a", "b", exact.alias("exact"), similarity_of(both).alias("similarity"), least.alias("least")).where("similarity >= least"), "simhash-told")
