@@ -9,8 +9,10 @@ import zipfile
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
+from seqloom.errors import InvalidInput
+
 _SHIPPED: set[str] = set()
-_FILES: set[tuple[str, str]] = set()
+_FILES: dict[tuple[str, str], str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -28,12 +30,18 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ship_file(spark: SparkSession, path: str) -> str:
-    """Hand a file (a local path or any URI that Spark reads) to all executors; the name by which ``shipped`` finds it there."""
-    key = (spark.sparkContext.applicationId, path)
+    """Hand a file (a local path or any URI that Spark reads) to all executors; the name by which ``shipped`` finds it there.
+
+    Executors keep shipped files by their last name, so a second file of the same name from elsewhere is refused.
+    """
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    key = (spark.sparkContext.applicationId, name)
     if key not in _FILES:
         spark.sparkContext.addFile(path)
-        _FILES.add(key)
-    return path.rstrip("/").rsplit("/", 1)[-1]
+        _FILES[key] = path
+    elif _FILES[key] != path:
+        raise InvalidInput(f"{path!r} has the name of {_FILES[key]!r}, which is shipped already")
+    return name
 
 
 def shipped(name: str) -> str:

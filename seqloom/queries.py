@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom import bridge
 from seqloom.functions import bases, regions, sql, text
 from seqloom.operators import kmer_index, matching, methylation, raster, runs, sequence
-from seqloom.plans import layout
+from seqloom.plans import layout, sheets
 from seqloom.plans.durable import materialise, new_path
 from seqloom.plans.region import Region
 from seqloom.plans.scale import TileScale, scale_columns
@@ -757,6 +757,147 @@ def q_duration_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.table(spark, sf_dir, "events").select("event_id", ns.alias("ns")).withColumn("shown", text.duration(F.col("ns")))
 
 
+# ---- tables of plot requests
+
+#: Options of the request that each event makes; null where it isn't given.
+_ASKED = {
+    "sequence": "CASE WHEN event_id % 11 <> 3 THEN CASE WHEN event_id % 17 = 5 THEN 'docs.txt' ELSE 'data/docs.fa' END END",
+    "fst_sequence": "CASE WHEN event_id % 11 = 3 OR event_id % 13 = 7 THEN 'data/records-in-a-file-with-a-name-beyond-forty-letters.fna' END",
+    "snd_sequence": "CASE WHEN event_id % 11 = 3 AND event_id % 2 = 0 THEN 'items.FASTA.gz' END",
+    "methylation": "CASE WHEN event_id % 5 = 0 THEN 'sites.bed' END",
+    "region": "CASE WHEN event_id % 7 = 1 THEN concat('doc', user_id, ':10-2000') WHEN event_id % 35 = 2 THEN ':1-2' END",
+    "snd_rev": "CASE WHEN event_id % 4 < 2 THEN event_id % 4 = 1 END",
+    "methylation_threshold": "CASE WHEN event_id % 8 <> 6 THEN CAST((event_id % 230) / 2.0 AS DOUBLE) END",
+    "word_length": "CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 40 AS INT) END",
+    "plot_side": "CAST(300 + (event_id * 37) % 12300 AS INT)",
+    "enlarge_small": "CASE WHEN event_id % 3 <> 2 THEN event_id % 3 = 0 END",
+}
+#: Defaults of the options that some events give.
+_UNASKED = {"snd_rev": "false", "methylation_threshold": "0.0::DOUBLE", "word_length": "21", "plot_side": "4000", "enlarge_small": "false"}
+_NO_OBJECT = "event_id % 31 IN (4, 5)"
+_GIVEN = {name: f"CASE WHEN NOT {_NO_OBJECT} THEN {said} END" for name, said in _ASKED.items()}
+_MERGED = ", ".join(f"coalesce({said}, {_UNASKED[name]}) AS {name}" if name in _UNASKED else f"{said} AS {name}" for name, said in _GIVEN.items())
+_REQUESTED = f"""asked AS (SELECT event_id, user_id, {_MERGED} FROM events),
+told AS (SELECT *, CASE WHEN {_NO_OBJECT} THEN 'not a JSON object' WHEN event_id % 29 = 3 THEN 'unknown key: ''colour'''
+WHEN sequence IS NOT NULL AND fst_sequence IS NOT NULL THEN 'give sequence, or fst_sequence and snd_sequence' WHEN sequence IS NULL AND snd_sequence IS NULL THEN 'a sequence is missing'
+WHEN sequence IS NULL AND methylation IS NOT NULL THEN 'one sequence goes with one methylation track, two with two' WHEN methylation_threshold > 100 THEN 'the methylation threshold is a percentage from 0 to 100'
+WHEN plot_side < 350 OR plot_side > 12500 THEN 'the plot''s side is 350 to 12500 pixels' WHEN word_length < 1 THEN 'words have at least one base' WHEN region = ':1-2' THEN 'no region: '':1-2'''
+WHEN sequence = 'docs.txt' THEN 'unknown file extension: ''docs.txt''' END AS problem FROM asked)"""
+
+
+def _configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: most name options, some a key that isn't one, some are other texts."""
+    options = ", ".join(f"{said} AS {name}" for name, said in _ASKED.items())
+    request = f"CASE event_id % 31 WHEN 4 THEN '[1]' WHEN 5 THEN event_type ELSE to_json(struct({options}, CASE WHEN event_id % 29 = 3 THEN 'red' END AS colour)) END"
+    return sheets.configured(bridge.table(spark, sf_dir, "events").selectExpr("event_id", "user_id", f"{request} AS request"))
+
+
+@query(f"WITH {_REQUESTED} SELECT event_id, {', '.join(_ASKED)}, 'prune' AS on_mismatch, '.' AS output_dir, 1 AS dot_size, false AS fst_rev, false AS parallel FROM told")
+def q_request_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request gives, over the defaults."""
+    never = ("on_mismatch", "output_dir", "dot_size", "fst_rev", "parallel")
+    return _configured(spark, sf_dir).select("event_id", *[f"plot.{n}" for n in (*_ASKED, *never)])
+
+
+@query(f"WITH {_REQUESTED} SELECT event_id, problem FROM told WHERE problem IS NOT NULL")
+def q_request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first problem of each request that has one."""
+    return _configured(spark, sf_dir).where("problem IS NOT NULL").select("event_id", "problem")
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each event's user against the document with the event's number, or else against the user's own."""
+    sizes = bridge.records(spark, sf_dir).select("ord", F.length("seq").cast("long").alias("n"))
+    x, y = sizes.select(F.col("ord").alias("user_id"), F.col("n").alias("xn")), sizes.select(F.col("ord").alias("event_id"), F.col("n").alias("yn"))
+    rows = _configured(spark, sf_dir).join(x, "user_id").join(y, "event_id", "left")
+    multi = F.col("event_id") % 6 == 0
+    own = F.when(F.col("yn").isNull(), F.col("user_id")).otherwise(F.col("event_id"))
+    axes = {
+        "x": F.struct(F.concat(F.lit("doc"), "user_id").alias("id"), multi.alias("multi"), F.col("xn").alias("length")),
+        "y": F.struct(F.concat(F.lit("doc"), own).alias("id"), multi.alias("multi"), F.coalesce("yn", "xn").alias("length")),
+    }
+    return sheets.measured(rows.withColumns(axes))
+
+
+_SHEET = f"""WITH {_rec()}, {_REQUESTED},
+axes AS (SELECT told.*, event_id % 6 = 0 AS multi, CAST(length(a.seq) AS BIGINT) AS xn, CAST(coalesce(length(b.seq), length(a.seq)) AS BIGINT) AS yn, CASE WHEN b.ord IS NULL THEN user_id ELSE event_id END AS own FROM told JOIN rec a ON a.ord = user_id LEFT JOIN rec b ON b.ord = event_id),
+short AS (SELECT *, CASE WHEN xn < word_length THEN 'the first sequence has ' || xn || ' bases, words have ' || word_length WHEN yn < word_length THEN 'the second sequence has ' || yn || ' bases, words have ' || word_length END AS too_short FROM axes WHERE problem IS NULL),
+fine AS (SELECT *, CAST(plot_side AS BIGINT) AS side, methylation IS NOT NULL AS tracked FROM short WHERE too_short IS NULL),
+o AS (SELECT *, CASE WHEN greatest(xn, yn) < side THEN xn WHEN xn >= yn THEN side ELSE ceil(CAST(xn AS DOUBLE) * side / yn) END AS ow, CASE WHEN greatest(xn, yn) < side THEN yn WHEN xn >= yn THEN ceil(CAST(yn AS DOUBLE) * side / xn) ELSE side END AS oh FROM fine),
+t AS (SELECT *, CAST(ceil(CAST(xn AS DOUBLE) / ow) AS BIGINT) AS tile_w, CAST(ceil(CAST(yn AS DOUBLE) / oh) AS BIGINT) AS tile_h FROM o),
+s AS (SELECT *, CAST(greatest(1, ceil(CAST(xn AS DOUBLE) / tile_w)) AS BIGINT) AS tw, CAST(greatest(1, ceil(CAST(yn AS DOUBLE) / tile_h)) AS BIGINT) AS th FROM t),
+g AS (SELECT *, enlarge_small AND tw < side AND th < side AS enlarged FROM s),
+z AS (SELECT *, CAST(CASE WHEN NOT enlarged THEN tw WHEN tw >= th THEN side ELSE floor(CAST(side AS DOUBLE) / th * tw) END AS BIGINT) AS width, CAST(CASE WHEN NOT enlarged THEN th WHEN tw >= th THEN floor(CAST(side AS DOUBLE) / tw * th) ELSE side END AS BIGINT) AS height,
+side // 10 AS margin, side // 10 // 5 AS txt, greatest(1, side // 10 // 5 // 8) AS px, 3 + CAST(tracked AS INTEGER) + 2 * CAST(enlarged AS INTEGER) AS lines FROM g),
+m AS (SELECT *, CAST(floor(78 * px * 1.2::DOUBLE + 0.5) AS BIGINT) AS room, CAST(floor(margin * 1.2::DOUBLE + 0.5) AS BIGINT) AS legend_w, CAST(floor(side * 0.75::DOUBLE + 0.5) AS BIGINT) AS legend_h, margin + (lines + 2) * (txt + txt // 4) AS top FROM z),
+pg AS (SELECT *, margin + room AS lft, top + (side - legend_h) // 2 AS legend_y FROM m)"""
+
+
+@query(f"{_SHEET} SELECT event_id, too_short AS problem FROM short WHERE too_short IS NOT NULL")
+def q_request_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests without another problem whose sequences are shorter than a word."""
+    return _measured(spark, sf_dir).where("problem LIKE 'the % sequence has %'").select("event_id", "problem")
+
+
+_SIZES = ("tile_w", "tile_h", "width", "height", "enlarged", "plot_x", "plot_y", "legend_x", "legend_y", "legend_w", "legend_h", "canvas_w", "canvas_h", "text", "border")
+
+
+@query(
+    f"{_SHEET} SELECT event_id, tile_w, tile_h, width, height, enlarged, lft + (side - width) // 2 AS plot_x, top + (side - height) // 2 AS plot_y, lft + side + lft // 2 AS legend_x, legend_y, legend_w, legend_h, "
+    "2 * lft + side + legend_w AS canvas_w, 2 * top + side + room AS canvas_h, txt AS text, CAST(floor(side * 0.003::DOUBLE + 0.5) AS BIGINT) AS border FROM pg"
+)
+def q_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the parts of each image stand."""
+    return _measured(spark, sf_dir).where("page IS NOT NULL").select("event_id", *[f"page.{n}" for n in _SIZES])
+
+
+_PAIRED = "CASE WHEN multi THEN 'Multi FASTA (' ELSE 'FASTA (' END || {} || ') vs. ' || CASE WHEN multi THEN 'Multi FASTA (' ELSE 'FASTA (' END || {} || ')'"
+_LONG = "left('records-in-a-file-with-a-name-beyond-forty-letters.fna', 37) || '...'"
+_NAMED = """l AS (SELECT *, CASE WHEN region IS NOT NULL THEN 'doc' || user_id || ':10-2,000' WHEN multi THEN '0-' || format('{:,}', xn) ELSE 'doc' || user_id END AS xl,
+CASE WHEN region IS NOT NULL THEN 'doc' || user_id || ':10-2,000' WHEN multi THEN '0-' || format('{:,}', yn) ELSE 'doc' || own END || CASE WHEN snd_rev THEN ' (rev. comp.)' ELSE '' END AS yl,
+CASE WHEN region IS NOT NULL THEN 'doc' || user_id || '_10-2000' WHEN multi THEN '0-' || xn ELSE 'doc' || user_id END AS xf,
+CASE WHEN region IS NOT NULL THEN 'doc' || user_id || '_10-2000' WHEN multi THEN '0-' || yn ELSE 'doc' || own END AS yf FROM pg)"""
+
+
+@query(
+    f"{_SHEET}, {_NAMED} SELECT event_id, CASE WHEN sequence IS NULL THEN {_PAIRED.format(_LONG, chr(39) + 'items.FASTA.gz' + chr(39))} ELSE {_PAIRED.format(chr(39) + 'docs.fa' + chr(39), chr(39) + 'docs.fa' + chr(39))} END "
+    "|| '||Word length: ' || word_length || CASE WHEN tracked THEN '|Methylation threshold: ' || format('{:.1f}', methylation_threshold) || '%' ELSE '' END "
+    "|| CASE WHEN enlarged THEN '||(plot was enlarged to fit ' || format('{:,}', side) || 'px resolution)' ELSE '' END AS titles, "
+    "CASE WHEN length(xl) * 6 * px <= width THEN xl END AS x_label, CASE WHEN length(yl) * 6 * px <= height THEN yl END AS y_label, xf || '__' || yf || '.png' AS file FROM l"
+)
+def q_page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, axis labels (where they fit) and the file of each image."""
+    titles = F.array_join("page.titles", "|").alias("titles")
+    return _measured(spark, sf_dir).where("page IS NOT NULL").select("event_id", titles, "page.x_label", "page.y_label", "page.file")
+
+
+_PARTS = "CASE WHEN n >= 100 OR n % 5 = 0 THEN 5 WHEN n % 4 = 0 THEN 4 WHEN n % 3 = 0 THEN 3 WHEN n % 2 = 0 THEN 2 ELSE 1 END"
+
+
+@query(
+    f"{_SHEET}, b AS (SELECT event_id, 'x' AS axis, xn AS n, width AS pixels, txt FROM pg UNION ALL SELECT event_id, 'y', yn, height, txt FROM pg), k AS (SELECT *, {_PARTS} AS parts FROM b), "
+    "e AS (SELECT *, unnest(range(parts + 1 + CAST(axis = 'x' AS INTEGER))) AS i FROM k WHERE (parts + 1) * txt < pixels) "
+    "SELECT event_id, axis, CAST(i AS INTEGER) AS i, CASE WHEN i >= parts + CAST(axis = 'x' AS INTEGER) THEN n ELSE i * (n // parts) END AS tick, CASE WHEN axis = 'x' AND i = parts + 1 THEN pixels ELSE i * (pixels // parts) END AS pixel FROM e"
+)
+def q_page_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the axes that have room for them."""
+    pages = _measured(spark, sf_dir).where("page IS NOT NULL")
+    both = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"page.{a}_ticks").alias("ticks")) for a in "xy"])).alias("own")
+    ticks = pages.select("event_id", both).select("event_id", "own.axis", F.posexplode("own.ticks").alias("i", "t"))
+    return ticks.select("event_id", "axis", "i", F.col("t.value").alias("tick"), F.col("t.at").alias("pixel"))
+
+
+_STOPS = " UNION ALL ".join(f"SELECT event_id, '{name}' AS name, legend_y + CAST(trunc(legend_h * (1 - {at}::DOUBLE) - txt / 2) AS BIGINT) AS y FROM pg" for name, at in (("0%", 0), ("30%", 0.3), ("50%", 0.5), ("100%", 1)))
+
+
+@query(f"{_SHEET} {_STOPS} UNION ALL SELECT event_id, 'threshold', legend_y + CAST(floor(legend_h * (1 - methylation_threshold / 100.0::DOUBLE)) AS BIGINT) FROM pg WHERE tracked")
+def q_page_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the legend's labels stand, and its mark of the threshold on images with a track."""
+    pages = _measured(spark, sf_dir).where("page IS NOT NULL")
+    mark = F.array(F.struct(F.lit("threshold").alias("name"), F.col("page.threshold_y").alias("y")))
+    return pages.select("event_id", F.inline(F.concat("page.legend", mark))).where("y IS NOT NULL")
+
+
 # ---- the same functions in SQL
 
 
