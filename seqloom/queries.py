@@ -398,6 +398,13 @@ def q_track_bed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, _bed_line(), "bed")
 
 
+@query(_PARSED)
+def q_track_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of either strand, or of none, are the same."""
+    strand = "CASE event_id % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '.' END"
+    return _parsed(spark, sf_dir, _bed_line().replace(" m 0 + s", f" m 0 ', {strand}, ' s"), "bed")
+
+
 @query(_PARSED)
 def q_track_bedgraph_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "concat('doc', user_id, ' ', (event_id * 31) % 400, '   ', (event_id * 31) % 400 + 1, '\\t', value / 5)", "bedgraph")
