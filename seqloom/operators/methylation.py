@@ -58,17 +58,20 @@ class Stages:
 def track_stages(rows: DataFrame, contigs: DataFrame, region: Region | None) -> Stages:
     """Split a track by its region; ``contigs`` has (ord, id, n, off).
 
-    * none: every row is checked, also of unknown chromosomes; the first contig of a name takes its sites;
+    * none: every row is checked, also of unknown chromosomes; the first contig of a name takes its sites, and where sites
+      of several contigs meet (they may lie past a contig's end) the last contig's stays, by offset and then by ord, as
+      contigs without bases share their offset with the next;
     * id: only the chromosome's rows are checked;
     * id and interval: rows in the interval, then of the chromosome, counted from the interval's start;
     * interval: rows of known chromosomes (the last contig of a name) that lie in the interval of the whole.
     Positions are not checked against the end of a contig.
     """
     if region is None:
-        first = contigs.groupBy("id").agg(F.min_by("off", "ord").alias("_off"))
+        first = contigs.groupBy("id").agg(F.min_by(F.struct("off", "ord"), F.struct(F.col("ord").isNull(), "ord")).alias("_at"))
         deduped = last_wins(rows.join(first.select(F.col("id").alias("chrom")), "chrom", "left_semi"), "chrom", "start")
         placed = deduped.join(first.withColumnRenamed("id", "chrom"), "chrom")
-        return Stages(rows, placed.select((F.col("_off") + F.col("start")).alias("pos"), "pct", "_off").groupBy("pos").agg(F.max_by("pct", "_off").alias("pct")))
+        last = F.max_by("pct", F.struct("_at.off", F.col("_at.ord").isNull(), "_at.ord", "chrom")).alias("pct")
+        return Stages(rows, placed.select((F.col("_at.off") + F.col("start")).alias("pos"), "pct", "_at", "chrom").groupBy("pos").agg(last))
     if region.kind == "slice":
         last = contigs.groupBy("id").agg(F.max_by("off", "ord").alias("_off")).withColumnRenamed("id", "chrom")
         at = rows.join(last, "chrom").withColumn("pos", F.col("_off") + F.col("start")).where((F.col("pos") >= region.start) & (F.col("pos") < region.end))
