@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import InvalidInput, MalformedInput
-from seqloom.functions.bases import first_offender
+from seqloom.functions.bases import first_offender, upper_bases, upper_sign
 from seqloom.operators.sequence import contigs_of, length_of, pieces_of, slice_pieces, with_offsets
 from seqloom.plans.durable import materialise
 from seqloom.plans.region import Region
@@ -63,7 +63,7 @@ def parse_fasta(lines: DataFrame, preserve_case: bool = False) -> DataFrame:
     kept = lines.where(~F.col("line").startswith(";"))
     is_header = F.col("line").startswith(">")
     numbered = running(kept, is_header.cast("int"), "rec", inclusive=True)
-    bases = F.col("line") if preserve_case else F.upper("line")
+    bases = F.col("line") if preserve_case else upper_bases(F.col("line"))
     return numbered.select(
         "split", "line_no", F.greatest("rec", F.lit(1)).alias("rec"), F.when(is_header, header_id(F.col("line"))).alias("header"), F.when(is_header, F.lit("")).otherwise(bases).alias("bases")
     )
@@ -80,9 +80,10 @@ def placed_lines(parsed: DataFrame) -> DataFrame:
     return running(parsed, F.length("bases"), "pos", inclusive=False).where("bases <> ''").select("pos", "bases")
 
 
-def violations(parsed: DataFrame) -> DataFrame:
-    """(split, line_no, problem) of lines that are no FASTA."""
+def violations(parsed: DataFrame, preserve_case: bool = False) -> DataFrame:
+    """(split, line_no, problem) of lines that are no FASTA; a symbol is named in upper case."""
     offender = first_offender(F.col("bases"))
+    offender = offender if preserve_case else upper_sign(offender)
     problem = F.when(F.col("header") == "", F.lit("missing identifier")).when(offender == "-", F.lit("gaps ('-') are not supported, use N")).when(offender != "", F.concat(F.lit("invalid symbol "), offender))
     return parsed.withColumn("problem", problem).where("problem IS NOT NULL").select("split", "line_no", "problem")
 
@@ -99,7 +100,7 @@ def read_sequence(spark: SparkSession, path: str, region: Region | None = None,
     elif region is not None:
         last = contigs.where(F.col("off") < region.end).agg(F.max("ord")).first()[0]
     seen = parsed if last is None else parsed.where(F.col("rec") <= last)
-    bad = violations(seen).orderBy("split", "line_no").limit(1).collect()
+    bad = violations(seen, preserve_case).orderBy("split", "line_no").limit(1).collect()
     if bad:
         raise MalformedInput(bad[0]["problem"])
     return _cased(cut_sequence(placed_lines(parsed), contigs, region), preserve_case)

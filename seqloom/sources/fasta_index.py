@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.errors import InvalidInput, MalformedInput
-from seqloom.functions.bases import first_offender
+from seqloom.functions.bases import first_offender, upper_bases, upper_sign
 from seqloom.operators.sequence import with_offsets
 from seqloom.plans.region import Region
 from seqloom.sources.byte_ranges import CHUNK, placed, raw_lines, read_ranges, readable, running, same_files, spread, stamps
@@ -100,8 +100,9 @@ def read_indexed(spark: SparkSession, path: str, index_path: str, region: Region
         return read_sequence(spark, path, region, preserve_case)
     raw = read_ranges(spread(region_ranges(touched, start, end)), b"\r\n")
     text = F.col("raw").cast("string")
-    pieces = raw.select("pos", (text if preserve_case else F.upper(text)).alias("bases"))
-    bad = pieces.select("pos", first_offender(F.col("bases")).alias("sign")).where("sign <> ''").orderBy("pos").limit(1).collect()
+    pieces = raw.select("pos", (text if preserve_case else upper_bases(text)).alias("bases"))
+    sign = first_offender(F.col("bases"))
+    bad = pieces.select("pos", (sign if preserve_case else upper_sign(sign)).alias("sign")).where("sign <> ''").orderBy("pos").limit(1).collect()
     if bad:
         raise MalformedInput("gaps ('-') are not supported, use N" if bad[0]["sign"] == "-" else f"invalid symbol {bad[0]['sign']}")
     columns = kept.select("ord", "id", "n", "off")
