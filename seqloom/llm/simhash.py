@@ -15,8 +15,11 @@ table.  A few heavy shingles decide such a fingerprint: where two texts share th
 than 2 bits, so each table finds a pair with a probability that grows with its similarity.  Texts that share a
 fingerprint are a bucket.  All pairs of a bucket of at most CROWD texts, and of two such that meet, are candidates.  In
 larger buckets, as a passage that many texts share makes them, each text is a candidate with LEADERS others, and all texts are
-also dealt anew, up to DEPTH times, by their next heaviest shingle, until it isn't of the passage and buckets are small;
-groups of copies that stay together through all of that are close to their leaders.  Every candidate is verified: by an
+also dealt anew, up to DEPTH times, by their next heaviest shingle, until it isn't of the passage and buckets are small.
+Groups of copies that stay together through all of that are close to their leaders; where the verified links leave texts of such
+a bucket outside of its first leader's component, those are compared with every text of the bucket that is of another component,
+so no pair of the last buckets is left out.  That costs the product of both counts in the worst case, in a join that keeps
+only pairs whose first 64 bits are near.  Every candidate is verified: by an
 unweighted SimHash of SKETCH_BITS bits, whose differing share gives the angle between the sets of shingles and, with their
 sizes, the Jaccard similarity (standard error 0.013 at 0.8), and exactly if both texts have at most FEW shingles, or if
 the estimate is within MARGIN standard errors of ``similarity``.
@@ -238,12 +241,14 @@ def _near(buckets: DataFrame) -> DataFrame:
     return materialise(met.select("t", "lo", "hi").unionByName(crowded.select("t", "lo", "hi")).where("lo <> hi").distinct(), "simhash-near")
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
+def candidate_links(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, first), a < b: fingerprints of ``classes`` (fp, keys, heavy) that share or nearly share a table's fingerprint, or a
-    heavy shingle where too many do; first: one end is the first leader of a crowded bucket with the other."""
+    heavy shingle where too many do; first: one end is the first leader of a crowded bucket with the other.  And (fp, t, leader),
+    the members of the buckets that are crowded to the last, t and leader naming a bucket; None without any."""
     ranks = F.col("tables") * F.col("t")
     keyed = classes.select("fp", "heavy", F.posexplode("keys").alias("t", "key"), F.floor(F.size("heavy") / F.size("keys")).cast("int").alias("tables"))
-    keyed = keyed.select("fp", F.col("t").cast("byte").alias("t"), "key", F.slice("heavy", ranks + 1, F.col("tables")).alias("heavy"))
+    met = F.array().cast("array<struct<b: bigint, first: boolean>>").alias("met")
+    keyed = keyed.select("fp", F.col("t").cast("byte").alias("t"), "key", F.slice("heavy", ranks + 1, F.col("tables")).alias("heavy"), met)
     buckets = _buckets(keyed)
     small = F.size("members") <= CROWD
     every = [_pairs("members")(buckets.where(small))]
@@ -257,20 +262,28 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     beside = near.where("crowd_lo AND NOT crowd_hi").select("t", F.col("hi").alias("key")).unionByName(near.where("crowd_hi AND NOT crowd_lo").select("t", F.col("lo").alias("key"))).distinct()
     beside = beside.select("t", "key", F.array().cast("array<bigint>").alias("leaders"))
     stars: list[DataFrame] = []
+    last = None
+    led = F.transform("leaders", lambda b, i: F.struct(b.alias("b"), (i == 0).alias("first")))
     for level in range(DEPTH + 1):
         crowded = buckets.where(~small).select("t", "key", F.slice("members", 1, LEADERS[min(level, 1)]).alias("leaders"))
         again = materialise(crowded if level else crowded.unionByName(beside), "simhash-crowded")
         if again.isEmpty():
             break
         rows = join_small(keyed, again, ["t", "key"], F.col("fp"), "inner")
-        rows = materialise(rows.select("fp", "t", "heavy", "leaders"), "simhash-again")
-        stars.append(rows.select(F.col("fp").alias("a"), F.posexplode("leaders").alias("n", "b")).select("a", "b", (F.col("n") == 0).alias("first")))
+        # a group that stays together has its leaders from level to level: each is met once
+        rows = rows.select("fp", "t", "key", "heavy", F.get("leaders", F.lit(0)).alias("leader"), F.array_except(led, "met").alias("new"), F.array_union(led, "met").alias("met"))
+        rows = materialise(rows, "simhash-again")
+        stars.append(rows.select(F.col("fp").alias("a"), F.inline("new")))
         if level < DEPTH:
-            keyed = rows.select("fp", "t", F.get("heavy", F.lit(level)).alias("key"), "heavy").where("key IS NOT NULL")
+            # texts without a further shingle stay together
+            deeper = F.coalesce(F.get("heavy", F.lit(level)), F.xxhash64("t", "key", F.lit(level)))
+            keyed = rows.select("fp", "t", deeper.alias("key"), "heavy", "met")
             buckets = _buckets(keyed)
             every.append(_pairs("members")(buckets.where(small)))
+        else:
+            last = rows.select("fp", "t", "leader")
     found = reduce(DataFrame.unionByName, [e.withColumn("first", F.lit(False)) for e in every] + stars).where("a <> b")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first")), last
 
 
 def similarity_of(pairs: DataFrame) -> Column:
@@ -311,7 +324,7 @@ def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col
     share = math.acos(cosine) / math.pi
     # the first 64 bits of the sketches, which are at hand, leave out what is far from similar: five standard errors off
     most = math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share)))
-    pairs = candidate_links(classes.where("size > 0"))
+    pairs, last = candidate_links(classes.where("size > 0"))
     pairs = materialise(pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most), "simhash-pairs")
 
     def verified(some: DataFrame) -> DataFrame:
@@ -321,13 +334,36 @@ def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col
     if stars.isEmpty():
         return verified(rest)
     found = verified(stars)
-    roots = materialise(connected_components(found, "a", "b"), "simhash-roots")
+    rest = _with_roots(rest, _roots(found), ["a", "b"])
+    open_ = materialise(rest.where("root_a <> root_b").select("a", "b"), "simhash-open")
+    found = found.unionByName(verified(open_))
+    if last is None:
+        return found
+    outside = _outside(last, found, most)
+    return found if outside.isEmpty() else found.unionByName(verified(outside))
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    return materialise(connected_components(found, "a", "b"), "simhash-roots")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame, ends: list[str]) -> DataFrame:
+    """``rows`` with the root of the fingerprint in each column of ``ends``."""
     few = roots.count() <= MAX_BROADCAST_LINKED
-    for end in ("a", "b"):
+    for end in ends:
         own = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        rest = rest.join(F.broadcast(own) if few else own, end, "left")
-    open_ = materialise(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "simhash-open")
-    return found.unionByName(verified(open_))
+        rows = rows.join(F.broadcast(own) if few else own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return rows
+
+
+def _outside(last: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """(a, b): texts of ``last`` (fp, t, leader) outside of their first leader's component, with all of the same bucket that are of another
+    component than they are and within ``most`` of the first 64 bits."""
+    own = materialise(_with_roots(last, _roots(found), ["fp", "leader"]), "simhash-last")
+    out = materialise(own.where("root_fp <> root_leader").select("t", "leader", F.col("fp").alias("b"), F.col("root_fp").alias("root_b")), "simhash-out")
+    met = join_small(own.select("t", "leader", F.col("fp").alias("a"), F.col("root_fp").alias("root_a")), out, ["t", "leader"], F.col("a"), "inner")
+    met = met.where((F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
+    return materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-outside")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
