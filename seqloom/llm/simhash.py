@@ -18,8 +18,9 @@ larger buckets, as a passage that many texts share makes them, each text is a ca
 also dealt anew, up to DEPTH times, by their next heaviest shingle, until it isn't of the passage and buckets are small.
 Groups of copies that stay together through all of that are close to their leaders; where the verified links leave texts of such
 a bucket outside of its first leader's component, those are compared with every text of the bucket that is of another component,
-so no pair of the last buckets is left out.  That costs the product of both counts in the worst case, in a join that keeps
-only pairs whose first 64 bits are near.  Every candidate is verified: by an
+so no pair of the last buckets is left out.  Those are compared by their sets of shingles, part by part of a bucket within arrays, and
+a pair of parts gives a link for each two components that it joins: the time is the product of both counts in the worst case, but
+neither rows nor memory are.  Every other candidate is verified: by an
 unweighted SimHash of SKETCH_BITS bits, whose differing share gives the angle between the sets of shingles and, with their
 sizes, the Jaccard similarity (standard error 0.013 at 0.8), and exactly if both texts have at most FEW shingles, or if
 the estimate is within MARGIN standard errors of ``similarity``.
@@ -46,6 +47,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from seqloom.llm.batches import map_texts
 from seqloom.llm.components import connected_components
 from seqloom.plans.durable import join_small, materialise, scratch
+from seqloom.plans.ship import ship_package
 
 SEED = 42
 SHINGLE = 3
@@ -70,6 +72,8 @@ FEW = 32
 MARGIN = 3
 #: Texts that are fetched for that by a broadcast of their ids.
 MAX_BROADCAST_TEXTS = 200_000
+#: Texts of a part of a bucket (an eighth of the bucket within these bounds), and shingles of one on average.
+PART, PART_SHINGLES = (128, 2048), 1 << 20
 _LANES = SKETCH_BITS // 64
 _ODD = np.random.default_rng(42).integers(1, 1 << 62, _LANES + TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -298,7 +302,14 @@ def similarity_of(pairs: DataFrame) -> Column:
 
 def _shared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(a, b, similarity) of pairs of fingerprints, by the sets of shingles of one text of each."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), docs, classes, id_col, text_col, shingle)
+    both = _with_ends(pairs, sets, ["own"])
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    return both.select("a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
+
+
+def _sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(fp, own), written: the distinct shingles of one text of each of the fingerprints ``ends``."""
     wanted = materialise(classes.join(ends, "fp", "left_semi").select(F.col("first_id").alias(id_col)).distinct(), "simhash-wanted")
     texts = join_small(docs.select(id_col, text_col), wanted, [id_col], F.col(text_col), "left_semi", max_rows=MAX_BROADCAST_TEXTS)
     longs = pa.list_(pa.int64())
@@ -308,10 +319,7 @@ def _shared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         return pa.RecordBatch.from_arrays([pa.array([int(x[0][0]) for x in found], pa.int64()), pa.array([x[2].view(np.int64) for x in found], longs)], names=["fp", "own"])
 
     sets = map_texts(texts, [id_col, text_col], apply, "fp long, own array<long>")
-    sets = materialise(sets.join(ends.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "simhash-sets")
-    both = _with_ends(pairs, sets, ["own"])
-    common = F.size(F.array_intersect("own_a", "own_b"))
-    return both.select("a", "b", (common / (F.size("own_a") + F.size("own_b") - common)).alias("similarity"))
+    return materialise(sets.join(ends.hint("merge"), "fp", "left_semi").groupBy("fp").agg(F.first("own").alias("own")), "simhash-sets")
 
 
 def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -339,8 +347,8 @@ def similar_links(classes: DataFrame, similarity: float, docs: DataFrame, id_col
     found = found.unionByName(verified(open_))
     if last is None:
         return found
-    outside = _outside(last, found, most)
-    return found if outside.isEmpty() else found.unionByName(verified(outside))
+    outside = _outside_links(last, found, similarity, docs, classes, id_col, text_col, shingle)
+    return found if outside is None else found.unionByName(outside)
 
 
 def _roots(found: DataFrame) -> DataFrame:
@@ -358,7 +366,7 @@ def _with_roots(rows: DataFrame, roots: DataFrame, ends: list[str]) -> DataFrame
 
 def _outside(last: DataFrame, found: DataFrame, most: int) -> DataFrame:
     """(a, b): texts of ``last`` (fp, t, leader) outside of their first leader's component, with all of the same bucket that are of another
-    component than they are and within ``most`` of the first 64 bits."""
+    component than they are and within ``most`` of the first 64 bits; by all pairs, kept to compare with."""
     own = materialise(_with_roots(last, _roots(found), ["fp", "leader"]), "simhash-last")
     out = materialise(own.where("root_fp <> root_leader").select("t", "leader", F.col("fp").alias("b"), F.col("root_fp").alias("root_b")), "simhash-out")
     met = join_small(own.select("t", "leader", F.col("fp").alias("a"), F.col("root_fp").alias("root_a")), out, ["t", "leader"], F.col("a"), "inner")
@@ -366,6 +374,80 @@ def _outside(last: DataFrame, found: DataFrame, most: int) -> DataFrame:
     return materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-outside")
 
 
+def _outside_links(last: DataFrame, found: DataFrame, similarity: float, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame | None:
+    """(a, b): links of texts of ``last`` (fp, t, leader) outside of their first leader's component with texts of the same bucket that
+    are of another component, enough of them to keep every component; None without such texts.
+
+    Each part of the texts outside meets each part of the bucket in a group of its own, whose size doesn't grow with the bucket.
+    """
+    own = _with_roots(last, _roots(found), ["fp", "leader"])
+    own = materialise(own.select("t", "leader", "fp", F.col("root_fp").alias("root"), (F.col("root_fp") != F.col("root_leader")).alias("asks")), "simhash-last")
+    open_ = materialise(own.where("asks").select("t", "leader").distinct(), "simhash-out")
+    if open_.isEmpty():
+        return None
+    own = join_small(own, open_, ["t", "leader"], F.col("fp"), "left_semi")
+    sets = _sets(own.select("fp").distinct(), docs, classes, id_col, text_col, shingle)
+    held = materialise(own.join(sets.hint("merge"), "fp"), "simhash-held")
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        n, shingles = F.count("*"), F.sum(F.size("own"))
+        texts = F.least(F.greatest(n / 8, F.lit(PART[0])), F.lit(PART[1]))
+        return rows.groupBy("t", "leader").agg(F.ceil(F.greatest(n / texts, shingles / PART_SHINGLES)).alias(name))
+
+    sizes = materialise(parts(held.where("asks"), "n_asking").join(parts(held, "n_all"), ["t", "leader"]), "simhash-parts")
+    rows = join_small(held, sizes, ["t", "leader"], F.col("fp"), "inner")
+
+    def side(rows: DataFrame, asks: bool, own_part: tuple[str, str], copied: tuple[str, str]) -> DataFrame:
+        at = F.pmod(F.xxhash64("fp"), own_part[1]).alias(own_part[0])
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copied[1]) - 1)).alias(copied[0])
+        return rows.select("t", "leader", "fp", "root", "own", F.lit(asks).alias("asks"), at, copies)
+
+    asking, every = ("i", "n_asking"), ("j", "n_all")
+    met = side(rows.where("asks"), True, asking, every).unionByName(side(rows, False, every, asking))
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _joining(table, similarity)
+
+    ship_package(docs.sparkSession)
+    return materialise(met.groupBy("t", "leader", "i", "j").applyInArrow(compare, "a long, b long"), "simhash-outside")
+
+
+def _joining(table: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): pairs of a text that asks and another of at least ``similarity``, one for each two components that are joined; rows
+    are (fp, root, own, asks), root naming the component."""
+    table = table.take(np.argsort(table.column("asks").to_numpy(), kind="stable"))
+    fp, root = (table.column(c).to_numpy() for c in ("fp", "root"))
+    others = table.num_rows - int(table.column("asks").to_numpy().sum())
+    sets = [np.asarray(x, np.int64) for x in table.column("own").to_numpy()]
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            parent[r] = parent.get(up, up)
+            r = up
+        return r
+
+    joined = []
+    if others:
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        rest, begins = numbers[: ends[others - 1]], (ends - sizes)[:others]
+        there = np.zeros(len(numbers), bool)
+        for x in range(others, len(fp)):
+            mine = numbers[ends[x] - sizes[x] : ends[x]]
+            there[mine] = True
+            common = np.add.reduceat(there[rest], begins, dtype=np.int64)
+            there[mine] = False
+            near = np.flatnonzero(common / (sizes[x] + sizes[:others] - common) >= similarity)
+            for y in near[np.unique(root[near], return_index=True)[1]]:
+                one, other = top(int(root[x])), top(int(root[y]))
+                if one != other:
+                    parent[one] = other
+                    joined.append((min(fp[x], fp[y]), max(fp[x], fp[y])))
+    return pa.table([pa.array([j[i] for j in joined], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, similarity: float, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(a, b) of those pairs of fingerprints whose texts have at least ``similarity``."""
     cosine = 2 * similarity / (1 + similarity)
