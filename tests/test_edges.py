@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from seqloom import queries
-from seqloom.operators import matching, methylation, sequence
+from seqloom.operators import kmer_index, matching, methylation, sequence
 from seqloom.plans.scale import TileScale
 from seqloom.sources import fasta
 
@@ -30,6 +30,21 @@ def test_large_sides_are_merged_and_not_broadcast(spark, side):
     assert "BroadcastHashJoin" not in _plan(matching.match_pairs(own, own, few=0))
 
 
+@pytest.mark.parametrize("hot", [10_000, 150])
+def test_index_of_more_words_has_more_buckets_and_is_read_unsorted_by_few(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(kmer_index, "BUCKET_WORDS", 100)
+    own = sequence.words(spark.createDataFrame([(0, "ACGTTGCA" * 200 + "A" * 300)], "pos long, bases string"), 5)
+    want = sorted(map(tuple, matching.match_pairs(own, own).collect()))
+    index = kmer_index.build(own, str(tmp_path / "index"), 4, hot)
+    assert index.buckets == 19  # 1,896 words
+    assert (spark.read.parquet(f"{index.path}/hot").count() > 0) == (hot == 150)
+    for few in (0, 10_000):
+        found = kmer_index.probe(index, own, few=few)
+        assert sorted(map(tuple, found.collect())) == want
+        assert few == 0 or " Sort " not in _plan(found) and "Exchange hashpartitioning" not in _plan(found)
+    kmer_index.forget(spark, index)
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_last_contig_wins_where_offsets_are_equal(spark, turned):
     rows = [(1, "a", 4, 0), (2, "b", 0, 4), (3, "c", 0, 4), (4, "d", 9, 4)]
