@@ -30,6 +30,14 @@ def test_large_sides_are_merged_and_not_broadcast(spark, side):
     assert "BroadcastHashJoin" not in _plan(matching.match_pairs(own, own, few=0))
 
 
+def test_black_tiles_are_merged_and_not_broadcast(spark):
+    own = sequence.words(spark.createDataFrame([(0, "ACGTTGCA" * 200)], "pos long, bases string"), 5)
+    scale = TileScale.fit(400, 1600, 1600)
+    black = matching.black_tiles(own, own, scale)
+    assert "BroadcastHashJoin" not in _plan(black)
+    assert {tuple(r) for r in black.collect()} == {tuple(r)[:2] for r in matching.raw_tile_hits(own, own, scale).collect()}
+
+
 @pytest.mark.parametrize("hot", [10_000, 150])
 def test_index_of_more_words_has_more_buckets_and_is_read_unsorted_by_few(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(kmer_index, "BUCKET_WORDS", 100)
