@@ -14,6 +14,8 @@ from seqloom.plans.ship import ship_package
 
 #: Rows of a batch are handed on in slices of about this many bytes of text (at least one row).
 SLICE_BYTES = 4 << 20
+#: Freed memory goes back to the system after so many bytes of text, and at the end of a task.
+TRIM_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -42,19 +44,22 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     """Apply ``fn`` to slices of ``df[columns]``; the last of the columns is the text.
 
     ``setup``, if given, is called once a task and returns the function to apply in place of ``fn``; ``after`` is called
-    at its end.  Freed memory goes back to the system after every slice, as idle workers stay beside others.
+    at its end.  Freed memory goes back to the system again and again, as idle workers stay beside others.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = setup() if setup else fn
+        apply, since = setup() if setup else fn, 0
         try:
             for batch in batches:
                 for piece in slices(batch, len(columns) - 1, limit):
                     out = apply(piece)
                     if out is not None:
                         yield out
+                    since += piece.nbytes
                     del out, piece
-                    trim()
+                    if since >= TRIM_BYTES:
+                        trim()
+                        since = 0
         finally:
             if after:
                 after()

@@ -22,6 +22,8 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import cached_property
 from itertools import chain
@@ -41,7 +43,9 @@ from seqloom.plans.ship import ship_file, shipped
 REMEMBERED = 50_000
 REMEMBERED_PAIRS = 150_000
 #: Bytes of text that are split together.
-SLICE = 1 << 20
+SLICE = 1 << 18
+#: Words of a trie; sorted, so that most that share a beginning are in one.
+TRIE_WORDS = 4_096
 #: Fixed value: how the vocabulary's file splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: Unicode's white space.
@@ -101,28 +105,32 @@ class WordBpe:
                 codes[-1] += 256
             return "".join(map(chr, codes))
 
-        self.size: dict[int, int] = {}
+        n = 1 + max(model["vocab"].values())
+        if n > 1 << 16:
+            raise ValueError("ids above 65535, or a symbol that is no token")
+        self.size = array("H", bytes(2 * n))
         self.by_symbols: dict[str, int] = {}
         for token, i in model["vocab"].items():
             if token not in self.special:
                 s = symbols(token)
                 self.by_symbols[s] = i
                 self.size[i] = len(s)
-        self.merge: dict[tuple[int, int], int] = {}
-        self.made_of: dict[int, tuple[int, int, int]] = {}
+        #: By both tokens in one number: the rank of their merge.  By token: what it is made of, and the rank, -1 if it isn't.
+        self.merge: dict[int, int] = {}
+        self.parts = array("H", bytes(2 * n)), array("H", bytes(2 * n))
+        self.rank = array("i", [-1]) * n
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            i, j = model["vocab"][a], model["vocab"][b]
-            self.merge[i, j] = rank
-            self.made_of.setdefault(model["vocab"][a + b], (i, j, rank))
-        if len(self.made_of) != len(self.merge):
-            raise ValueError("a token is made by more than one merge")
-        self._edges: tuple[dict, dict] = ({}, {})
+            i, j, made = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
+            if self.rank[made] >= 0:
+                raise ValueError("a token is made by more than one merge")
+            self.merge[i << 16 | j] = rank
+            self.parts[0][made], self.parts[1][made], self.rank[made] = i, j, rank
         self._pairs: dict[int, bool] = {}
-        if max(self.size) >= 1 << 16 or any(chr(i) not in self.by_symbols for i in range(512)):
+        if any(chr(i) not in self.by_symbols for i in range(512)):
             raise ValueError("ids above 65535, or a symbol that is no token")
-        #: All beginnings of tokens, and the states of the walk that were met so far.
-        self.begins = {"", *(t[:n] for t in self.by_symbols for n in range(1, len(t) + 1))}
+        #: Tokens in order, which tells beginnings of tokens, and the states of the walk that were met so far.
+        self.sorted = sorted(self.by_symbols)
         self._states: dict[str, dict] = {"": {"": "", 0: ()}}
         self._check_vocabulary()
         self._words: dict[str, bytes] = {}
@@ -138,26 +146,21 @@ class WordBpe:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that lie at one edge of ``token`` while it is built (side 0 left, 1 right), each with the rank of the merge that takes it in."""
-        known = self._edges[side].get(token)
-        if known is None:
-            known, at, taken = [], token, float("inf")
-            while True:
-                known.append((at, taken))
-                parts = self.made_of.get(at)
-                if parts is None:
-                    break
-                at, taken = parts[side], parts[2]
-            self._edges[side][token] = known
+        parts, rank, taken = self.parts[side], self.rank, float("inf")
+        known = [(token, taken)]
+        while (taken := rank[token]) >= 0:
+            token = parts[token]
+            known.append((token, taken))
         return known
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves the border between a and b alone."""
         known = self._pairs.get(a << 16 | b)
         if known is None:
-            known = True
+            known, edge = True, self._edge(b, 0)
             for x, gone_x in self._edge(a, 1):
-                for y, gone_y in self._edge(b, 0):
-                    rank = self.merge.get((x, y))
+                for y, gone_y in edge:
+                    rank = self.merge.get(x << 16 | y)
                     # equal merges go from left to right: inside a before the border, inside b after it
                     if rank is not None and rank < gone_x and rank <= gone_y:
                         known = False
@@ -170,14 +173,19 @@ class WordBpe:
 
     def _check_vocabulary(self) -> None:
         """Every token's own text must be encoded as that token, or the walk could choose one that BPE never makes."""
-        for a, b in self.merge:
-            rank = self.merge[a, b]
-            for x, gone_x in self._edge(a, 1):
-                for y, gone_y in self._edge(b, 0):
-                    r = self.merge.get((x, y))
+        for pair, rank in self.merge.items():
+            edge = self._edge(pair & 0xFFFF, 0)
+            for x, gone_x in self._edge(pair >> 16, 1):
+                for y, gone_y in edge:
+                    r = self.merge.get(x << 16 | y)
                     if r is not None and r < rank and r < gone_x and r <= gone_y:
                         raise ValueError("a token that its own text does not give")
 
+    def _begins(self, end: str) -> bool:
+        """Whether some token begins like this."""
+        at = bisect_left(self.sorted, end)
+        return at < len(self.sorted) and self.sorted[at].startswith(end)
+
     def _advance(self, state: dict, sign: str) -> dict:
         """The state after one more symbol: it stands for the longest end of the path that begins some token.
 
@@ -185,7 +193,7 @@ class WordBpe:
         here, longest first, as (token, size).
         """
         end = state[""] + sign
-        while end not in self.begins:
+        while not self._begins(end):
             end = end[1:]
         known = self._states.get(end)
         if known is None:
@@ -196,6 +204,13 @@ class WordBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of distinct words, each given as symbols: one character for each byte, 256 higher for the last."""
+        every, found = sorted(words), {}
+        for at in range(0, len(every), TRIE_WORDS):
+            self._walk(every[at : at + TRIE_WORDS], found)
+        return found
+
+    def _walk(self, words: list[str], found: dict[str, list[int]]) -> None:
+        """The ids of the words of one trie, added to ``found``."""
         trie: dict = {}
         for w in words:
             node = trie
@@ -205,7 +220,6 @@ class WordBpe:
                     below = node[c] = {}
                 node = below
             node[w[-1]] = w  # only last symbols are above 255, so a word never goes on below its end
-        found: dict[str, list[int]] = {}
         last: list[int] = []  # last[n - 1]: last token of the first n symbols of the path
         pairs, size_of, may_follow = self._pairs, self.size, self.may_follow
         stack: list[tuple[int, dict, dict]] = [(0, self._states[""], trie)]
@@ -239,7 +253,6 @@ class WordBpe:
                     n -= size_of[token]
                 ids.reverse()
                 found[below] = ids
-        return found
 
     # ---- texts
 

@@ -115,7 +115,10 @@ class WordTable:
         place = inside - np.repeat(at.astype(np.int32), narrow)
         body = low[inside]
         cuts = np.cumsum(sizes) - sizes
-        sums = np.add.reduceat(_SALT[body] * _powers(int(sizes.max()))[place], cuts)
+        weighed = _SALT[body]
+        weighed *= _powers(int(sizes.max()))[place]
+        sums = np.add.reduceat(weighed, cuts)
+        del weighed
         _, heads, group = np.unique(sums, return_index=True, return_inverse=True)
         model = heads[group]
         if not ((sizes == sizes[model]).all() and (body == body[np.repeat(cuts[model].astype(np.int32), narrow) + place]).all()):
