@@ -92,3 +92,21 @@ def test_regions_past_their_record(spark, tables, text):
 
 def test_regions_without_sites(spark, tables):
     assert queries.q_track_last_of_a_name(spark, tables("A")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["q_sql_colors"])
+def test_sites_of_equal_offsets_that_the_sql_leaves_open(spark, tmp_path, name):
+    """The SQL's ``arg_max(v, off)`` takes any of the contigs that share an offset, the query the last: equal if ``ord`` settles it."""
+    import duckdb
+
+    docs = [(0, "ACGT" * 10), (1, "-"), (2, "-"), (3, "C" * 400), (4, "-")]
+    events = [(i + 400 * u, u, float((7 * i + 31 * u) % 100 * 5)) for i in range(40) for u in (3, 1, 4, 2, 0)]
+    con = duckdb.connect()
+    for table, rows, columns in (("documents", docs, "doc_id long, text string"), ("events", events, "event_id long, user_id long, value double")):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{table}.parquet"))
+        con.sql(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    settled = queries.ORACLES[name].replace("arg_max(v, off)", "arg_max(v, (off, ord))")
+    assert settled != queries.ORACLES[name]
+    want = con.sql(settled)
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
