@@ -94,7 +94,7 @@ def test_regions_without_sites(spark, tables):
     assert queries.q_track_last_of_a_name(spark, tables("A")).collect() == []
 
 
-@pytest.mark.parametrize("name", ["q_sql_colors", "q_track_fractions", "q_track_not_a_number", "q_track_prune", "q_track_reverse"])
+@pytest.mark.parametrize("name", ["q_sql_colors", "q_track_fractions", "q_track_not_a_number", "q_track_prune", "q_track_reverse", "q_track_table"])
 def test_sites_of_equal_offsets_that_the_sql_leaves_open(spark, tmp_path, name):
     """The SQL's ``arg_max(v, off)`` takes any of the contigs that share an offset, the query the last: equal if ``ord`` settles it."""
     import duckdb
