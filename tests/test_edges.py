@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from seqloom import queries
@@ -110,3 +111,55 @@ def test_sites_of_equal_offsets_that_the_sql_leaves_open(spark, tmp_path, name):
     want = con.sql(settled)
     got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_own_pairs_are_summed_without_making_them(spark, tables):
+    """Texts of few words match themselves 3 * 10**9 times; the query makes pairs of tiles, not of copies."""
+    at, sizes = tables("A" * 20_000), {}
+    sums = queries.q_match_pairs_self(spark, at)
+    assert not any("Join" in line and "kmer" in line for line in _plan(sums).splitlines())
+    docs = "ACGT" * 10 + "A" * 20_000 + "GATTACA" * 20_000
+    words = {}
+    for i in range(len(docs) - queries.K + 1):
+        words.setdefault(docs[i : i + queries.K], []).append(i)
+    for places in words.values():
+        tiles = {}
+        for x in places:
+            n, s = tiles.get(x // 4096, (0, 0))
+            tiles[x // 4096] = (n + 1, s + x)
+        for bx, (n, s) in tiles.items():
+            for by, (m, r) in tiles.items():
+                was = sizes.get((bx, by), (0, 0))
+                sizes[bx, by] = (was[0] + n * m, was[1] + s * m - n * r)
+    assert {(r["bx"], r["by"]): (r["n"], r["shift"]) for r in sums.collect()} == sizes
+
+
+def test_own_pair_sums_are_those_of_all_pairs(spark):
+    own = sequence.words(spark.createDataFrame([(0, "ACGTTGCAAC" * 120 + "TTGACCA" * 90)], "pos long, bases string"), 4)
+    pairs = [(r["x"], r["y"]) for r in matching.match_pairs(own, own).collect()]
+    want = {}
+    for x, y in pairs:
+        n, shift = want.get((x // 100, y // 100), (0, 0))
+        want[x // 100, y // 100] = (n + 1, shift + x - y)
+    assert {(r["tx"], r["ty"]): (r["n"], r["shift"]) for r in matching.own_pair_sums(own, 100).collect()} == want
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 1000])
+def test_words_are_counted_by_tile_over_batches(monkeypatch, gathered):
+    monkeypatch.setattr(matching, "GATHERED", gathered)
+    monkeypatch.setattr(matching, "PAIRED", 5)
+    rows = sorted((kmer, (kmer * 37 + i * 13) % 90) for kmer in (-3, 0, 4, 5) for i in range(20))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 6], strict=True)], names=["kmer", "pos"]) for a in range(0, len(rows), 6)]
+    want, met = {}, set()
+    for kmer, pos in rows:
+        n, s = want.get((kmer, pos // 10), (0, 0))
+        want[kmer, pos // 10] = (n + 1, s + pos)
+    got = []
+    for kmer, t, n, s in matching._gathered(batches, 10):
+        got += zip(kmer.tolist(), t.tolist(), zip(n.tolist(), s.tolist(), strict=True), strict=True)
+        for i, j in matching._paired(kmer):
+            assert (kmer[i] == kmer[j]).all()
+            met |= set(zip(kmer[i].tolist(), t[i].tolist(), t[j].tolist(), strict=True))
+    assert [g[:2] for g in got] == sorted(want) and {g[:2]: g[2] for g in got} == want
+    assert met == {(k, a, b) for k, a in want for m, b in want if k == m and a < b}
+    assert list(matching._gathered([], 10)) == []
