@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -134,32 +135,52 @@ def test_own_pairs_are_summed_without_making_them(spark, tables):
     assert {(r["bx"], r["by"]): (r["n"], r["shift"]) for r in sums.collect()} == sizes
 
 
-def test_own_pair_sums_are_those_of_all_pairs(spark):
-    own = sequence.words(spark.createDataFrame([(0, "ACGTTGCAAC" * 120 + "TTGACCA" * 90)], "pos long, bases string"), 4)
+@pytest.mark.parametrize("parts", [40, 1 << 21])
+def test_own_pair_sums_and_black_tiles_are_those_of_all_pairs(spark, monkeypatch, parts):
+    monkeypatch.setattr(matching, "PART_WORDS", parts)
+    pieces = spark.createDataFrame([(0, "ACGTTGCAAC" * 40 + "N" + "TTGACCA" * 30)], "pos long, bases string")
+    own = sequence.words(pieces, 4)
     pairs = [(r["x"], r["y"]) for r in matching.match_pairs(own, own).collect()]
     want = {}
     for x, y in pairs:
         n, shift = want.get((x // 100, y // 100), (0, 0))
         want[x // 100, y // 100] = (n + 1, shift + x - y)
-    assert {(r["tx"], r["ty"]): (r["n"], r["shift"]) for r in matching.own_pair_sums(own, 100).collect()} == want
+    assert {(r["tx"], r["ty"]): (r["n"], r["shift"]) for r in matching.own_pair_sums(pieces, 4, 100, 611).collect()} == want
+    for k, side in ((4, 400), (9, 70), (31, 70)):
+        own, scale = sequence.words(pieces, k), TileScale.fit(side, 611, 611)
+        met = {(r["x"] // scale.tile_w, r["y"] // scale.tile_h) for r in matching.match_pairs(own, own).collect()}
+        black = [tuple(r) for r in matching.own_black_tiles(pieces, k, scale).collect()]
+        assert set(black) == met and len(black) == len(met)
 
 
-@pytest.mark.parametrize("gathered", [1, 7, 1000])
-def test_words_are_counted_by_tile_over_batches(monkeypatch, gathered):
-    monkeypatch.setattr(matching, "GATHERED", gathered)
+def test_black_tiles_of_a_sequence_are_painted_and_not_joined(spark, tables):
+    black = queries.q_dotplot_black(spark, tables("A" * 20_000))
+    assert not any("Join" in line and "kmer" in line for line in _plan(black).splitlines())
+    docs = "ACGT" * 10 + "A" * 20_000 + "GATTACA" * 20_000
+    tile, tiles = -(-len(docs) // queries.SIDE), {}
+    for i in range(len(docs) - queries.K + 1):
+        tiles.setdefault(docs[i : i + queries.K], set()).add(i // tile)
+    want = {(x, y) for t in tiles.values() for x in t for y in t}
+    assert {tuple(r) for r in black.collect()} == want and black.count() == len(want)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_words_of_many_parts_are_counted_by_tile(monkeypatch, at_once):
     monkeypatch.setattr(matching, "PAIRED", 5)
-    rows = sorted((kmer, (kmer * 37 + i * 13) % 90) for kmer in (-3, 0, 4, 5) for i in range(20))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 6], strict=True)], names=["kmer", "pos"]) for a in range(0, len(rows), 6)]
+    rows = [(kmer, (kmer * 37 + i * 13) % 90) for i in range(20) for kmer in (0, 4, 5, (1 << 62) - 1)]
     want, met = {}, set()
     for kmer, pos in rows:
         n, s = want.get((kmer, pos // 10), (0, 0))
         want[kmer, pos // 10] = (n + 1, s + pos)
-    got = []
-    for kmer, t, n, s in matching._gathered(batches, 10):
-        got += zip(kmer.tolist(), t.tolist(), zip(n.tolist(), s.tolist(), strict=True), strict=True)
-        for i, j in matching._paired(kmer):
-            assert (kmer[i] == kmer[j]).all()
-            met |= set(zip(kmer[i].tolist(), t[i].tolist(), t[j].tolist(), strict=True))
-    assert [g[:2] for g in got] == sorted(want) and {g[:2]: g[2] for g in got} == want
+    cut = [[np.array(c, np.int64) for c in zip(*[(k, p // 10, 1, p) for k, p in rows[a : a + at_once]], strict=True)] for a in range(0, len(rows), at_once)]
+    names = ["kmer", "tile", "n", "s"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in c], names=names) for c in cut]
+    kmer, t, n, s = (a.tolist() for a in sequence.whole_words(batches))
+    assert list(zip(kmer, t, strict=True)) == sorted(want) and dict(zip(zip(kmer, t, strict=True), zip(n, s, strict=True), strict=True)) == want
+    for i, j in matching._paired(np.array(kmer)):
+        assert all(kmer[a] == kmer[b] for a, b in zip(i, j, strict=True))
+        met |= {(kmer[a], t[a], t[b]) for a, b in zip(i, j, strict=True)}
     assert met == {(k, a, b) for k, a in want for m, b in want if k == m and a < b}
-    assert list(matching._gathered([], 10)) == []
+    two = sequence.whole_words(b.select(names[:2]) for b in batches)
+    assert two[0].tolist() == kmer and two[1].tolist() == t and two[2] is None and two[3] is None
+    assert [len(a) for a in sequence.whole_words([])] == [0, 0, 0, 0]
