@@ -186,7 +186,7 @@ def test_words_of_many_parts_are_counted_by_tile(monkeypatch, at_once):
     assert [len(a) for a in sequence.whole_words([])] == [0, 0, 0, 0]
 
 
-@pytest.mark.parametrize("name", ["q_dilate_color", "q_track_threshold", "q_meth_cells", "q_meth_colors"])
+@pytest.mark.parametrize("name", ["q_dilate_color", "q_track_threshold", "q_meth_cells", "q_meth_colors", "q_meth_tiles"])
 def test_tied_sites_follow_the_settled_sql(spark, tmp_path, name):
     """As above, for the queries made of the sites' tiles, and for sites above a threshold on either side of it."""
     test_sites_of_equal_offsets_that_the_sql_leaves_open(spark, tmp_path, name)
